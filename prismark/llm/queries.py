@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import blocks, minhash, tokens, urls
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -16,8 +16,36 @@ def op1_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"), shingle=2, percent=80)
 
 
+def vocabulary() -> str:
+    """The public vocabulary file; it has the same path on the driver and on every executor."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op2_prefix_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every text from its prefix table, and the longest prefix within 2048 of them."""
+    return tokens.token_counts(table(spark, folder, "documents"), vocabulary(), limit=2048)
+
+
+def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of texts that are equal without white space, by block naming."""
+    return blocks.exact_duplicates(table(spark, folder, "documents"))
+
+
+def op4_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """Rules, then the weighted vocabulary, for every url of `pages`."""
+    return urls.filter_urls(table(spark, folder, "pages"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_prefix_token_counts": op2_prefix_token_counts,
+    "op3_exact_dedup": op3_exact_dedup,
+    "op4_url_filters": op4_url_filters,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_exact_dedup": blocks.ORACLE_SQL,
+    "op4_url_filters": urls.oracle_sql(),
+}
