@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import blocks, minhash, tokens, urls
+from . import blocks, minhash, ppm, tokens, urls
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,11 +38,17 @@ def op4_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return urls.filter_urls(table(spark, folder, "pages"))
 
 
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every text by byte context trees, learned outside the held-out fifth."""
+    return ppm.identify_languages(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_prefix_token_counts": op2_prefix_token_counts,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_url_filters": op4_url_filters,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
