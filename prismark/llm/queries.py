@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import blocks, minhash, ppm, tokens, urls
+from . import blocks, minhash, ppm, tokens, toxicity, urls
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,6 +38,11 @@ def op4_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return urls.filter_urls(table(spark, folder, "pages"))
 
 
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every text, learned from the labels outside the held-out third."""
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every text by byte context trees, learned outside the held-out fifth."""
     return ppm.identify_languages(table(spark, folder, "documents"))
@@ -48,6 +53,7 @@ QUERIES = {
     "op2_prefix_token_counts": op2_prefix_token_counts,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_url_filters": op4_url_filters,
+    "op6_toxicity": op6_toxicity,
     "op10_language_id": op10_language_id,
 }
 
