@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import blocks, minhash, ppm, tokens, toxicity, urls
+from . import blocks, minhash, ppm, sketches, tokens, toxicity, urls
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,6 +38,11 @@ def op4_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return urls.filter_urls(table(spark, folder, "pages"))
 
 
+def op5_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Sketches of every text and of its edited version, and how alike they and the next document's are."""
+    return sketches.fingerprints(table(spark, folder, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of every text, learned from the labels outside the held-out third."""
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
@@ -53,6 +58,7 @@ QUERIES = {
     "op2_prefix_token_counts": op2_prefix_token_counts,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_url_filters": op4_url_filters,
+    "op5_document_fingerprints": op5_document_fingerprints,
     "op6_toxicity": op6_toxicity,
     "op10_language_id": op10_language_id,
 }
