@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import blocks, minhash, ppm, sketches, tokens, toxicity, urls
+from . import blocks, minhash, packing, ppm, sketches, tokens, toxicity, urls
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -48,6 +48,11 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Sequences of 4096 tokens out of whole texts and their lexical neighbours."""
+    return packing.pack(table(spark, folder, "documents"), vocabulary(), window=4096)
+
+
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every text by byte context trees, learned outside the held-out fifth."""
     return ppm.identify_languages(table(spark, folder, "documents"))
@@ -60,6 +65,7 @@ QUERIES = {
     "op4_url_filters": op4_url_filters,
     "op5_document_fingerprints": op5_document_fingerprints,
     "op6_toxicity": op6_toxicity,
+    "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
 }
 
