@@ -42,14 +42,14 @@ def _named(keys: DataFrame, columns: list[str]) -> DataFrame:
     return durable(order.withColumn("name", F.monotonically_increasing_id()), "names")
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256) for every row, dropped ones too.
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, text_sha256) for every row, dropped ones too; with `row_col`, a key of the rows, that too.
 
     Texts are equal if they are identical without white space (space and 9-13). Of equal texts the row with the most
     code points stays, then the smallest doc_id; of rows that agree in both, one. Null counts as empty, and all texts
     without other characters are equal. An empty table gives an empty result; other columns are not read.
     """
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = docs.select((F.col(row_col) if row_col else F.lit(None)).cast("long").alias("given"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     plain = normalised(F.col("text")).cast("binary")
     seed = 0
     while True:
@@ -61,9 +61,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             break
         seed += 1
     rows = durable(
-        texts.select("doc_id", F.length("text").alias("n_chars"), F.array(plain).alias("whole"))
-        .select("doc_id", "n_chars", F.element_at(F.transform("whole", lambda b: F.struct(F.sha2(b, 256).alias("sha"), F.transform(_blocks(b), lambda x: _key(x, seed)).alias("keys"))), 1).alias("x"))
-        .select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_chars", F.col("x.sha").alias("text_sha256"), F.col("x.keys").alias("keys")),
+        texts.select("given", "doc_id", F.length("text").alias("n_chars"), F.array(plain).alias("whole"))
+        .select("given", "doc_id", "n_chars", F.element_at(F.transform("whole", lambda b: F.struct(F.sha2(b, 256).alias("sha"), F.transform(_blocks(b), lambda x: _key(x, seed)).alias("keys"))), 1).alias("x"))
+        .select(F.monotonically_increasing_id().alias("row"), "given", "doc_id", "n_chars", F.col("x.sha").alias("text_sha256"), F.col("x.keys").alias("keys")),
         "rows",
     )
     parts = rows.select("row", F.posexplode("keys").alias("place", "k")).select("row", "place", "k.k1", "k.k2").join(names.select("k1", "k2", "name"), ["k1", "k2"]).select("row", "place", "name")
@@ -84,7 +84,15 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     identity = durable(rows.drop("keys").join(done, "row"), "identity")
     groups = identity.groupBy("level", "name").agg(F.count("*").alias("group_size"), F.min(F.struct(-F.col("n_chars"), F.col("doc_id"), F.col("row"))).alias("first"))
     groups = groups.select("level", "name", "group_size", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row"))
-    return identity.join(groups, ["level", "name"]).select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")
+    out = identity.join(groups, ["level", "name"]).select("given", "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")
+    return out.withColumnRenamed("given", row_col) if row_col else out.drop("given")
+
+
+def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` (a stored table) that stay, with all their columns."""
+    numbered = docs.withColumn("__row", F.monotonically_increasing_id())  # of a stored table: the same at every reading
+    kept = exact_duplicates(numbered, row_col="__row").where("kept").select("__row")
+    return numbered.join(kept, "__row", "left_semi").drop("__row")
 
 
 ORACLE_SQL = r"""

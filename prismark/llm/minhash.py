@@ -195,3 +195,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     for used in (pairs, first, open_):
         discard(used)
     return out.select("doc_id", "n_shingles", component).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs` whose document stays, one of each component, with all their columns."""
+    kept = near_duplicates(docs, shingle, percent).where("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import blocks, minhash, packing, ppm, sketches, tokens, toxicity, urls
+from . import blocks, minhash, mixing, packing, ppm, sketches, tokens, toxicity, urls
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -48,6 +48,13 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Rates of every document for which the expected tokens of good, poor and toxic text meet their targets."""
+    docs = table(spark, folder, "documents")
+    domains = mixing.fit_domains(docs, mixing.domain_labels(table(spark, folder, "labels")), mixing.DOMAINS)
+    return mixing.mixed(docs, domains, mixing.TARGETS)
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Sequences of 4096 tokens out of whole texts and their lexical neighbours."""
     return packing.pack(table(spark, folder, "documents"), vocabulary(), window=4096)
@@ -65,6 +72,7 @@ QUERIES = {
     "op4_url_filters": op4_url_filters,
     "op5_document_fingerprints": op5_document_fingerprints,
     "op6_toxicity": op6_toxicity,
+    "op8_mixing": op8_mixing,
     "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
 }

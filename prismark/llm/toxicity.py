@@ -137,6 +137,21 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     return docs.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), threshold), f"doc_id {kind}, score double, predicted int")
 
 
+def _reject(shared, threshold: float, text: int):
+    def run(batches):
+        model: Model = shared.value
+        for batch in batches:
+            yield batch.filter(pa.array(model.score(*wordhash.buffers(batch.column(text))) < threshold))
+
+    return run
+
+
+def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs` that score below the threshold, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(_reject(shared, threshold, docs.columns.index("text")), docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = (3, 1), threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted): a model from the labels outside the fold, scores for all."""
     held = (F.crc32(F.col("doc_id").cast("string")) % fold[0] == fold[1]).alias("held_out")
