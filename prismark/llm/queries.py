@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import blocks, minhash, mixing, packing, ppm, sketches, tokens, toxicity, urls
+from . import blocks, minhash, mixing, packing, passages, ppm, sketches, tokens, toxicity, urls
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -48,6 +48,11 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every text without the strings of 50 bytes that a smaller document has."""
+    return passages.repeated_passages(table(spark, folder, "documents"))
+
+
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Rates of every document for which the expected tokens of good, poor and toxic text meet their targets."""
     docs = table(spark, folder, "documents")
@@ -72,6 +77,7 @@ QUERIES = {
     "op4_url_filters": op4_url_filters,
     "op5_document_fingerprints": op5_document_fingerprints,
     "op6_toxicity": op6_toxicity,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_mixing": op8_mixing,
     "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,

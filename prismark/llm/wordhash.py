@@ -59,8 +59,10 @@ def substring_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string column; null counts as empty."""
-    texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
+    """(bytes, offsets) of a string or binary column; null counts as empty."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    texts = texts.cast(pa.large_binary() if pa.types.is_binary(texts.type) or pa.types.is_large_binary(texts.type) else pa.large_string())
     if texts.null_count:
         texts = texts.fill_null("")
     _, offsets, data = texts.buffers()
@@ -78,8 +80,11 @@ def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES):
         a = b
 
 
-def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words (runs of non-white bytes within a document) and words before each document."""
+def word_spans(buf: np.ndarray, offsets: np.ndarray, edge: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (runs of non-white bytes within a document) and words before each document.
+
+    `edge` marks bytes at which a word ends and another begins.
+    """
     dark = np.zeros(len(buf) + 2, bool)
     np.logical_not(WHITE[buf], out=dark[1:-1])
     cut = offsets[1:-1]
@@ -88,6 +93,10 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     closes = dark[1:-1] & ~dark[2:]
     opens[cut] |= dark[cut + 1]
     closes[cut - 1] |= dark[cut]
+    if edge is not None:
+        cut = np.flatnonzero(edge)
+        opens[cut] |= dark[cut + 1]
+        closes[cut - 1] |= dark[cut]
     starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
     return starts, ends, np.searchsorted(starts, offsets)
 
