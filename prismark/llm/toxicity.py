@@ -19,6 +19,10 @@ from . import lexical, wordhash
 SAMPLE_ROWS = 30_000
 FEATURES = 1_500
 LEXICONS = 16
+LABEL_ERROR = 0.01
+L2 = 1e-4
+#: Log odds from which a feature joins a found lexicon.
+TELLING = 3.0
 THRESHOLD = 0.7
 
 # Insults that vote in every corpus, by kind.
@@ -27,26 +31,48 @@ INSULTS = {
     "worth": ("clown", "failure", "loser", "pathetic", "useless", "worthless"),
     "filth": ("disgusting", "filth", "filthy", "garbage", "scum", "trash", "vermin"),
     "coarse": ("asshole", "bastard", "bitch", "crap", "damn", "fuck", "fucking", "shit"),
-    "harm": ("despise", "die", "hate", "hateful", "kill", "ugly"),
+    "harm": ("despicable", "despise", "hateful", "ugly"),
 }
 
 
+class Listed(lexical.Listed):
+    """Chosen features, and one more: any fixed insult. So an insult that few labelled rows have counts as the others do."""
+
+    def __init__(self, features: np.ndarray):
+        super().__init__(features)
+        self.insults = np.sort(lexical.words_of([w for terms in INSULTS.values() for w in terms]))
+        self.width = len(self.features) + 1
+
+    def rows(self, buf: np.ndarray, offsets: np.ndarray, shape: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        docs, found = lexical.of_texts(buf, offsets, shape)
+        column = self.columns(found)
+        at = np.minimum(np.searchsorted(self.insults, found), len(self.insults) - 1)
+        any_ = np.unique(docs[self.insults[at] == found])
+        docs, column = np.concatenate([docs[column >= 0], any_]), np.concatenate([column[column >= 0], np.full(len(any_), self.width - 1)])
+        order = np.lexsort((column, docs))
+        return docs[order], column[order]
+
+
 class LabelModel:
     """Votes (rows, voters) in {0, 1} -> posterior of class 1, by expectation and maximisation.
 
     Given the class, voter j votes 1 with a probability of its own. Voters that err together beyond that are
-    discounted: the weight of j is 1 over the sum of its positive correlations, given the class, with all voters.
+    discounted: the weight of j is 1 over the sum of its positive correlations, given the class, with all voters. The
+    last voter is the given label. It is an annotator of its own, so it is not discounted, and its error rates have a
+    prior: as many rows again as there are, in which it errs with LABEL_ERROR.
     """
 
     def __init__(self, votes: np.ndarray, start: np.ndarray, rounds: int = 25):
         post = start.astype(float)
         for _ in range(rounds):
             self.prior = np.clip(post.mean(), 1e-4, 1 - 1e-4)
-            self.rate = np.stack([(votes * w[:, None]).sum(0) + a for w, a in ((1 - post, 0.5), (post, 0.5))]) / np.array([[(1 - post).sum() + 1], [post.sum() + 1]])
+            self.rate = np.stack([(votes * w[:, None]).sum(0) + 0.5 for w in (1 - post, post)]) / np.array([[(1 - post).sum() + 1], [post.sum() + 1]])
+            self.rate[:, -1] = (self.rate[:, -1] + np.array([LABEL_ERROR, 1 - LABEL_ERROR])) / 2
             rest = votes - ((1 - post)[:, None] * self.rate[0] + post[:, None] * self.rate[1])
             spread = np.sqrt((rest**2).mean(0) + 1e-9)
             self.correlation = (rest / spread).T @ (rest / spread) / max(1, len(votes))
             self.weight = 1 / np.maximum(1, np.clip(self.correlation, 0, 1).sum(0))
+            self.weight[-1] = 1
             post = self.posterior(votes)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
@@ -60,12 +86,12 @@ class LabelModel:
 
 def voters(listed: lexical.Listed, counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Which voter each feature belongs to; -1 for none. Fixed lexicons come first, then found ones."""
-    out = np.full(len(listed.features), -1)
+    out = np.full(len(listed.features) + 1, -1)
     odds = np.log((counts[:, 1] + 0.5) / (sizes[1] + 1)) - np.log((counts[:, 0] + 0.5) / (sizes[0] + 1))
-    found = odds > 2.0
-    out[found] = len(INSULTS) + (listed.features[found] % np.uint64(LEXICONS)).astype(int)
+    found = odds > TELLING
+    out[:-1][found] = len(INSULTS) + (listed.features[found] % np.uint64(LEXICONS)).astype(int)
     for k, terms in enumerate(INSULTS.values()):
-        out[np.isin(listed.features, lexical.words_of(terms))] = k
+        out[:-1][np.isin(listed.features, lexical.words_of(terms))] = k
     return out
 
 
@@ -106,13 +132,14 @@ def train(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] | None = (3,
     """A model from the labelled rows outside the fold; about `sample_rows` of them by a hash of their id."""
     rows = labelled_rows(docs, labels, "toxic", fold, sample_rows)
     listed, counts, sizes = lexical.choose(rows, 2, features, least_docs=4)
-    if not sizes.all() or not len(listed.features):
+    listed = Listed(listed.features)
+    if not sizes.all() or len(listed.features) != len(counts):
         share = (sizes[1] + 0.5) / (sizes.sum() + 1)
-        return Model(listed, np.zeros((len(listed.features), 2)), np.log([1 - share, share]))
+        return Model(listed, np.zeros((listed.width, 2)), np.log([1 - share, share]))
     kind, starts, columns = lexical.matrix(rows, listed)
     model = LabelModel(votes(kind, starts, columns, voters(listed, counts, sizes)), np.where(kind == 1, 0.9, 0.1))
     target = model.posterior(votes(kind, starts, columns, voters(listed, counts, sizes)))
-    weight, bias = lexical.softmax_regression(np.stack([1 - target, target], 1), starts, columns, len(listed.features))
+    weight, bias = lexical.softmax_regression(np.stack([1 - target, target], 1), starts, columns, listed.width, l2=L2)
     return Model(listed, weight, bias)
 
 
