@@ -1,34 +1,34 @@
-"""Token counts at every prefix of a text, for byte-pair vocabularies that never cross word limits.
+"""Token counts at every prefix of a text, for byte-pair vocabularies whose tokens never cross white space.
 
-The recurrence runs over a text's words: count(prefix up to word j) = count(prefix up to word j - 1) + tokens of
-word j. A word's own row holds the count of each of its prefixes and is filled once per distinct word, so any
-prefix of the text costs one table look-up and one row look-up, and truncation and budget questions need no
-second encoding. Words are encoded by the public library, once per distinct word and task.
+The recurrence runs over the pieces of a text: count(prefix up to piece j) = count(prefix up to piece j - 1) + tokens of
+piece j. Pieces are runs of non-white bytes, cut further where an ASCII letter meets a full stop, comma or the like, where
+the vocabulary's own pattern always cuts. A piece's own row holds the count of each of its prefixes. So any prefix of a text
+costs one table look-up and one row look-up, and truncation and budget questions need no second encoding.
+
+The public library encodes each distinct piece once per worker; a whole buffer is then priced by array look-ups.
 """
 
 from __future__ import annotations
 
-import re
-import unicodedata
+import itertools
+import os
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct words that a Python worker remembers; then it starts afresh. Bounds memory, never results.
-REMEMBERED = 300_000
-#: Texts that are split together.
-CHUNK_CHARS = 1 << 20
+from . import wordhash
+
+#: Distinct pieces that a Python worker remembers; then it starts afresh. Bounds memory, never results.
+REMEMBERED = 2_000_000
+CHUNK_BYTES = 2 << 20
 
-# Characters on which our splitting and the library's agree by the Unicode versions of both: printable ASCII and
-# Latin letters and signs up to U+017F, without the two whose lower case is longer. Other texts go to the library.
-_PLAIN = [9, 10, 13, *range(32, 127), *(c for c in range(0xA1, 0x180) if c not in (0xAD, 0x130, 0x149))]
-_LETTER = "".join(re.escape(chr(c)) for c in _PLAIN if unicodedata.category(chr(c))[0] == "L")
-_NUMBER = "".join(re.escape(chr(c)) for c in _PLAIN if unicodedata.category(chr(c))[0] == "N")
-_ODD = re.compile("[^" + "".join(re.escape(chr(c)) for c in _PLAIN) + r"]|<\|")
-#: The vocabulary's own word pattern.
-_WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LETTER}{_NUMBER}]+")
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
+# Signs at which a piece is cut next to an ASCII letter; not those of contractions and special strings.
+_SIGN = np.zeros(256, bool)
+_SIGN[[ord(c) for c in "!\"#$%&()*+,-./:;=?@[]^_`{}~"]] = True
 
 _encoders: dict[str, Encoder] = {}
 
@@ -37,114 +37,116 @@ class Encoder:
     """A vocabulary file with what it has encoded so far in this process."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.ids: dict[str, bytes] = {}
-        self.rows: dict[str, list[int]] = {}
+        self.forget()
 
     @staticmethod
     def of(path: str) -> Encoder:
         if path not in _encoders:
-            import os
-
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
             _encoders[path] = Encoder(path)
         return _encoders[path]
 
-    def plain(self, text: str) -> bool:
-        return _ODD.search(text) is None
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.ids) > REMEMBERED:
-            self.ids.clear()
-        new = [w for w in words if w not in self.ids]
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            self.ids.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)))
-
-    def split(self, texts: list[str]) -> list[list[str] | None]:
-        """The words of each text, all encoded; None for a text that only the library may split."""
-        out = [_WORD.findall(t.lower()) if self.plain(t) else None for t in texts]
-        self.learn(set().union(*(w for w in out if w)))
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit numbers."""
-        get = self.ids.__getitem__
-        return [b"".join(map(get, w)) if w is not None else np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, w in zip(texts, self.split(texts))]
-
-    def counts(self, texts: list[str]) -> list[int]:
-        get = self.ids.__getitem__
-        return [sum(map(len, map(get, w))) // 4 if w is not None else len(self.library.encode(t, add_special_tokens=False).ids) for t, w in zip(texts, self.split(texts))]
-
-    def table(self, text: str) -> tuple[list[int], list[int]]:
-        """Where each word ends (code points) and the number of tokens up to there."""
-        if self.plain(text):
-            low = text.lower()
-            spans = list(_WORD.finditer(low))
-            self.learn({m[0] for m in spans})
-            return [m.end() for m in spans], np.cumsum([len(self.ids[m[0]]) // 4 for m in spans], dtype=int).tolist()
-        found = self.library.encode(text, add_special_tokens=False)
-        ends: dict = {}
-        for k, (word, (_, end)) in enumerate(zip(found.word_ids, found.offsets)):
-            ends["special", k] = (end, k + 1)
-            if word is not None:
-                ends["word", word] = (end, k + 1)
-                del ends["special", k]
-        return [e for e, _ in ends.values()], [n for _, n in ends.values()]
-
-    def row(self, word: str) -> list[int]:
-        """Tokens of each prefix of a plain word, from the empty one to the whole."""
-        if word not in self.rows:
-            if len(self.rows) > REMEMBERED // 10:
-                self.rows.clear()
-            self.rows[word] = [0, *(len(e.ids) for e in self.library.encode_batch_fast([word[:k] for k in range(1, len(word) + 1)], add_special_tokens=False))]
-        return self.rows[word]
-
-    def at(self, text: str, chars: int, table: tuple[list[int], list[int]] | None = None) -> int:
-        """Tokens of text[:chars] of a plain text, from its table and the row of one word."""
-        ends, counts = table or self.table(text)
-        k = int(np.searchsorted(ends, chars, "right"))
-        whole = counts[k - 1] if k else 0
-        if k == len(ends):
-            return whole
-        rest = text[ends[k - 1] if k else 0 : ends[k]].lower().lstrip()
-        inside = chars - (ends[k] - len(rest))
-        return whole + (self.row(rest)[inside] if inside > 0 else 0)
-
-
-def _chunks(texts: list[str]):
-    a = size = 0
-    for b, t in enumerate(texts):
-        size += len(t)
-        if size > CHUNK_CHARS:
-            yield a, b + 1
-            a, size = b + 1, 0
-    if a < len(texts):
-        yield a, len(texts)
+    def forget(self) -> None:
+        """Pieces by sorted hash, and where the ids of each lie in the pool."""
+        self.known, self.first, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
+        for k in range(0, len(texts), 20_000):
+            ids = self.encode(texts[k : k + 20_000])
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            total = int(size.sum())
+            while self.used + total > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+            self.pool[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, total)
+            known = np.concatenate([self.known, hashes[k : k + 20_000]])
+            order = np.argsort(known, kind="stable")
+            self.first = np.concatenate([self.first, self.used + np.cumsum(size) - size])[order]
+            self.size = np.concatenate([self.size, size])[order]
+            self.known = known[order]
+            self.used += total
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.known, hashes)
+        at[at == len(self.known)] = 0
+        return at
+
+    def pieces(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in the tables of each piece, end of each piece, pieces before each document)."""
+        letter, sign = _ASCII_LETTER[buf], _SIGN[buf]
+        edge = np.zeros(len(buf), bool)
+        edge[1:] = (letter[:-1] & sign[1:]) | (sign[:-1] & letter[1:])
+        starts, ends, firsts = wordhash.word_spans(buf, offsets, edge)
+        hashes = wordhash.substring_hashes(wordhash.prefix_sums(wordhash.LOWER[buf]), starts, ends)
+        special = np.append(0, np.cumsum(buf == ord("<")))
+        special = np.flatnonzero(special[ends] > special[starts])
+        if len(special):  # special strings are told by case
+            hashes[special] = wordhash.mix(wordhash.substring_hashes(wordhash.prefix_sums(buf), starts[special], ends[special]) + np.uint64(1))
+        kinds, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        new = np.flatnonzero(self.known[self._find(kinds)] != kinds) if len(self.known) else np.arange(len(kinds))
+        if len(new):
+            raw = buf.tobytes()
+            self._learn(kinds[new], [raw[a:b].decode() for a, b in zip(starts[one[new]].tolist(), ends[one[new]].tolist())])
+        return self._find(kinds)[which], ends, firsts
+
+    def counts(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        place, _, firsts = self.pieces(buf, offsets)
+        return np.diff(np.append(0, np.cumsum(self.size[place]))[firsts])
+
+    def tables(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(end of each piece in its document's bytes, tokens of its document up to there, pieces before each document)."""
+        place, ends, firsts = self.pieces(buf, offsets)
+        upto = np.cumsum(self.size[place])
+        before = np.append(0, upto)[firsts[:-1]]
+        many = np.diff(firsts)
+        return ends - np.repeat(offsets[:-1], many), upto - np.repeat(before, many), firsts
+
+    def ids(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all documents, one after another, and where each begins."""
+        place, _, firsts = self.pieces(buf, offsets)
+        size = self.size[place]
+        upto = np.append(0, np.cumsum(size))
+        return self.pool[np.repeat(self.first[place] - upto[:-1], size) + np.arange(upto[-1])], upto[firsts]
+
+    def at(self, text: str, chars: int) -> int:
+        """Tokens of text[:chars], from the text's table and the row of one piece."""
+        raw = np.frombuffer(text.encode(), np.uint8)
+        ends, upto, _ = self.tables(raw, np.array([0, len(raw)]))
+        stop = len(text[:chars].encode())
+        k = int(np.searchsorted(ends, stop, "right"))
+        rest = raw[ends[k - 1] if k else 0 : stop].tobytes().decode()
+        return (int(upto[k - 1]) if k else 0) + self.row(rest)[-1]
+
+    def row(self, piece: str) -> list[int]:
+        """Tokens of each prefix of a piece, from the empty one to the whole."""
+        return [0, *map(len, self.encode([piece[:k] for k in range(1, len(piece) + 1)]))]
 
 
 def _count(path: str, limit: int):
     def run(batches):
         encoder = Encoder.of(path)
         for batch in batches:
-            size = pa.compute.binary_length(batch.column(1).cast(pa.large_binary())).fill_null(0)
-            texts = batch.column(1).to_pylist()
-            for a, b in _chunks(texts):
-                part = [t or "" for t in texts[a:b]]
-                counts = encoder.counts(part)
-                within = []
-                for t, n in zip(part, counts):
-                    if n <= limit:
-                        within.append(len(t))
-                    else:
-                        ends, upto = encoder.table(t)
-                        k = int(np.searchsorted(upto, limit, "right"))
-                        within.append(ends[k - 1] if k else 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], size[a:b].cast(pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_()), pa.array(within, pa.int64())], names=["doc_id", "n_bytes", "n_tokens", "over_limit", "chars_within"])
+            buf, offsets = wordhash.buffers(batch.column(1))
+            for a, b in wordhash.chunks(offsets, CHUNK_BYTES):
+                own, at = buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                ends, upto, firsts = encoder.tables(own, at)
+                counts = np.append(0, upto)[firsts[1:]] * (np.diff(firsts) > 0)
+                lead = np.append(0, np.cumsum((own & 0xC0) != 0x80))  # code points before each byte
+                within = np.diff(lead[at])
+                for d in np.flatnonzero(counts > limit):
+                    k = int(np.searchsorted(upto[firsts[d] : firsts[d + 1]], limit, "right"))
+                    within[d] = lead[at[d] + ends[firsts[d] + k - 1]] - lead[at[d]] if k else 0
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *(pa.array(x.astype(np.int64)) for x in (np.diff(at), counts)), pa.array(counts > limit), pa.array(within.astype(np.int64))], names=["doc_id", "n_bytes", "n_tokens", "over_limit", "chars_within"])
 
     return run
 
@@ -153,7 +155,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: st
     """(doc_id, n_bytes, n_tokens, over_limit, chars_within) for every row.
 
     n_tokens counts the whole text without begin, end or added special tokens; chars_within is the longest prefix of
-    whole words, in code points, that has at most `limit` tokens (the whole text, if it has). Null counts as empty:
+    whole pieces, in code points, that has at most `limit` tokens (the whole text, if it has). Null counts as empty:
     0 bytes, 0 tokens. Repeated rows give repeated rows; other columns are not read. `vocabulary` is the file's path
     on every executor.
     """
@@ -166,16 +168,17 @@ def _tables(path: str):
     def run(batches):
         encoder = Encoder.of(path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in _chunks(texts):
-                found = [encoder.table(t or "") for t in texts[a:b]]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([e for e, _ in found], pa.list_(pa.int32())), pa.array([c for _, c in found], pa.list_(pa.int32()))], names=["doc_id", "ends", "counts"])
+            buf, offsets = wordhash.buffers(batch.column(1))
+            for a, b in wordhash.chunks(offsets, CHUNK_BYTES):
+                ends, upto, firsts = encoder.tables(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                lists = [pa.ListArray.from_arrays(pa.array(firsts.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (ends, upto)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *lists], names=["doc_id", "ends", "counts"])
 
     return run
 
 
 def prefix_tables(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ends, counts): for each word of a text, where it ends and the tokens up to there."""
+    """(doc_id, ends, counts): for each piece of a text, the byte where it ends and the tokens up to there."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(_tables(vocabulary), f"doc_id {kind}, ends array<int>, counts array<int>")
