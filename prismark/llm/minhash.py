@@ -13,8 +13,9 @@ Links are decided on the full sets, never on signatures. A bucket is not expande
 2. Buckets with the same members count once. Each member is compared with its bucket's smallest member.
    Confirmed links give components.
 3. Only in buckets whose other members still lie in several components are members of different components
-   compared, with the sets in the task, in blocks of `BLOCK` members against the bucket. Members of one
-   component need no comparison: a link between them changes nothing.
+   compared, in blocks of `BLOCK` members against the bucket: by signature, which tells the members that have a
+   partner within `FAR`, then those members by their sets. Members of one component need no comparison: a link
+   between them changes nothing.
 
 Large groups of near copies so cost one comparison per member and bucket, unless they fall apart.
 """
@@ -30,13 +31,16 @@ from pyspark.sql import functions as F
 
 from . import wordhash
 from .components import components
+from .membership import filter_of
 from .store import discard, durable
 
 CHUNKS, WIDTH, ERRORS, BITS = 13, 5, 1, 16
 SLOTS = CHUNKS * WIDTH
 #: All pairs within this distance share a bucket.
 GUARANTEED = CHUNKS * (ERRORS + 1) - 1
-BLOCK = 2048
+#: Distance beyond which a shared bucket is chance: two sets of similarity 0.8 exceed it once in ten million times.
+FAR = 30
+BLOCK = 1024
 
 _SEEDS = np.random.default_rng(7).integers(0, 2**63, SLOTS, dtype=np.uint64)
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -88,9 +92,10 @@ def _keys(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], names=["key", "node"])
 
 
-def _sets(n: int):
+def _sets(n: int, wanted):
     def run(batches):
         for batch in batches:
+            batch = batch.filter(pa.array(wanted.value.maybe(batch.column(0).to_numpy())))
             buf, offsets = wordhash.buffers(batch.column(1))
             for a, b in wordhash.chunks(offsets):
                 hashes, starts = wordhash.shingle_sets(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
@@ -99,6 +104,29 @@ def _sets(n: int):
     return run
 
 
+def _within(batches):
+    """Pairs (a, b, s, t) whose signatures s and t are within FAR."""
+    for batch in batches:
+        if batch.num_rows:
+            s, t = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, SLOTS) for k in (2, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array((s != t).sum(1) <= FAR))
+
+
+def _partnered(table: pa.Table) -> pa.Table:
+    """The members of a bucket's block that have a partner in another component within FAR, and those partners."""
+    left = np.flatnonzero(table.column("left").to_numpy(zero_copy_only=False))
+    comp = table.column("component").to_numpy()
+    sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, SLOTS)
+    keep = np.zeros(len(comp), bool)
+    step = max(1, (1 << 18) // max(1, len(comp)))
+    for k in range(0, len(left), step):
+        rows = left[k : k + step]
+        near = ((sig[rows][:, None, :] != sig[None, :, :]).sum(2) <= FAR) & (comp[rows][:, None] != comp[None, :])
+        keep[rows] |= near.any(1)
+        keep |= near.any(0)
+    return table.select(["key", "node", "component"]).filter(pa.array(keep))
+
+
 def _similar(inter, a, b, percent: int):
     return 100 * inter >= percent * (a + b - inter)
 
@@ -153,6 +181,17 @@ def _across(percent: int):
     return run
 
 
+def _contested(placed: DataFrame) -> DataFrame:
+    """Rows (key, node, component) of the buckets that hold several components, dealt into blocks.
+
+    A block has its own members, marked `left`, and all others of the bucket beside them.
+    """
+    split = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n")).where("least < most")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = placed.join(split.select("key", "n"), "key").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return dealt.withColumn("left", F.pmod(F.xxhash64("node"), blocks) == F.col("block")).drop("n")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of `docs`.
 
@@ -173,26 +212,33 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     buckets = buckets.groupBy("n", "leader", "x", "s").agg(F.min("key").alias("key")).select("key", "n", "leader")
     live = durable(keyed.join(buckets, "key").where("node <> leader").distinct(), "buckets")
 
-    pairs = durable(live.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = durable(docs.join(involved, "doc_id").mapInArrow(_sets(shingle), "node long, members binary").where(F.length("members") > 0).distinct(), "sets")
+    signed = classes.groupBy("node").agg(F.min("signature").alias("signature"))
+    pairs = live.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = pairs.join(signed.select(F.col("node").alias("a"), F.col("signature").alias("s")), "a").join(signed.select(F.col("node").alias("b"), F.col("signature").alias("t")), "b")
+    pairs = durable(pairs.select("a", "b", "s", "t").mapInArrow(_within, "a long, b long"), "pairs")
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """(node, members) of the documents that are asked for; the filter keeps most others out of the shuffle."""
+        nodes = durable(nodes.distinct(), "involved")
+        wanted = docs.sparkSession.sparkContext.broadcast(filter_of(nodes))
+        return durable(docs.where("doc_id is not null").mapInArrow(_sets(shingle, wanted), "node long, members binary").join(nodes, "node").where(F.length("members") > 0).distinct(), "sets")
+
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")))
     left, right = sets.select(F.col("node").alias("a"), F.col("members").alias("s")), sets.select(F.col("node").alias("b"), F.col("members").alias("t"))
     first = durable(pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(_confirm(percent), "a long, b long"), "links")
 
     found = components(first)
     placed = live.where("n > 2").join(found.withColumnRenamed("component", "c"), "node", "left").select("key", "node", F.coalesce("c", "node").alias("component"))
-    split = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n")).where("least < most")
-    open_ = durable(placed.join(split.select("key", "n"), "key"), "open")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = open_.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("left", F.pmod(F.xxhash64("node"), blocks) == F.col("block"))
-    second = dealt.join(sets, "node").select("key", "block", "left", "node", "component", "members").groupBy("key", "block").applyInArrow(_across(percent), "a long, b long")
+    open_ = durable(_contested(placed).join(signed, "node").groupBy("key", "block").applyInArrow(_partnered, "key long, node long, component long").distinct(), "open")
+    more = sets_of(open_.select("node"))
+    second = _contested(open_).join(more, "node").groupBy("key", "block").applyInArrow(_across(percent), "a long, b long")
     links = durable(first.unionByName(second).distinct(), "links")
 
     labels = components(links)
     of_class = classes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = sketches.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id")
-    for used in (pairs, first, open_):
+    for used in (pairs, first, open_, sets, more):
         discard(used)
     return out.select("doc_id", "n_shingles", component).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
