@@ -113,7 +113,7 @@ def _within(batches):
 
 
 def _partnered(table: pa.Table) -> pa.Table:
-    """The members of a bucket's block that have a partner in another component within FAR, and those partners."""
+    """The block's own members that have a partner in another component within FAR; a partner is found in its own block."""
     left = np.flatnonzero(table.column("left").to_numpy(zero_copy_only=False))
     comp = table.column("component").to_numpy()
     sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, SLOTS)
@@ -122,8 +122,7 @@ def _partnered(table: pa.Table) -> pa.Table:
     for k in range(0, len(left), step):
         rows = left[k : k + step]
         near = ((sig[rows][:, None, :] != sig[None, :, :]).sum(2) <= FAR) & (comp[rows][:, None] != comp[None, :])
-        keep[rows] |= near.any(1)
-        keep |= near.any(0)
+        keep[rows] = near.any(1)
     return table.select(["key", "node", "component"]).filter(pa.array(keep))
 
 
@@ -229,7 +228,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
     found = components(first)
     placed = live.where("n > 2").join(found.withColumnRenamed("component", "c"), "node", "left").select("key", "node", F.coalesce("c", "node").alias("component"))
-    open_ = durable(_contested(placed).join(signed, "node").groupBy("key", "block").applyInArrow(_partnered, "key long, node long, component long").distinct(), "open")
+    open_ = durable(_contested(placed).join(signed, "node").groupBy("key", "block").applyInArrow(_partnered, "key long, node long, component long"), "open")
     more = sets_of(open_.select("node"))
     second = _contested(open_).join(more, "node").groupBy("key", "block").applyInArrow(_across(percent), "a long, b long")
     links = durable(first.unionByName(second).distinct(), "links")
