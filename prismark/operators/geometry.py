@@ -261,8 +261,16 @@ def perspective_frames(points: DataFrame, k: tuple[float, float, float, float],
     sorted_ = F.array_sort(F.collect_list(F.struct("vp", "u", "v", "confidence")))
     rows = points.groupBy(*keys).agg(sorted_.alias("p")).withColumn("vanishingPoints", F.transform("p", lambda p: F.struct(p.u.alias("u"), p.v.alias("v"), p.confidence.alias("confidence"))))
     at = lambda n, f: F.try_element_at("vanishingPoints", F.lit(n))[f]
-    d = lambda n: im.pixel_direction(at(n, "u"), at(n, "v"), *k)
-    x, y, z = v.orthogonal_frame(d(1), d(2))
+    # step by step, as columns: one expression for all of it would repeat its parts thousands of times
+    for k_ in (1, 2):
+        rows = rows.withColumns({f"__d{k_}{i}": c for i, c in enumerate(im.pixel_direction(at(k_, "u"), at(k_, "v"), *k))})
+    named = lambda p: v.vector(*[f"__{p}{i}" for i in range(3)])
+    rows = rows.withColumns({f"__x{i}": c for i, c in enumerate(v.unit(named("d1")))})
+    rows = rows.withColumn("__t", v.dot(named("d2"), named("x")))
+    rows = rows.withColumns({f"__w{i}": c for i, c in enumerate(v.subtract(named("d2"), v.scale(named("x"), "__t")))})
+    rows = rows.withColumns({f"__y{i}": c for i, c in enumerate(v.scale(v.unit(named("w")), -1.0))})
+    x, y = named("x"), named("y")
+    z = v.cross(x, y)
     c1, c2, c3 = at(1, "confidence"), at(2, "confidence"), at(3, "confidence")
     n = F.size("vanishingPoints")
     candidate = lambda kind, name, conf: F.struct(F.lit(kind).alias("type"), F.lit(name).alias("name"), conf.alias("confidence"))

@@ -45,7 +45,7 @@ def read_ply(spark: SparkSession, path: str) -> DataFrame:
     heads = lines.where("value = 'end_header'").groupBy("file").agg(F.min("line").alias("head"))
     parts = F.split(F.trim("value"), r"\s+")
     body = lines.join(heads, "file").where("line > head and trim(value) <> ''")
-    return body.select("file", (F.col("line") - F.col("head") - 1).cast("long").alias("point_id"), *[F.element_at(parts, k + 1).cast("double").alias(c) for k, c in enumerate("xyz")])
+    return body.select("file", (F.col("line") - F.col("head") - 1).cast("long").alias("point_id"), *[F.try_element_at(parts, F.lit(k + 1)).try_cast("double").alias(c) for k, c in enumerate("xyz")])
 
 
 def read_dxf(spark: SparkSession, path: str) -> DataFrame:

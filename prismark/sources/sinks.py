@@ -153,7 +153,7 @@ def trajectory_json(docs: DataFrame, key: str = "doc") -> DataFrame:
 def reconstruction_json(docs: DataFrame, key: str = "doc") -> DataFrame:
     pose = lambda p: F.concat(F.lit('{"id":'), p.id.cast("string"), F.lit(',"origin":'), _numbers(p.origin, 6), F.lit(',"rotation":'), _numbers(p.rotation, 8), F.lit("}"))
     point = lambda p: F.concat(F.lit("["), F.array_join(F.transform(F.slice(p, 1, 3), lambda x: F.format_string("%.6f", x)), ","), F.lit(","), F.format_string("%.5f", p[3]), F.lit("]"))
-    vec = lambda v: F.concat(F.lit('{"name":"'), v.name, F.lit('","origin":'), _numbers(v.origin, 6), F.lit(',"direction":'), _numbers(v.direction, 8), F.lit(',"lengthMm":'), F.format_string("%.3f", v.lengthMm), F.lit(',"confidence":'), F.format_string("%.4f", v.confidence), F.lit("}"))
+    vec = lambda v: F.concat(F.lit('{"name":"'), v["name"], F.lit('","origin":'), _numbers(v.origin, 6), F.lit(',"direction":'), _numbers(v.direction, 8), F.lit(',"lengthMm":'), F.format_string("%.3f", v.lengthMm), F.lit(',"confidence":'), F.format_string("%.4f", v.confidence), F.lit("}"))
     return docs.select(key, F.concat(F.lit('{"coordinateSystem":"'), F.col("coordinateSystem"), F.lit('","poses":'), _list(F.transform("poses", pose)), F.lit(',"points":'), _list(F.transform("points", point)), F.lit(',"vectors":'), _list(F.transform("vectors", vec)), F.lit("}")).alias("text"))
 
 
