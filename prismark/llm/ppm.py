@@ -94,6 +94,8 @@ class Trees:
         n = len(self.languages)
         whole = max(1, sum(docs.values()))
         self.prior = np.array([-np.log(docs[x] / whole) for x in self.languages])
+        if not n:
+            return
         by_order = []
         for x in self.languages:
             keys, c = counts[x][0].astype(np.uint32), counts[x][1].astype(float)
