@@ -13,7 +13,7 @@ Links are decided on the full sets, never on signatures. A bucket is not expande
 2. Buckets with the same members count once. Each member is compared with its bucket's smallest member.
    Confirmed links give components.
 3. Only in buckets whose other members still lie in several components are members of different components
-   compared, in blocks of `BLOCK` members against the bucket: by signature, which tells the members that have a
+   compared, in blocks of `BLOCK` members outside the largest component against the bucket: by signature, which tells the members that have a
    partner within `FAR`, then those members by their sets. Members of one component need no comparison: a link
    between them changes nothing.
 
@@ -113,7 +113,7 @@ def _within(batches):
 
 
 def _partnered(table: pa.Table) -> pa.Table:
-    """The block's own members that have a partner in another component within FAR; a partner is found in its own block."""
+    """The block's left members that have a partner in another component within FAR, and those partners."""
     left = np.flatnonzero(table.column("left").to_numpy(zero_copy_only=False))
     comp = table.column("component").to_numpy()
     sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, SLOTS)
@@ -122,7 +122,8 @@ def _partnered(table: pa.Table) -> pa.Table:
     for k in range(0, len(left), step):
         rows = left[k : k + step]
         near = ((sig[rows][:, None, :] != sig[None, :, :]).sum(2) <= FAR) & (comp[rows][:, None] != comp[None, :])
-        keep[rows] = near.any(1)
+        keep[rows] |= near.any(1)
+        keep |= near.any(0)
     return table.select(["key", "node", "component"]).filter(pa.array(keep))
 
 
@@ -183,12 +184,16 @@ def _across(percent: int):
 def _contested(placed: DataFrame) -> DataFrame:
     """Rows (key, node, component) of the buckets that hold several components, dealt into blocks.
 
-    A block has its own members, marked `left`, and all others of the bucket beside them.
+    Of two members in different components one at least is outside the bucket's largest component. So only those are
+    `left` members, which look for partners; a block has some of them, and beside them the whole bucket.
     """
-    split = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n")).where("least < most")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = placed.join(split.select("key", "n"), "key").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return dealt.withColumn("left", F.pmod(F.xxhash64("node"), blocks) == F.col("block")).drop("n")
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("m"))
+    split = sizes.groupBy("key").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("n"), F.count("*").alias("kinds")).where("kinds > 1")
+    split = split.select("key", F.col("top.component").alias("largest"), (F.col("n") - F.col("top.m")).alias("rest"))
+    blocks = F.ceil(F.col("rest") / BLOCK).cast("int")
+    dealt = placed.join(split, "key").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    left = (F.col("component") != F.col("largest")) & (F.pmod(F.xxhash64("node"), blocks) == F.col("block"))
+    return dealt.withColumn("left", left).drop("largest", "rest")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -228,7 +233,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
     found = components(first)
     placed = live.where("n > 2").join(found.withColumnRenamed("component", "c"), "node", "left").select("key", "node", F.coalesce("c", "node").alias("component"))
-    open_ = durable(_contested(placed).join(signed, "node").groupBy("key", "block").applyInArrow(_partnered, "key long, node long, component long"), "open")
+    open_ = durable(_contested(placed).join(signed, "node").groupBy("key", "block").applyInArrow(_partnered, "key long, node long, component long").distinct(), "open")
     more = sets_of(open_.select("node"))
     second = _contested(open_).join(more, "node").groupBy("key", "block").applyInArrow(_across(percent), "a long, b long")
     links = durable(first.unionByName(second).distinct(), "links")
