@@ -37,6 +37,8 @@ SHARD_BYTES = 8 << 20
 BATCH = 1 << 16
 GATHERED = 1 << 18
 CHUNK_BYTES = 1 << 19
+#: Numbers of windows from here on do not fit the two bytes of a packed run.
+LONG = 65535
 #: The sample for frequent representatives, how many times in it make one frequent, and how many there are at most.
 SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 4000, 40, 1 << 14
 
@@ -110,21 +112,28 @@ class Runs:
         return Runs(*(np.concatenate([getattr(p, n) for p in parts]) if parts else np.zeros(0, t) for n, t in zip(Runs.NAMES, Runs.TYPES)))
 
     def pack(self) -> bytes:
-        """A column after the other; of the representative, which has chosen the shard, five bytes are enough."""
+        """Their number, then a column after the other; of the representative, which has chosen the shard, five bytes are enough.
+
+        Numbers of windows have two bytes; those that need more stand there as LONG, and whole, in order, at the end.
+        """
         short = self.rep.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-        return b"".join([short.tobytes(), self.whole.astype("<u8").tobytes(), self.doc.astype("<i8").tobytes(), self.start.astype("<i4").tobytes(), np.minimum(self.many, 65535).astype("<u2").tobytes()])
+        long = self.many >= LONG
+        many = np.where(long, LONG, self.many).astype("<u2")
+        return b"".join([np.array([len(self)], "<i8").tobytes(), short.tobytes(), self.whole.astype("<u8").tobytes(), self.doc.astype("<i8").tobytes(), self.start.astype("<i4").tobytes(), many.tobytes(), self.many[long].astype("<i4").tobytes()])
 
     @staticmethod
     def unpack(raw: bytes) -> Runs:
-        n = len(raw) // 27
+        n = int(np.frombuffer(raw, "<i8", 1)[0])
         rep = np.zeros((n, 8), np.uint8)
-        rep[:, :5] = np.frombuffer(raw, np.uint8, 5 * n).reshape(n, 5)
-        at = 5 * n
+        rep[:, :5] = np.frombuffer(raw, np.uint8, 5 * n, 8).reshape(n, 5)
+        at = 8 + 5 * n
         out = [rep.view("<u8").ravel()]
         for kind, width in (("<u8", 8), ("<i8", 8), ("<i4", 4), ("<u2", 2)):
             out.append(np.frombuffer(raw, kind, n, at))
             at += width * n
-        return Runs(out[0], out[1], out[2], out[3], out[4].astype(np.int32))
+        many = out[4].astype(np.int32)
+        many[many == LONG] = np.frombuffer(raw, "<i4", offset=at)
+        return Runs(out[0], out[1], out[2], out[3], many)
 
 
 def first_documents(found: Runs) -> tuple[Runs, Runs]:

@@ -187,6 +187,13 @@ def test_repeated_passages_against_brute_force(docs, frequent, monkeypatch):
     assert got == passages_by_brute_force(rows, 50)
 
 
+def test_repeated_passages_of_runs_over_65535_windows(spark):
+    rows = {1: b"word " * 20000, 2: b"word " * 20000, 3: b" " * 70000, 4: b" " * 80000}
+    apart = spark.sparkContext.parallelize([(i, t.decode()) for i, t in rows.items()], 4)  # each in a map task of its own
+    got = {r.doc_id: tuple(r)[1:] for r in passages.repeated_passages(spark.createDataFrame(apart, "doc_id long, text string")).collect()}
+    assert got == passages_by_brute_force(rows, 50)
+
+
 def test_family_levels_halve():
     family = passages.Family()
     for k in range(20):
