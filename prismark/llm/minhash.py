@@ -70,6 +70,15 @@ def bucket_keys(signature: np.ndarray) -> np.ndarray:
     return np.stack(keys, 1)
 
 
+def _digest(members: np.ndarray) -> bytes:
+    return hashlib.blake2b(members.tobytes(), digest_size=16).digest()
+
+
+def _stand_in(digest: bytes) -> int:
+    """The node of a class whose rows have no id."""
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
 def _sketch(n: int):
     def run(batches):
         for batch in batches:
@@ -77,8 +86,10 @@ def _sketch(n: int):
             for a, b in wordhash.chunks(offsets):
                 hashes, starts = wordhash.shingle_sets(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
                 sig = signatures(hashes, starts)
-                digests = [hashlib.blake2b(hashes[x:y].tobytes(), digest_size=16).digest() for x, y in zip(starts[:-1], starts[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(np.diff(starts), pa.int64()), pa.array(digests, pa.binary()), pa.array([r.tobytes() for r in sig], pa.binary())], names=["doc_id", "n_shingles", "digest", "signature"])
+                digests = [_digest(hashes[x:y]) for x, y in zip(starts[:-1], starts[1:])]
+                ids = batch.column(0)[a:b]
+                named = [None if known else _stand_in(d) for known, d in zip(ids.is_valid().to_pylist(), digests)]
+                yield pa.RecordBatch.from_arrays([ids, batch.column(2)[a:b], pa.array(named, pa.int64()), pa.array(np.diff(starts), pa.int64()), pa.array(digests, pa.binary()), pa.array([r.tobytes() for r in sig], pa.binary())], names=["doc_id", "given", "stand_in", "n_shingles", "digest", "signature"])
 
     return run
 
@@ -95,11 +106,14 @@ def _keys(batches):
 def _sets(n: int, wanted):
     def run(batches):
         for batch in batches:
-            batch = batch.filter(pa.array(wanted.value.maybe(batch.column(0).to_numpy())))
+            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array(~known | wanted.value.maybe(batch.column(0).fill_null(0).to_numpy())))
             buf, offsets = wordhash.buffers(batch.column(1))
             for a, b in wordhash.chunks(offsets):
                 hashes, starts = wordhash.shingle_sets(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([hashes[x:y].tobytes() for x, y in zip(starts[:-1], starts[1:])], pa.binary())], names=["node", "members"])
+                members = [hashes[x:y] for x, y in zip(starts[:-1], starts[1:])]
+                nodes = np.array([_stand_in(_digest(m)) if i is None else i for i, m in zip(batch.column(0)[a:b].to_pylist(), members)], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([m.tobytes() for m in members], pa.binary())], names=["node", "members"]).filter(pa.array(wanted.value.maybe(nodes)))
 
     return run
 
@@ -196,19 +210,23 @@ def _contested(placed: DataFrame) -> DataFrame:
     return dealt.withColumn("left", left).drop("largest", "rest")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of `docs`.
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of `docs`; with `row_col`, a key of the rows, that too.
 
     Words are runs of bytes other than space and 9-13, A-Z lower-cased. Two documents are linked if their sets'
     Jaccard similarity is at least percent / 100; component_id is the smallest id reachable over links.
 
     Null and empty texts and texts without words have no shingles and are linked with nothing. Texts shorter than
     a shingle have their whole sequence as their only one. Rows with the same id count as one document (their
-    rows all stay). An empty table gives an empty result. Other columns are not read.
+    rows all stay). Each row without an id is a document of its own: an id in its component goes before it; where there is
+    none, component_id is null and one of the rows stays. Their nodes are 64-bit hashes of their sets. An empty table gives
+    an empty result. Other columns are not read.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketches = durable(docs.mapInArrow(_sketch(shingle), "doc_id long, n_shingles long, digest binary, signature binary"), "sketches")
-    classes = durable(sketches.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "signature")).alias("x")).select("digest", F.col("x.doc_id").alias("node"), F.col("x.signature").alias("signature")), "classes")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("given"))
+    sketches = docs.mapInArrow(_sketch(shingle), "doc_id long, given long, stand_in long, n_shingles long, digest binary, signature binary")
+    sketches = durable(sketches.withColumn("row", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())), "sketches")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", "stand_in").alias("node"), "signature")).alias("x")
+    classes = durable(sketches.where("n_shingles > 0").groupBy("digest").agg(least).select("digest", "x.unnamed", "x.node", "x.signature"), "classes")
 
     keyed = classes.select("node", "signature").mapInArrow(_keys, "key long, node long")
     mixed = F.xxhash64("node")
@@ -225,7 +243,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         """(node, members) of the documents that are asked for; the filter keeps most others out of the shuffle."""
         nodes = durable(nodes.distinct(), "involved")
         wanted = docs.sparkSession.sparkContext.broadcast(filter_of(nodes))
-        return durable(docs.where("doc_id is not null").mapInArrow(_sets(shingle, wanted), "node long, members binary").join(nodes, "node").where(F.length("members") > 0).distinct(), "sets")
+        return durable(docs.select("doc_id", "text").mapInArrow(_sets(shingle, wanted), "node long, members binary").join(nodes, "node").where(F.length("members") > 0).distinct(), "sets")
 
     sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")))
     left, right = sets.select(F.col("node").alias("a"), F.col("members").alias("s")), sets.select(F.col("node").alias("b"), F.col("members").alias("t"))
@@ -239,15 +257,35 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     links = durable(first.unionByName(second).distinct(), "links")
 
     labels = components(links)
-    of_class = classes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    out = sketches.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id")
+    of_class = classes.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+    out = sketches.select("doc_id", "given", "row", "n_shingles", "digest").join(of_class, "digest", "left")
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
+    if sketches.where("doc_id is null").limit(1).count():
+        out = _renamed(out, classes, labels)
+    else:
+        out = out.select("doc_id", "given", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
     for used in (pairs, first, open_, sets, more):
         discard(used)
-    return out.select("doc_id", "n_shingles", component).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.select(*([F.col("given").alias(row_col)] if row_col else []), "doc_id", "n_shingles", "component_id", "kept")
+
+
+def _renamed(out: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """`out` with component_id and kept where some rows have no id: components are named after the least id that they have."""
+    nodes = classes.select("node", "unnamed").distinct().join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    names = nodes.groupBy("component").agg(F.min(F.when(~F.col("unnamed"), F.col("node"))).alias("component_id"))
+    named = names.where("component_id is null or component_id <> component").withColumn("other", F.lit(True))
+    # a label that is an id is its component's name already, so only the components of other labels are looked up
+    looked = durable(out.join(named, "component", "left").select("doc_id", "given", "row", "n_shingles", "component", F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("other"), F.col("component_id")).otherwise(F.col("component")).alias("component_id")), "looked")
+    with_id = looked.where("doc_id is not null").withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    without = looked.where("doc_id is null")
+    firsts = without.where("component_id is null and n_shingles > 0").groupBy("component").agg(F.min("row").alias("row")).select("row", F.lit(True).alias("first"))
+    without = without.join(firsts, "row", "left").withColumn("kept", F.coalesce("first", F.col("n_shingles") == 0))
+    columns = ["doc_id", "given", "n_shingles", "component_id", "kept"]
+    return with_id.select(*columns).unionByName(without.select(*columns))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` whose document stays, one of each component, with all their columns."""
-    kept = near_duplicates(docs, shingle, percent).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """The rows of `docs` (a stored table) that stay, one document of each component, with all their columns."""
+    numbered = docs.withColumn("__row", F.monotonically_increasing_id())  # of a stored table: the same at every reading
+    kept = near_duplicates(numbered, shingle, percent, row_col="__row").where("kept").select("__row")
+    return numbered.join(kept, "__row", "left_semi").select(*docs.columns)

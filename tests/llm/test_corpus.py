@@ -82,6 +82,23 @@ def test_near_duplicates_against_all_pairs(docs, n):
     assert got == {i: (len(a), find(i), find(i) == i) for i, a in rows}
 
 
+def test_near_duplicates_without_ids(spark):
+    rng = random.Random(9)
+    bodies = [" ".join(rng.choices(WORDS, k=80)) for _ in range(6)]
+    near = lambda k: bodies[k] + " rho"
+    rows = [(5, bodies[0]), (6, bodies[0]), (None, bodies[0]), (7, bodies[1]), (None, near(1)), (None, bodies[2]), (None, bodies[2]), (None, near(2)), (8, near(3)), (9, bodies[3])]
+    rows += [(None, bodies[4]), (10, bodies[5]), (10, bodies[5]), (None, None), (None, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(minhash.near_duplicates(d, 2).select("doc_id", "component_id", "kept").collect(), key=str)
+    want = [(5, 5, True), (6, 5, False), (None, 5, False), (7, 7, True), (None, 7, False), (None, None, True), (None, None, False), (None, None, False), (8, 8, True), (9, 8, False)]
+    want += [(None, None, True), (10, 10, True), (10, 10, True), (None, None, True), (None, None, True)]
+    assert Counter(map(tuple, got)) == Counter(want)
+    kept = Counter(tuple(r) for r in minhash.drop_near_duplicates(d, 2).collect())
+    group = [x for x in kept if x[0] is None and x[1] in (bodies[2], near(2))]
+    assert len(group) == 1 and kept.pop(group[0]) == 1
+    assert kept == Counter([(5, bodies[0]), (7, bodies[1]), (8, near(3)), (None, bodies[4]), (10, bodies[5]), (10, bodies[5]), (None, None), (None, "")])
+
+
 def test_links_between_components_of_one_bucket():
     near = set(range(100))
     sets = [near, near ^ {0, 200}, set(range(300, 400)), near ^ {1, 201, 2, 202, 3, 203}]
