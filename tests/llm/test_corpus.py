@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import warnings
 import zlib
 from collections import Counter, defaultdict
 
@@ -311,6 +312,17 @@ def test_rates_meet_targets(spark):
     assert reached.tolist() == [0, 0, 0]
 
 
+def test_rates_of_rare_domains_and_missed_targets(spark):
+    rows = [(k, 100, *((1.0, 0.0) if k else (0.0, 1.0))) for k in range(100)]
+    members = spark.createDataFrame(rows, "doc_id long, n_tokens long, p_a double, p_b double")
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", RuntimeWarning)
+        moves, reached, wanted = mixing.fit_rates(members, ["a", "b"], {"a": 0.8, "b": 0.2})
+    assert np.allclose(reached, wanted, rtol=1e-3) and mixing.rates(np.array([[0.0, 1.0]]), moves, 0.0, np.inf)[0] == pytest.approx(20, rel=1e-3)
+    with pytest.warns(RuntimeWarning, match="b 0 of 1980"):
+        mixing.fit_rates(members.where("doc_id > 0"), ["a", "b"], {"a": 0.8, "b": 0.2})
+
+
 def test_empty_tables(empty, spark):
     assert minhash.near_duplicates(empty, 2).count() == 0
     assert tokens.token_counts(empty, vocabulary()).count() == 0
