@@ -38,7 +38,7 @@ CHUNKS, WIDTH, ERRORS, BITS = 13, 5, 1, 16
 SLOTS = CHUNKS * WIDTH
 #: All pairs within this distance share a bucket.
 GUARANTEED = CHUNKS * (ERRORS + 1) - 1
-#: Distance beyond which a shared bucket is chance: two sets of similarity 0.8 exceed it once in ten million times.
+#: Distance beyond which a shared bucket counts as chance, with leaders too: two sets of similarity 0.8 exceed it five times in ten million.
 FAR = 30
 BLOCK = 1024
 
