@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
+from .store import discard, durable
 
 #: Bytes of the word prefixes that are features beside whole words; they catch inflected forms.
 PREFIXES = (4, 5, 6, 8)
@@ -23,8 +24,8 @@ _WORDY = np.zeros(256, bool)
 _WORDY[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
 
-def of_texts(buf: np.ndarray, offsets: np.ndarray, shape: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(document, feature) pairs, each once, sorted by document; with `shape` also how the text is made."""
+def _candidates(buf: np.ndarray, offsets: np.ndarray, shape: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(document, feature) pairs as they come, repeated ones too."""
     low = wordhash.LOWER[buf]
     dark = _WORDY[low]
     edge = np.zeros(len(buf) + 1, bool)
@@ -36,27 +37,34 @@ def of_texts(buf: np.ndarray, offsets: np.ndarray, shape: bool = False) -> tuple
     starts, ends = at[:-1], at[1:]
     word = dark[starts] if len(buf) else np.zeros(0, bool)
     starts, ends = (starts[word], ends[word]) if len(buf) else (np.zeros(0, int), np.zeros(0, int))
-    doc = np.searchsorted(offsets, starts, "right") - 1
+    n_docs = len(offsets) - 1
+    doc = np.repeat(np.arange(n_docs), np.diff(np.searchsorted(starts, offsets)))
     sums = wordhash.prefix_sums(low)
     docs, found = [doc], [wordhash.substring_hashes(sums, starts, ends)]
+    long = np.arange(len(starts))
     for n in PREFIXES:
-        long = ends - starts > n
+        long = long[ends[long] - starts[long] > n]
         docs.append(doc[long])
         found.append(wordhash.mix(wordhash.substring_hashes(sums, starts[long], starts[long] + n) + np.uint64(n)))
-    n_docs = len(offsets) - 1
     if shape:
         words = np.bincount(doc, minlength=n_docs)
         letters = np.bincount(doc, ends - starts, n_docs)
-        first = np.unique(np.stack([doc.astype(np.uint64), found[0]], 1), axis=0)[:, 0].astype(int) if len(doc) else np.zeros(0, int)
-        distinct = np.bincount(first, minlength=n_docs)
+        kinds = np.sort((doc.astype(np.uint64) << np.uint64(40)) | (found[0] >> np.uint64(24)))
+        kinds = kinds[np.append(True, kinds[1:] != kinds[:-1])] if len(kinds) else kinds
+        distinct = np.bincount((kinds >> np.uint64(40)).astype(np.int64), minlength=n_docs)
         size = np.diff(offsets)
-        lines = np.add.reduceat(np.append(buf == 10, False).astype(int), offsets[:-1]) * (size > 0) if n_docs else np.zeros(0, int)
-        signs = np.add.reduceat(np.append(~dark & ~wordhash.WHITE[low], False).astype(int), offsets[:-1]) * (size > 0) if n_docs else np.zeros(0, int)
+        within = lambda mark: np.diff(np.append(0, np.cumsum(mark))[offsets])
+        lines, signs = within(buf == 10), within(~dark & ~wordhash.WHITE[low])
         log = lambda x: np.floor(4 * np.log2(np.maximum(x, 1e-3))).astype(np.int64)
         for k, v in enumerate((log(words), log(letters / np.maximum(words, 1)), log(distinct / np.maximum(words, 1)), log(signs / np.maximum(size, 1)), log(lines / np.maximum(words, 1)))):
             docs.append(np.arange(n_docs))
             found.append(wordhash.mix((v * 64 + k).astype(np.uint64) ^ np.uint64(0x5EED5EED)))
-    docs, found = np.concatenate(docs), np.concatenate(found)
+    return np.concatenate(docs), np.concatenate(found)
+
+
+def of_texts(buf: np.ndarray, offsets: np.ndarray, shape: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(document, feature) pairs, each once, sorted by document; with `shape` also how the text is made."""
+    docs, found = _candidates(buf, offsets, shape)
     order = np.lexsort((found, docs))
     docs, found = docs[order], found[order]
     keep = np.ones(len(docs), bool)
@@ -74,6 +82,9 @@ class Listed:
 
     def __init__(self, features: np.ndarray):
         self.features = np.sort(features.astype(np.uint64))
+        self.width = len(self.features)
+        self._seen = np.zeros(1 << 16, bool)
+        self._seen[(self.features >> np.uint64(48)).astype(np.int64)] = True
 
     def columns(self, found: np.ndarray) -> np.ndarray:
         if not len(self.features):
@@ -82,10 +93,12 @@ class Listed:
         return np.where(self.features[at] == found, at, -1)
 
     def rows(self, buf: np.ndarray, offsets: np.ndarray, shape: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """(document, column) pairs of the listed features in each text."""
-        docs, found = of_texts(buf, offsets, shape)
-        column = self.columns(found)
-        return docs[column >= 0], column[column >= 0]
+        """(document, column) pairs of the listed features in each text, each once, by document and column."""
+        docs, found = _candidates(buf, offsets, shape)
+        maybe = np.flatnonzero(self._seen[(found >> np.uint64(48)).astype(np.int64)])  # a first look that keeps all listed ones
+        docs, column = docs[maybe], self.columns(found[maybe])
+        pairs = np.unique(docs[column >= 0] * max(1, self.width) + column[column >= 0])
+        return pairs // max(1, self.width), pairs % max(1, self.width)
 
 
 def sample_by_hash(rows: DataFrame, most: int, key: str, salt: str) -> DataFrame:
@@ -120,19 +133,17 @@ def choose(labelled: DataFrame, kinds: int, most: int, least_docs: int = 5, shap
     counts = labelled.select("text", "kind").mapInArrow(_tally(shape), "feature long, kind int, n long")
     wide = counts.groupBy("feature").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).cast("double").alias(f"n{k}") for k in range(kinds)])
     have = sum((F.col(f"n{k}") for k in range(1, kinds)), F.col("n0"))
-    wide = wide.where(have >= least_docs)
-    total, parts = float(sizes.sum()), []
+    wide = durable(wide.where(have >= least_docs), "features")
+    total, found = float(sizes.sum()), {}
     for k in range(kinds):
         if 0 < sizes[k] < total:
             share = float(sizes[k] / total)
             value = (F.col(f"n{k}") - have * share) ** 2 / (have * (1 - have / (total + 1)))
-            parts.append(wide.withColumn("value", value).orderBy(F.desc("value"), "feature").limit(most).drop("value"))
-    if not parts:
+            for r in wide.withColumn("value", value).orderBy(F.desc("value"), "feature").limit(most).drop("value").collect():
+                found[r["feature"]] = [r[f"n{j}"] for j in range(kinds)]
+    discard(wide)
+    if not found:
         return Listed(np.zeros(0, np.uint64)), np.zeros((0, kinds)), sizes
-    found: dict[int, list[float]] = {}
-    for part in parts:
-        for r in part.collect():
-            found[r["feature"]] = [r[f"n{k}"] for k in range(kinds)]
     keys = np.array(list(found), np.int64).view(np.uint64)
     order = np.argsort(keys)
     return Listed(keys), np.array(list(found.values()))[order], sizes

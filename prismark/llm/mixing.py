@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lexical, wordhash
-from .store import durable
+from .store import discard, durable
+from .tokens import Encoder
 
 SAMPLE_ROWS = 12_000
 FEATURES = 600
@@ -40,37 +41,45 @@ class Domains:
 
 
 def fit_domains(docs: DataFrame, labelled: DataFrame, names: Sequence[str], sample_rows: int = SAMPLE_ROWS, features: int = FEATURES) -> Domains:
-    """From `labelled` (doc_id, domain), about `sample_rows` rows of it by a hash of their id."""
+    """From `labelled` (doc_id, domain), about `sample_rows` rows of it by a hash of their id.
+
+    Labels of other domains, null labels and null ids are left out; of several labels of an id the one named last counts. The
+    rows are written once, and everything is learned from them there.
+    """
     place = F.coalesce(*[F.when(F.col("domain") == x, k) for k, x in enumerate(names)])
     known = labelled.select("doc_id", place.alias("kind")).where("kind is not null and doc_id is not null").groupBy("doc_id").agg(F.max("kind").alias("kind"))
     rows = docs.select("doc_id", "text").join(F.broadcast(lexical.sample_by_hash(known, sample_rows, "doc_id", "domain")), "doc_id").select("text", "kind")
+    rows = durable(rows, "sample")
     listed, _, sizes = lexical.choose(rows, len(names), features, shape=True)
     if not len(listed.features):
         share = (sizes + 0.5) / (sizes + 0.5).sum()
+        discard(rows)
         return Domains(names, listed, np.zeros((0, len(names))), np.log(share))
     kind, starts, columns = lexical.matrix(rows, listed, shape=True)
+    discard(rows)
     return Domains(names, listed, *lexical.softmax_regression(np.eye(len(names))[kind], starts, columns, len(listed.features)))
 
 
-def _posteriors(shared):
+def _posteriors(shared, vocabulary: str):
     def run(batches):
         domains: Domains = shared.value
+        encoder = Encoder.of(vocabulary)
         for batch in batches:
             buf, offsets = wordhash.buffers(batch.column(1))
             for a, b in wordhash.chunks(offsets):
                 own, at = buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 p = lexical.posteriors(domains.listed.rows(own, at, shape=True), b - a, domains.weight, domains.bias)
-                n = np.diff(wordhash.word_spans(own, at)[2])
+                n = encoder.counts(own, at)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(n.astype(np.int64)), *(pa.array(np.round(p[:, k], 6)) for k in range(p.shape[1]))], names=["doc_id", "n_tokens", *(f"p_{x}" for x in domains.names)])
 
     return run
 
 
-def memberships(docs: DataFrame, domains: Domains) -> DataFrame:
-    """(doc_id, n_tokens, p_<domain>...): words and posterior, to six decimals, of every whole text."""
+def memberships(docs: DataFrame, domains: Domains, vocabulary: str) -> DataFrame:
+    """(doc_id, n_tokens, p_<domain>...): tokens of the vocabulary and posterior, to six decimals, of every whole text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = ", ".join([f"doc_id {kind}", "n_tokens long", *(f"p_{x} double" for x in domains.names)])
-    return docs.select("doc_id", "text").mapInArrow(_posteriors(docs.sparkSession.sparkContext.broadcast(domains)), schema)
+    return docs.select("doc_id", "text").mapInArrow(_posteriors(docs.sparkSession.sparkContext.broadcast(domains), vocabulary), schema)
 
 
 def rates(p: np.ndarray, moves: np.ndarray, low: float, high: float) -> np.ndarray:
@@ -107,6 +116,10 @@ def _with_rates(k: int, moves: np.ndarray, low: float, high: float):
     return run
 
 
+def misses(reached: np.ndarray, wanted: np.ndarray) -> bool:
+    return bool(np.abs(reached - wanted).max() > MISSED * max(wanted.sum(), 1))
+
+
 def fit_rates(members: DataFrame, names: Sequence[str], targets: Mapping[str, float], total: float | None = None, low: float = 0.0, high: float = math.inf, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(steps taken, reached totals, wanted totals); `rates` turns the steps into a row's rate.
 
@@ -133,7 +146,7 @@ def fit_rates(members: DataFrame, names: Sequence[str], targets: Mapping[str, fl
         if np.abs(off).max() <= TOLERANCE * max(whole, 1) or (len(moves) and np.abs(reached - before).max() <= TOLERANCE * max(whole, 1)):
             break
         moves = np.vstack([moves, np.round(inverse @ off, 12)])
-    if np.abs(reached - wanted).max() > MISSED * max(wanted.sum(), 1):
+    if misses(reached, wanted):
         told = ", ".join(f"{x} {r:.0f} of {w:.0f}" for x, r, w in zip(names, reached, wanted))
         warnings.warn(f"mixing misses its targets: expected tokens reached of wanted: {told}", RuntimeWarning, stacklevel=2)
     return moves, reached, wanted
@@ -146,28 +159,34 @@ def repeating_total(members: DataFrame, names: Sequence[str], targets: Mapping[s
     return max(row[x] * whole / float(targets[x]) for x in names)
 
 
-def mixed(docs: DataFrame, domains: Domains, targets: Mapping[str, float], low: float = 0.0, high: float = math.inf, repeat_only: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, p_<domain>..., rate, copies) for every row; with `repeat_only` no rate is below 1.
+def mixed(docs: DataFrame, domains: Domains, targets: Mapping[str, float], vocabulary: str, low: float = 0.0, high: float = math.inf, repeat_only: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, p_<domain>..., rate, copies, targets_met) for every row; with `repeat_only` no rate is below 1.
 
-    copies is the rate, rounded down or up by a hash of the id so that its expectation is the rate. Null counts as empty: no
-    tokens, and a rate from its posterior as any text. Rows that are repeated have the same rate. Without rows or tokens
-    all rates are 1, within the bounds. Other columns are not read.
+    copies is the rate, rounded down or up by a hash of the id so that its expectation is the rate. targets_met tells, alike in
+    all rows, whether every domain's expected tokens are within MISSED of what was wanted. Null counts as empty: no
+    tokens, and a rate from its posterior as any text. Rows that are repeated, and rows with a null id and one text, have
+    the same rate. Without rows or tokens all rates are 1, within the bounds. Other columns are not read.
     """
-    members = durable(memberships(docs, domains), "members")
+    members = durable(memberships(docs, domains, vocabulary), "members")
     low = max(low, 1.0) if repeat_only else low
     total = repeating_total(members, domains.names, targets) if repeat_only else None
-    moves, _, _ = fit_rates(members, domains.names, targets, total, low, high)
+    moves, reached, wanted = fit_rates(members, domains.names, targets, total, low, high)
     rated = members.mapInArrow(_with_rates(len(domains.names), moves, low, high), ", ".join([*(f"{n} {t}" for n, t in members.dtypes), "rate double"]))
     draw = F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     copies = (F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
-    return rated.withColumn("copies", copies)
+    return rated.withColumn("copies", copies).withColumn("targets_met", F.lit(bool(not misses(reached, wanted))))
+
 
+def remixed(docs: DataFrame, domains: Domains, targets: Mapping[str, float], vocabulary: str, **options) -> DataFrame:
+    """The rows of `docs` as often as their copies say, with all their columns.
 
-def remixed(docs: DataFrame, domains: Domains, targets: Mapping[str, float], **options) -> DataFrame:
-    """The rows of `docs` as often as their copies say, with all their columns; rows with one id share their rate."""
-    copies = mixed(docs, domains, targets, **options).groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    many = docs.join(copies, docs["doc_id"].eqNullSafe(copies["doc_id"])).drop(copies["doc_id"])
-    return many.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    Rows with one id, and all rows without one, share the greatest of their rates; no row is lost when `repeat_only` is set. An
+    empty table stays empty. Columns of any name may be there; they are carried whole.
+    """
+    copies = mixed(docs, domains, targets, vocabulary, **options).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__own")
+    many = docs.select(own).join(copies, F.col("__own.doc_id").eqNullSafe(F.col("__id")))
+    return many.select("__own", F.explode(F.array_repeat(F.lit(1), F.col("__copies"))).alias("__copy")).select("__own.*")
 
 
 #: Domains of the labelled table of the driver: what a text is, by its two labels.

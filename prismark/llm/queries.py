@@ -57,7 +57,7 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Rates of every document for which the expected tokens of good, poor and toxic text meet their targets."""
     docs = table(spark, folder, "documents")
     domains = mixing.fit_domains(docs, mixing.domain_labels(table(spark, folder, "labels")), mixing.DOMAINS)
-    return mixing.mixed(docs, domains, mixing.TARGETS)
+    return mixing.mixed(docs, domains, mixing.TARGETS, vocabulary())
 
 
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:

@@ -52,8 +52,9 @@ class Encoder:
         return _encoders[path]
 
     def forget(self) -> None:
-        """Pieces by sorted hash, and where the ids of each lie in the pool."""
-        self.known, self.first, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        """Rows of the pieces by hash, and where the ids of each lie in the pool."""
+        self.rows = wordhash.Table(16)
+        self.first, self.size = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def encode(self, texts: list[str]) -> list[list[int]]:
@@ -63,22 +64,17 @@ class Encoder:
         for k in range(0, len(texts), 20_000):
             ids = self.encode(texts[k : k + 20_000])
             size = np.fromiter(map(len, ids), np.int64, len(ids))
-            total = int(size.sum())
+            total, at = int(size.sum()), self.rows.n
             while self.used + total > len(self.pool):
                 self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+            while at + len(ids) > len(self.size):
+                self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
             self.pool[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, total)
-            known = np.concatenate([self.known, hashes[k : k + 20_000]])
-            order = np.argsort(known, kind="stable")
-            self.first = np.concatenate([self.first, self.used + np.cumsum(size) - size])[order]
-            self.size = np.concatenate([self.size, size])[order]
-            self.known = known[order]
+            self.first[at : at + len(ids)] = self.used + np.cumsum(size) - size
+            self.size[at : at + len(ids)] = size
+            self.rows.add(hashes[k : k + 20_000])
             self.used += total
 
-    def _find(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.known, hashes)
-        at[at == len(self.known)] = 0
-        return at
-
     def pieces(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place in the tables of each piece, end of each piece, pieces before each document)."""
         letter, sign = _ASCII_LETTER[buf], _SIGN[buf]
@@ -90,14 +86,16 @@ class Encoder:
         special = np.flatnonzero(special[ends] > special[starts])
         if len(special):  # special strings are told by case
             hashes[special] = wordhash.mix(wordhash.substring_hashes(wordhash.prefix_sums(buf), starts[special], ends[special]) + np.uint64(1))
-        kinds, one, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) > REMEMBERED:
+        if self.rows.n > REMEMBERED:
             self.forget()
-        new = np.flatnonzero(self.known[self._find(kinds)] != kinds) if len(self.known) else np.arange(len(kinds))
+        place = self.rows.find(hashes)
+        new = np.flatnonzero(place < 0)
         if len(new):
-            raw = buf.tobytes()
-            self._learn(kinds[new], [raw[a:b].decode() for a, b in zip(starts[one[new]].tolist(), ends[one[new]].tolist())])
-        return self._find(kinds)[which], ends, firsts
+            kinds, one = np.unique(hashes[new], return_index=True)
+            raw, one = buf.tobytes(), new[one]
+            self._learn(kinds, [raw[a:b].decode() for a, b in zip(starts[one].tolist(), ends[one].tolist())])
+            place[new] = self.rows.find(hashes[new])
+        return place, ends, firsts
 
     def counts(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         place, _, firsts = self.pieces(buf, offsets)

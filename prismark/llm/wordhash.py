@@ -130,3 +130,47 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarr
     keep = np.ones(len(out), bool)
     keep[1:] = (out[1:] != out[:-1]) | (doc[1:] != doc[:-1])
     return out[keep], np.searchsorted(doc[keep], np.arange(len(counts) + 1))
+
+
+class Table:
+    """An open hash table from 64-bit keys to row numbers, for whole arrays at a time; it grows as keys are added."""
+
+    def __init__(self, bits: int = 12):
+        self.bits, self.n = bits, 0
+        self.keys, self.rows = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * _BASE) >> _U(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each key, -1 where there is none."""
+        slot = self._slots(keys)
+        out = self.rows[slot]
+        wrong = np.flatnonzero((self.keys[slot] != keys) & (out >= 0))
+        last = (1 << self.bits) - 1
+        while len(wrong):
+            at = slot[wrong] = (slot[wrong] + 1) & last
+            out[wrong] = self.rows[at]
+            wrong = wrong[(self.keys[at] != keys[wrong]) & (out[wrong] >= 0)]
+        return out
+
+    def add(self, keys: np.ndarray, rows: np.ndarray | None = None) -> None:
+        """Keys that are distinct and not there yet; their rows are numbered on if not given."""
+        rows = np.arange(self.n, self.n + len(keys), dtype=np.int32) if rows is None else rows
+        if (self.n + len(keys)) * 2 > len(self.keys):
+            have = self.rows >= 0
+            old_keys, old_rows = self.keys[have], self.rows[have]
+            self.__init__(int(np.ceil(np.log2((self.n + len(keys)) * 4))))
+            self.add(old_keys, old_rows)
+        self.n += len(keys)
+        slot, left = self._slots(keys), np.arange(len(keys))
+        last = (1 << self.bits) - 1
+        while len(left):
+            free = left[self.rows[slot[left]] < 0]
+            self.rows[slot[free]] = rows[free]  # of several for one slot, the last one written stays
+            won = free[self.rows[slot[free]] == rows[free]]
+            self.keys[slot[won]] = keys[won]
+            lost = np.ones(len(keys), bool)
+            lost[won] = False
+            left = left[lost[left]]
+            slot[left] = (slot[left] + 1) & last

@@ -249,39 +249,6 @@ def test_retrieval_returns_the_likest_unused():
     assert index.neighbours(0, np.array([0, 1, 0, 1, 1.0])).tolist() == [4]
 
 
-def test_code_lengths_against_a_plain_model():
-    trees = ppm.Trees({"a": tuple(map(np.array, ([0x61, 0x6162, 0x616263, 0x61626364], [2, 2, 1, 1]))), "b": (np.array([0x62, 0x6263]), np.array([1, 1]))}, {"a": 1, "b": 1})
-    counts = {"a": {(b"\0\0\0", 97): 2, (b"\0\0a", 98): 2, (b"\0ab", 99): 1, (b"abc", 100): 1}, "b": {(b"\0\0\0", 98): 1, (b"\0\0b", 99): 1}}
-
-    def cost(lang, context, byte):
-        out = 0.0
-        for o in (3, 2, 1, 0):
-            c = Counter()
-            for (ctx, s), n in counts[lang].items():
-                if ctx[3 - o :] == context[3 - o :]:
-                    c[s] += n
-            if c:
-                total = sum(c.values()) + len(c)
-                if byte in c:
-                    return out - np.log(c[byte] / total)
-                out -= np.log(len(c) / total)
-        return out + np.log(256)
-
-    for text in (b"abcd", b"bcz", b"zzab", b"\xc3\xa9"):
-        buf = np.frombuffer(text, np.uint8)
-        want = [sum(cost(x, (b"\0\0\0" + text)[k : k + 3], text[k]) for k in range(len(text))) for x in "ab"]
-        assert np.allclose(trees.code_lengths(buf, np.array([0, len(buf)]))[0], want, atol=1e-4)
-
-
-def test_languages_of_made_up_texts(spark):
-    rng = random.Random(2)
-    words = {"xx": ["the", "thing", "with", "other"], "yy": ["der", "schön", "über", "nicht"]}
-    rows = [(k, " ".join(rng.choices(words[x], k=30)), x) for k in range(120) for x in (("xx", "yy")[k % 2],)] + [(500, None, "xx"), (501, "123 !?", "xx"), (502, "", None), (503, "ÜBER", None)]
-    got = {r.doc_id: r for r in ppm.identify_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
-    assert all(got[k].lang_pred == x for k, _, x in rows[:120]) and [got[k].lang_pred for k in (500, 501, 502)] == ["und"] * 3 and 0 <= got[503].score <= 1
-    assert all(got[k].held_out == ppm.in_fold(k, (5, 0)) for k in got)
-
-
 def test_label_model_repairs_labels():
     rng = np.random.default_rng(3)
     truth = rng.random(2000) < 0.2
@@ -350,5 +317,5 @@ def test_pipeline_stages(spark):
     assert kept == {i for i, t in rows if (i % 5 or i >= 200)} - {1, 203}  # 200 has more characters than 1; 202 and 203 are alike
     assert 201 not in {r.doc_id for r in minhash.drop_near_duplicates(left).collect()}
     domains = mixing.fit_domains(left, mixing.domain_labels(labels), list(corpus_pipeline.TARGETS))
-    many = mixing.remixed(left, domains, corpus_pipeline.TARGETS, repeat_only=True)
+    many = mixing.remixed(left, domains, corpus_pipeline.TARGETS, vocabulary(), repeat_only=True)
     assert many.columns == left.columns and {r.doc_id for r in many.collect()} == {r.doc_id for r in left.collect()}
