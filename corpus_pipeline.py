@@ -14,7 +14,7 @@ from prismark.llm.queries import table, vocabulary
 from prismark.llm.store import durable
 
 #: Shares of the mixture's tokens by domain.
-TARGETS = {"good": 0.88, "poor": 0.12}
+TARGETS = {"good": 0.9, "poor": 0.1}
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -31,7 +31,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataF
 
 def mix(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     domains = mixing.fit_domains(docs, mixing.domain_labels(table(spark, folder, "labels")), list(TARGETS))
-    return mixing.remixed(docs, domains, TARGETS, repeat_only=True)
+    return mixing.remixed(docs, domains, TARGETS, vocabulary(), repeat_only=True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
