@@ -5,27 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import durable
+from ..storage import discard, durable
 
 
-def connected(links: DataFrame, rounds: int = 64) -> DataFrame:
-    """(node, component) of links (a, b): least reachable node, by minimum labels and pointer jumping.
+def connected(links: DataFrame, rounds: int = 200) -> DataFrame:
+    """(node, component) of links (a, b): the least node that each can reach.
 
-    Each round is written to the shared folder; only whether anything changed reaches the driver.
+    Minimum labels with pointer jumping: a round takes the least label among the neighbours, then the label of that
+    label, so a chain of length n needs about log n rounds. Every round is written to the shared folder and the one before it
+    deleted; only whether anything changed reaches the driver. Loops, repeated links and both directions are fine.
     """
-    keep = lambda df: durable(df, "labels")
-    both = keep(links.select("a", "b").where("a <> b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct())
-    labels = keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")))
+    ends = links.select("a", "b").where("a <> b")
+    both = durable(ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")), "labels")
     for _ in range(rounds):
         near = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("near")), "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
         step = labels.join(near, "node").select("node", "component", F.least("component", "near").alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("component").alias("far"))
-        moved = keep(step.join(jump, "next", "left").select("node", "component", F.least("next", F.coalesce("far", "next")).alias("to")))
-        done = moved.where("to < component").limit(1).count() == 0
+        moved = durable(step.join(jump, "next", "left").select("node", "component", F.least("next", F.coalesce("far", "next")).alias("to")), "labels")
+        discard(labels)
         labels = moved.select("node", F.col("to").alias("component"))
-        if done:
+        if not moved.where("to < component").limit(1).count():
+            discard(both)
             return labels
-    raise RuntimeError("components have not settled")
+    raise RuntimeError(f"components have not settled after {rounds} rounds")
 
 
 def squared_distance(a: str, b: str) -> Column:
