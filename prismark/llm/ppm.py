@@ -1,21 +1,24 @@
 """Language identification by prediction by partial matching over bytes.
 
-Each language has a tree of byte contexts of up to three bytes with frozen counts. A byte costs -log of its share of
-its context, where an escape with probability distinct / (total + distinct) leads to the next shorter context and at
-last to a uniform byte. A text's language is the one whose tree gives the shortest code, its prior included.
-
-A text starts in a context of zero bytes. The trees are flattened into tables that hold, for every string of four bytes
-that any language has seen, the cost of its last byte in each language, escapes included; strings that none has seen
-are priced by the tables of the shorter contexts. So a whole buffer is scored by a few look-ups per byte.
+Each language has a tree of byte contexts of up to ORDER bytes with frozen counts. A byte is looked for in the longest context
+that the language has seen. If it is there it costs -log(n / (total + distinct)) of that context; if not, an escape of cost
+-log(distinct / (total + distinct)) leads to the context shorter by one byte, in which the bytes of the longer one are
+excluded from total and distinct. Below the empty context all bytes not seen there are alike. A text's language is the one whose
+tree gives the shortest code, its prior included.
+
+A text starts in a context of zero bytes. Exclusion depends only on the context from which an escape came, since a longer
+context's bytes are among a shorter one's; so every node of a tree carries the two numbers its parent has for those that come
+from it. For strings of ORDER + 1 bytes that any language has seen, whole costs are tabulated in all languages: most bytes
+take one look-up, and the others walk down the contexts.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,54 +26,30 @@ from . import wordhash
 
 #: Documents of each language, about, that the trees are made of.
 TRAIN_DOCS = 1500
-ORDER = 3
-_LETTER = re.compile(r"[^\W\d_]")
+#: Bytes of the longest context; 7 at most.
+ORDER = 4
 
 
-def padded(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The buffer with ORDER zero bytes before each document, and where the documents' own bytes then are."""
+def padded(buf: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """The buffer with `order` zero bytes before each document, and where the documents' own bytes then are."""
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    at = np.arange(len(buf)) + ORDER * (doc + 1)
-    out = np.zeros(len(buf) + ORDER * (len(offsets) - 1), np.uint8)
+    at = np.arange(len(buf)) + order * (doc + 1)
+    out = np.zeros(len(buf) + order * (len(offsets) - 1), np.uint8)
     out[at] = buf
     return out, at
 
 
-def grams(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """For each byte, itself and the three before it as one number."""
-    out, at = padded(buf, offsets)
-    wide = out.astype(np.uint32)
-    return (wide[at - 3] << 24) | (wide[at - 2] << 16) | (wide[at - 1] << 8) | wide[at]
-
-
-class Lookup:
-    """A hash table from 32-bit keys to their row numbers; -1 where there is none."""
-
-    def __init__(self, keys: np.ndarray):
-        bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 4))))
-        self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
-        self.keys, self.rows = np.zeros(1 << bits, np.uint32), np.full(1 << bits, -1, np.int32)
-        slot, left = self._slot(keys), np.arange(len(keys))
-        while len(left):
-            free = self.rows[slot[left]] < 0
-            _, first = np.unique(slot[left][free], return_index=True)
-            put = left[free][first]
-            self.keys[slot[put]], self.rows[slot[put]] = keys[put], put
-            left = np.setdiff1d(left, put, assume_unique=True)
-            slot[left] = (slot[left] + 1) & self.mask
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        slot = self._slot(keys)
-        out = self.rows[slot]
-        wrong = np.flatnonzero((self.keys[slot] != keys) & (out >= 0))
-        while len(wrong):
-            slot[wrong] = (slot[wrong] + 1) & self.mask
-            out[wrong] = self.rows[slot[wrong]]
-            wrong = wrong[(self.keys[slot[wrong]] != keys[wrong]) & (out[wrong] >= 0)]
-        return out
+def grams(buf: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> np.ndarray:
+    """For each byte, the bytes before it and itself as one number."""
+    out, at = padded(buf, offsets, order)
+    code = out[at].astype(np.uint64)
+    for k in range(1, order + 1):
+        code |= out[at - k].astype(np.uint64) << np.uint64(8 * k)
+    return code
+
+
+def _last(code: np.ndarray, n: int) -> np.ndarray:
+    return code & np.uint64((1 << (8 * n)) - 1)
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,73 +57,81 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return kinds, np.bincount(at, counts, len(kinds))
 
 
-def _costs(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cost of each string's last byte in its context; the contexts, and the cost of an escape from each."""
-    contexts, at, distinct = np.unique(keys >> 8, return_inverse=True, return_counts=True)
-    total = np.bincount(at, counts, len(contexts)) + distinct
-    return -np.log(counts / total[at]), contexts, -np.log(distinct / total)
+def _table(keys: np.ndarray) -> wordhash.Table:
+    out = wordhash.Table()
+    out.add(keys)
+    return out
 
 
 class Trees:
-    """The frozen context trees of all languages as tables."""
+    """The frozen context trees of all languages as tables; the last row of each stands for what none has seen."""
 
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], docs: dict[str, int]):
-        """counts: of each language, the strings of four bytes and how often each occurs."""
-        self.languages = sorted(counts)
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], docs: dict[str, int], order: int = ORDER):
+        """counts: of each language, the strings of order + 1 bytes and how often each occurs."""
+        self.languages, self.order = sorted(counts), order
         n = len(self.languages)
         whole = max(1, sum(docs.values()))
         self.prior = np.array([-np.log(docs[x] / whole) for x in self.languages])
         if not n:
             return
-        by_order = []
-        for x in self.languages:
-            keys, c = counts[x][0].astype(np.uint32), counts[x][1].astype(float)
-            orders = {3: (keys, c)}
-            for o, mask in ((2, 0xFFFFFF), (1, 0xFFFF), (0, 0xFF)):
-                keys, c = _summed(keys & np.uint32(mask), c)
-                orders[o] = keys, c
-            by_order.append(orders)
-        union = {o: np.unique(np.concatenate([b[o][0] for b in by_order])) for o in (2, 3)}
-        contexts = {o: np.unique(union[o] >> 8) for o in (2, 3)}
-        self.single = np.zeros((1 << 16, n), np.float32)
-        self.cost = {o: np.zeros((len(union[o]), n), np.float32) for o in (2, 3)}
-        self.escape = {o: np.zeros((len(contexts[o]) + 1, n), np.float32) for o in (2, 3)}  # the last row: an unseen context
-        for k, b in enumerate(by_order):
-            keys, c = b[0]
-            total = c.sum() + len(keys)
-            zero = np.full(256, -np.log(len(keys) / total) + np.log(256))
-            zero[keys] = -np.log(c / total)
-            keys, c = b[1]
-            cost, seen, out = _costs(keys, c)
-            escape = np.zeros(256)
-            escape[seen] = out
-            table = (escape[:, None] + zero[None, :]).ravel()
-            table[keys] = cost
-            self.single[:, k] = table
-            shorter = lambda x: self.single[x & np.uint32(0xFFFF), k]
-            for o in (2, 3):
-                cost, seen, out = _costs(*b[o])
-                self.escape[o][np.searchsorted(contexts[o], seen), k] = out
-                every = shorter(union[o]) + self.escape[o][np.searchsorted(contexts[o], union[o] >> 8), k]
-                every[np.searchsorted(union[o], b[o][0])] = cost
-                self.cost[o][:, k] = every
-                shorter = lambda x, k=k: self.cost[2][np.searchsorted(union[2], x & np.uint32(0xFFFFFF)), k]
-        self.rows = {o: Lookup(union[o]) for o in (2, 3)}
-        self.contexts = {o: Lookup(contexts[o]) for o in (2, 3)}
+        by_order = {o: [_summed(_last(counts[x][0].astype(np.uint64), o + 1), counts[x][1].astype(float)) for x in self.languages] for o in range(order + 1)}
+        union = {o: np.unique(np.concatenate([keys for keys, _ in by_order[o]])) for o in by_order}
+        contexts = {o: np.unique(union[o] >> np.uint64(8)) for o in by_order}
+        self.strings, self.contexts = ({o: _table(x[o]) for o in by_order} for x in (union, contexts))
+        blank = lambda rows: {o: np.zeros((len(rows[o]) + 1, n), np.float32) for o in by_order}
+        self.count = {o: np.full((len(union[o]) + 1, n), -np.inf, np.float32) for o in by_order}  # log of how often
+        self.known = {o: np.zeros((len(contexts[o]) + 1, n), bool) for o in by_order}
+        self.base, self.escape = blank(contexts), blank(contexts)  # without exclusion
+        self.parent_base, self.parent_escape = blank(contexts), blank(contexts)  # of the context shorter by one, for those that escape from here
+        self.rest = np.zeros(n)
+        for k in range(n):
+            total, distinct = {}, {}
+            for o in range(order + 1):
+                keys, c = by_order[o][k]
+                seen, at = np.unique(keys >> np.uint64(8), return_inverse=True)
+                row = np.searchsorted(contexts[o], seen)
+                total[o], distinct[o] = np.bincount(at, c, len(seen)), np.bincount(at, minlength=len(seen))
+                self.count[o][np.searchsorted(union[o], keys), k] = np.log(c)
+                self.known[o][row, k] = True
+                self.base[o][row, k] = np.log(total[o] + distinct[o])
+                self.escape[o][row, k] = np.log(total[o] + distinct[o]) - np.log(distinct[o])
+                if o:
+                    shorter, below = by_order[o - 1][k]
+                    up = np.searchsorted(np.unique(shorter >> np.uint64(8)), _last(seen, o - 1) if o > 1 else np.zeros(len(seen), np.uint64))
+                    left = total[o - 1][up] - np.bincount(at, below[np.searchsorted(shorter, _last(keys, o))], len(seen))
+                    kinds = distinct[o - 1][up] - distinct[o]
+                    some = np.maximum(kinds, 1)
+                    self.parent_base[o][row, k] = np.where(kinds > 0, np.log(np.maximum(left + kinds, 1)), 0)
+                    self.parent_escape[o][row, k] = np.where(kinds > 0, np.log(np.maximum(left + kinds, 1)) - np.log(some), 0)
+            self.rest[k] = np.log(max(1, 256 - distinct[0][0]))
+        self.cost = self._walk(union[order]).astype(np.float32)
+
+    def _walk(self, codes: np.ndarray) -> np.ndarray:
+        """The cost of each string's last byte in each language, context by context."""
+        out = np.zeros((len(codes), len(self.languages)))
+        open_ = np.ones(out.shape, bool)
+        came = None
+        for o in range(self.order, -1, -1):
+            row, context = self.strings[o].find(_last(codes, o + 1)), self.contexts[o].find(_last(codes, o + 1) >> np.uint64(8))
+            known, base, escape = self.known[o][context], self.base[o][context], self.escape[o][context]
+            if came is not None:
+                above = self.known[o + 1][came]
+                base, escape = np.where(above, self.parent_base[o + 1][came], base), np.where(above, self.parent_escape[o + 1][came], escape)
+            count = self.count[o][row]
+            hit = open_ & np.isfinite(count)
+            out[hit] += (base - count)[hit]
+            open_ &= ~hit
+            out += np.where(open_ & known, escape, 0)
+            came = context
+        return out + np.where(open_, self.rest, 0)
 
     def price(self, codes: np.ndarray) -> np.ndarray:
         """The cost of each byte in each language."""
-        row = self.rows[3](codes)
-        out = self.cost[3][row]
+        row = self.strings[self.order].find(codes)
+        out = self.cost[np.minimum(row, len(self.cost) - 1)]
         new = np.flatnonzero(row < 0)
         if len(new):
-            three = codes[new] & np.uint32(0xFFFFFF)
-            row = self.rows[2](three)
-            cost = self.cost[2][row]
-            newer = np.flatnonzero(row < 0)
-            if len(newer):
-                cost[newer] = self.single[three[newer] & np.uint32(0xFFFF)] + self.escape[2][self.contexts[2](three[newer] >> 8)]
-            out[new] = cost + self.escape[3][self.contexts[3](codes[new] >> 8)]
+            out[new] = self._walk(codes[new])
         return out
 
     def code_lengths(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -154,7 +141,7 @@ class Trees:
             part = offsets[a : b + 1] - offsets[a]
             full = np.flatnonzero(np.diff(part))
             if len(full):
-                cost = self.price(grams(buf[offsets[a] : offsets[b]], part))
+                cost = self.price(grams(buf[offsets[a] : offsets[b]], part, self.order))
                 out[a + full] = np.add.reduceat(cost, part[full], axis=0, dtype=np.float64)
         return out
 
@@ -166,16 +153,17 @@ class Trees:
 
 
 def _count_grams(batches):
-    """Counts of the strings of four bytes of each language, summed over about a million bytes at a time."""
+    """Counts of the strings of ORDER + 1 bytes of each language, summed over about a million bytes at a time."""
     for batch in batches:
         langs = batch.column(1).to_pylist()
         buf, offsets = wordhash.buffers(batch.column(0))
         for a, b in wordhash.chunks(offsets):
-            codes = grams(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]).astype(np.uint64)
-            names = sorted(set(langs[a:b]))
-            lang = np.repeat([names.index(x) for x in langs[a:b]], np.diff(offsets[a : b + 1])).astype(np.uint64)
-            kinds, n = np.unique(codes | (lang << np.uint64(32)), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in (kinds >> np.uint64(32)).tolist()], pa.string()), pa.array((kinds & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+            codes = grams(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            of_byte = np.repeat(np.arange(b - a), np.diff(offsets[a : b + 1]))
+            for name in sorted(set(langs[a:b])):
+                mine = np.array([x == name for x in langs[a:b]])
+                kinds, n = np.unique(codes[mine[of_byte]], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(kinds), pa.string()), pa.array(kinds.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, fold: tuple[int, int] = (5, 0)) -> Trees:
@@ -192,7 +180,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, fold: tuple[int, int] =
     sample = known.where(F.pmod(F.xxhash64(F.lit("ppm"), "doc_id"), F.lit(1 << 20)) < share * (1 << 20))
     found = sample.select("text", "lang").mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     langs = np.array(found.column("lang").to_pylist(), object)
-    keys, n = found.column("gram").to_numpy(), found.column("n").to_numpy()
+    keys, n = found.column("gram").to_numpy().view(np.uint64), found.column("n").to_numpy()
     kept = {x: langs == x for x in sizes}
     return Trees({x: (keys[m], n[m]) for x, m in kept.items() if m.any()}, {x: sizes[x] for x, m in kept.items() if m.any()})
 
@@ -202,7 +190,7 @@ def _predict(shared):
         trees: Trees = shared.value
         for batch in batches:
             texts = batch.column(1)
-            lettered = np.array([t is not None and _LETTER.search(t) is not None for t in texts.to_pylist()], bool)
+            lettered = pa.compute.match_substring_regex(texts, r"\p{L}").fill_null(False).to_numpy(zero_copy_only=False)
             if not trees.languages:
                 best, score = np.zeros(len(lettered), int), np.zeros(len(lettered))
             else:
@@ -216,7 +204,7 @@ def _predict(shared):
 def identify(docs: DataFrame, trees: Trees) -> DataFrame:
     """(doc_id, lang_pred, score) for every row, by its whole text.
 
-    `und` with score 0 for null texts, texts without a letter, and where no language was learned. Equal costs go to the
+    `und` with score 0 for null texts, texts without a letter (Unicode category L), and where no language was learned. Equal costs go to the
     first language by name. Repeated rows stay; other columns are not read.
     """
     docs = docs.select("doc_id", "text")
