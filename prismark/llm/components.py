@@ -1,31 +1,5 @@
-"""Connected components of an undirected graph given as a table of links."""
+"""Connected components of near copies: those of the tracks."""
 
-from __future__ import annotations
+from ..operators.graphs import connected as components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .store import discard, durable
-
-
-def components(links: DataFrame, rounds: int = 200) -> DataFrame:
-    """(node, component): the smallest node that each node of `links` (a, b) can reach.
-
-    Minimum-label propagation with pointer jumping: a round takes the least label among the neighbours, then
-    the label of that label, so a chain of length n needs about log n rounds. Every round is written to the
-    shared folder; only a count of changes reaches the driver. No links give no rows; loops, repeated links
-    and both directions are fine.
-    """
-    both = durable(links.select(F.col("a"), F.col("b")).where("a <> b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct(), "edges")
-    labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")), "labels")
-    for _ in range(rounds):
-        seen = labels.select(F.col("node").alias("b"), F.col("component").alias("near"))
-        least = both.join(seen, "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
-        step = labels.join(least, "node").select("node", "component", F.least("component", "near").alias("next"))
-        jump = labels.select(F.col("node").alias("next"), F.col("component").alias("far"))
-        moved = durable(step.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("component"), (F.least("next", F.coalesce("far", "next")) < F.col("component")).alias("changed")), "labels")
-        discard(labels)
-        labels = moved.select("node", "component")
-        if not moved.where("changed").limit(1).count():
-            return labels
-    raise RuntimeError(f"components have not settled after {rounds} rounds")
+__all__ = ["components"]

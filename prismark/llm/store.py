@@ -1,40 +1,44 @@
-"""Intermediate tables that outlive executors."""
+"""Intermediate tables that outlive executors, names for rows that have none, and joins with frequent keys."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..storage import discard, durable, shared_root
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`, which all executors share.
+__all__ = ["discard", "durable", "looked_up", "rows_kept", "shared_root"]
 
-    Only where it is unset and Spark runs in one local process is a temporary folder made and set instead.
+
+def _named_rows(docs: DataFrame) -> DataFrame:
+    """(own, name): each row as a struct, and its name: its file and its place there, the same at every reading."""
+    return docs.select(F.struct("*").alias("own"), F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index")).alias("name"))
+
+
+def rows_kept(docs: DataFrame, decide: Callable[[DataFrame], DataFrame], columns: Sequence[str] = ("doc_id", "text")) -> DataFrame:
+    """The rows of `docs` whose names are in `decide`'s result (name), with all their columns, whatever these are called.
+
+    `decide` gets the `columns` and a name for each row, also for equal ones and those without an id. Rows of stored tables
+    are named by file and place; other tables are stored first.
+    """
+    try:
+        named = _named_rows(docs)
+    except AnalysisException:  # not a table of files
+        named = _named_rows(durable(docs, "rows"))
+    kept = decide(named.select(*[F.col("own").getField(c).alias(c) for c in columns], "name"))
+    return named.join(kept.select("name"), "name", "left_semi").select("own.*")
+
+
+def looked_up(rows: DataFrame, names: DataFrame, on: Sequence[str], row: Sequence[str]) -> DataFrame:
+    """`rows` inner joined with `names`, which has each key `on` once, where one key may have any share of the rows.
+
+    Rows are dealt into as many slices as there are shuffle partitions, by their columns `row`. A key travels to each slice that
+    has rows of it, found by an aggregation that combines before it shuffles; then rows meet it by key and slice.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="prismark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def durable(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it back: lineage ends here, whoever is lost later."""
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table made by `durable` that nothing will read again."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if f"/{spark.sparkContext.applicationId}/" in name:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    slices = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sliced = rows.withColumn("__slice", F.pmod(F.xxhash64(*row), F.lit(slices)).cast("int"))
+    wanted = sliced.groupBy(*on, "__slice").agg(F.lit(1).alias("__one")).drop("__one")
+    return sliced.join(wanted.join(names, list(on)), [*on, "__slice"]).drop("__slice")
