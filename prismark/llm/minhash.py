@@ -12,10 +12,14 @@ Links are decided on the full sets, never on signatures. A bucket is not expande
 1. Documents with equal sets are one class; a class takes part once.
 2. Buckets with the same members count once. Each member is compared with its bucket's smallest member.
    Confirmed links give components.
-3. Only in buckets whose other members still lie in several components are members of different components
-   compared, in blocks of `BLOCK` members outside the largest component against the bucket: by signature, which tells the members that have a
-   partner within `FAR`, then those members by their sets. Members of one component need no comparison: a link
-   between them changes nothing.
+3. Only in buckets whose other members still lie in several components are members of different components compared. Of two
+   such members one at least is outside the bucket's largest component, so those are held against the whole bucket, in a
+   grid of blocks of about `BLOCK` by `BLOCK` members. Members of one component need no comparison: a link between them
+   changes nothing.
+
+Before the sets of two members are fetched they are held against each other by their profiles: how many members of a set fall
+into each of `CELLS` cells of their hashes. The sum of the lesser counts bounds the intersection from above, so pairs that it
+rules out are no links, and no link is lost by it.
 
 Large groups of near copies so cost one comparison per member and bucket, unless they fall apart.
 """
@@ -32,15 +36,16 @@ from pyspark.sql import functions as F
 from . import wordhash
 from .components import components
 from .membership import filter_of
-from .store import discard, durable
+from .store import discard, durable, rows_kept
 
 CHUNKS, WIDTH, ERRORS, BITS = 13, 5, 1, 16
 SLOTS = CHUNKS * WIDTH
 #: All pairs within this distance share a bucket.
 GUARANTEED = CHUNKS * (ERRORS + 1) - 1
-#: Distance beyond which a shared bucket counts as chance, with leaders too: two sets of similarity 0.8 exceed it five times in ten million.
-FAR = 30
-BLOCK = 1024
+#: Cells of a profile.
+CELLS = 128
+#: Members of a bucket, about, on each side of a block of comparisons.
+BLOCK = 2048
 
 _SEEDS = np.random.default_rng(7).integers(0, 2**63, SLOTS, dtype=np.uint64)
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -57,6 +62,22 @@ def signatures(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def profiles(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """One row of CELLS counts for each set; 255 all over where a count does not fit, which rules nothing out."""
+    doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    cell = (hashes & np.uint64(CELLS - 1)).astype(np.int64)
+    out = np.bincount(doc * CELLS + cell, minlength=(len(starts) - 1) * CELLS).reshape(-1, CELLS)
+    out[(out >= 255).any(1)] = 255
+    return out.astype(np.uint8)
+
+
+def possible(s: np.ndarray, t: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets with these profiles may be similar; the arrays broadcast against each other but for the last axis."""
+    most = np.minimum(s, t).sum(-1, dtype=np.int32)
+    both = s.sum(-1, dtype=np.int32) + t.sum(-1, dtype=np.int32)
+    return (100 * most >= percent * (both - most)) | (s[..., 0] == 255) | (t[..., 0] == 255)
+
+
 def bucket_keys(signature: np.ndarray) -> np.ndarray:
     """The keys of each row: for each chunk and each slot left out, a hash of the rest."""
     keys = []
@@ -89,7 +110,8 @@ def _sketch(n: int):
                 digests = [_digest(hashes[x:y]) for x, y in zip(starts[:-1], starts[1:])]
                 ids = batch.column(0)[a:b]
                 named = [None if known else _stand_in(d) for known, d in zip(ids.is_valid().to_pylist(), digests)]
-                yield pa.RecordBatch.from_arrays([ids, batch.column(2)[a:b], pa.array(named, pa.int64()), pa.array(np.diff(starts), pa.int64()), pa.array(digests, pa.binary()), pa.array([r.tobytes() for r in sig], pa.binary())], names=["doc_id", "given", "stand_in", "n_shingles", "digest", "signature"])
+                prof = profiles(hashes, starts)
+                yield pa.RecordBatch.from_arrays([ids, batch.column(2)[a:b], pa.array(named, pa.int64()), pa.array(np.diff(starts), pa.int64()), *(pa.array(x, pa.binary()) for x in (digests, [r.tobytes() for r in sig], [r.tobytes() for r in prof]))], names=["doc_id", "given", "stand_in", "n_shingles", "digest", "signature", "profile"])
 
     return run
 
@@ -118,27 +140,38 @@ def _sets(n: int, wanted):
     return run
 
 
-def _within(batches):
-    """Pairs (a, b, s, t) whose signatures s and t are within FAR."""
-    for batch in batches:
-        if batch.num_rows:
-            s, t = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, SLOTS) for k in (2, 3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array((s != t).sum(1) <= FAR))
+def _profiles_of(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, CELLS)
 
 
-def _partnered(table: pa.Table) -> pa.Table:
-    """The block's left members that have a partner in another component within FAR, and those partners."""
-    left = np.flatnonzero(table.column("left").to_numpy(zero_copy_only=False))
-    comp = table.column("component").to_numpy()
-    sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, SLOTS)
-    keep = np.zeros(len(comp), bool)
-    step = max(1, (1 << 18) // max(1, len(comp)))
-    for k in range(0, len(left), step):
-        rows = left[k : k + step]
-        near = ((sig[rows][:, None, :] != sig[None, :, :]).sum(2) <= FAR) & (comp[rows][:, None] != comp[None, :])
-        keep[rows] |= near.any(1)
-        keep |= near.any(0)
-    return table.select(["key", "node", "component"]).filter(pa.array(keep))
+def _unlikely_out(percent: int):
+    """Pairs (a, b, s, t) that the profiles s and t do not rule out."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(possible(_profiles_of(batch.column(2)), _profiles_of(batch.column(3)), percent)))
+
+    return run
+
+
+def _partnered(percent: int):
+    """The members of a block that have a possible partner on the other side, in another component."""
+
+    def run(table: pa.Table) -> pa.Table:
+        side = table.column("left").to_numpy(zero_copy_only=False)
+        left, right = np.flatnonzero(side), np.flatnonzero(~side)
+        comp, prof = table.column("component").to_numpy(), _profiles_of(table.column("profile"))
+        keep = np.zeros(len(comp), bool)
+        step = max(1, (1 << 16) // max(1, len(right)))
+        for k in range(0, len(left), step):
+            rows = left[k : k + step]
+            near = possible(prof[rows][:, None, :], prof[right][None, :, :], percent) & (comp[rows][:, None] != comp[right][None, :])
+            keep[rows] |= near.any(1)
+            keep[right] |= near.any(0)
+        return table.select(["key", "node", "component"]).filter(pa.array(keep))
+
+    return run
 
 
 def _similar(inter, a, b, percent: int):
@@ -162,52 +195,52 @@ def _confirm(percent: int):
 
 
 def _across(percent: int):
-    """Links between the components of one bucket (or of one block of it): rows (left, node, component, members)."""
+    """Links between the sides of a block, of members in different components: rows (left, node, component, members)."""
 
     def run(table: pa.Table) -> pa.Table:
-        left = table.column("left").to_numpy(zero_copy_only=False)
+        side = table.column("left").to_numpy(zero_copy_only=False)
         node, comp = table.column("node").to_numpy(), table.column("component").to_numpy()
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("members")]
         sizes = np.array([len(s) for s in sets])
-        universe, flat = np.unique(np.concatenate(sets), return_inverse=True)
-        starts = np.cumsum(sizes) - sizes
-        kinds, counts = np.unique(comp, return_counts=True)
-        count_of = dict(zip(kinds.tolist(), counts.tolist()))
+        right = np.flatnonzero(~side)
         a, b = [], []
-        has = np.zeros(len(universe), np.int64)
-        for i in np.flatnonzero(left):
-            # Between two components the smaller one's members look for the larger one's; ties by label.
-            mine = (count_of[comp[i]], comp[i])
-            other = np.array([(count_of[c], c) > mine for c in kinds.tolist()])[np.searchsorted(kinds, comp)]
-            other &= (np.minimum(sizes, sizes[i]) * 100 >= percent * np.maximum(sizes, sizes[i]))
-            if not other.any():
-                continue
-            own = flat[starts[i] : starts[i] + sizes[i]]
-            has[own] = 1
-            inter = np.add.reduceat(has[flat], starts)
-            has[own] = 0
-            hit = np.flatnonzero(other & _similar(inter, sizes, sizes[i], percent))
-            _, first = np.unique(comp[hit], return_index=True)  # one link to each other component is enough
-            a += [node[i]] * len(first)
-            b += node[hit[first]].tolist()
+        if len(right):
+            universe, flat = np.unique(np.concatenate([sets[j] for j in right]), return_inverse=True)
+            starts = np.cumsum(sizes[right]) - sizes[right]
+            has = np.zeros(len(universe), np.int64)
+            for i in np.flatnonzero(side):
+                other = (comp[right] != comp[i]) & (np.minimum(sizes[right], sizes[i]) * 100 >= percent * np.maximum(sizes[right], sizes[i]))
+                if not other.any():
+                    continue
+                at = np.minimum(np.searchsorted(universe, sets[i]), len(universe) - 1)
+                own = at[universe[at] == sets[i]]
+                has[own] = 1
+                inter = np.add.reduceat(has[flat], starts)
+                has[own] = 0
+                hit = right[other & _similar(inter, sizes[right], sizes[i], percent)]
+                _, first = np.unique(comp[hit], return_index=True)  # one link to each other component is enough
+                a += [node[i]] * len(first)
+                b += node[hit[first]].tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
 def _contested(placed: DataFrame) -> DataFrame:
-    """Rows (key, node, component) of the buckets that hold several components, dealt into blocks.
+    """Rows (key, node, component, left, block) of the buckets that hold several components, dealt into a grid of blocks.
 
-    Of two members in different components one at least is outside the bucket's largest component. So only those are
-    `left` members, which look for partners; a block has some of them, and beside them the whole bucket.
+    The left side has the members outside the bucket's largest component, the right side all; a block has about BLOCK members
+    of each, whatever the bucket's size.
     """
     sizes = placed.groupBy("key", "component").agg(F.count("*").alias("m"))
     split = sizes.groupBy("key").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("n"), F.count("*").alias("kinds")).where("kinds > 1")
-    split = split.select("key", F.col("top.component").alias("largest"), (F.col("n") - F.col("top.m")).alias("rest"))
-    blocks = F.ceil(F.col("rest") / BLOCK).cast("int")
-    dealt = placed.join(split, "key").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    left = (F.col("component") != F.col("largest")) & (F.pmod(F.xxhash64("node"), blocks) == F.col("block"))
-    return dealt.withColumn("left", left).drop("largest", "rest")
+    split = split.select("key", F.col("top.component").alias("largest"), F.ceil((F.col("n") - F.col("top.m")) / BLOCK).cast("int").alias("rows"), F.ceil(F.col("n") / BLOCK).cast("int").alias("columns"))
+    part = lambda salt, of: F.pmod(F.xxhash64(F.lit(salt), "node"), F.col(of)).cast("int")
+    up_to = lambda of: F.sequence(F.lit(0), F.col(of) - 1)
+    block = lambda left, i, j: F.struct(F.lit(left).alias("left"), (i * F.col("columns") + j).alias("block"))
+    as_left = F.when(F.col("component") != F.col("largest"), F.transform(up_to("columns"), lambda j: block(True, part("row", "rows"), j))).otherwise(F.array().cast("array<struct<left:boolean,block:int>>"))
+    as_right = F.transform(up_to("rows"), lambda i: block(False, i, part("column", "columns")))
+    return placed.join(split, "key").withColumn("at", F.explode(F.concat(as_left, as_right))).select(*placed.columns, "at.left", "at.block")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
@@ -222,11 +255,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     none, component_id is null and one of the rows stays. Their nodes are 64-bit hashes of their sets. An empty table gives
     an empty result. Other columns are not read.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("given"))
-    sketches = docs.mapInArrow(_sketch(shingle), "doc_id long, given long, stand_in long, n_shingles long, digest binary, signature binary")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (F.col(row_col) if row_col else F.lit(None).cast("string")).alias("given"))
+    sketches = docs.mapInArrow(_sketch(shingle), f"doc_id long, given {docs.schema['given'].dataType.simpleString()}, stand_in long, n_shingles long, digest binary, signature binary, profile binary")
     sketches = durable(sketches.withColumn("row", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())), "sketches")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", "stand_in").alias("node"), "signature")).alias("x")
-    classes = durable(sketches.where("n_shingles > 0").groupBy("digest").agg(least).select("digest", "x.unnamed", "x.node", "x.signature"), "classes")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", "stand_in").alias("node"), "signature", "profile")).alias("x")
+    classes = durable(sketches.where("n_shingles > 0").groupBy("digest").agg(least).select("digest", "x.unnamed", "x.node", "x.signature", "x.profile"), "classes")
 
     keyed = classes.select("node", "signature").mapInArrow(_keys, "key long, node long")
     mixed = F.xxhash64("node")
@@ -234,10 +267,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     buckets = buckets.groupBy("n", "leader", "x", "s").agg(F.min("key").alias("key")).select("key", "n", "leader")
     live = durable(keyed.join(buckets, "key").where("node <> leader").distinct(), "buckets")
 
-    signed = classes.groupBy("node").agg(F.min("signature").alias("signature"))
+    profiled = classes.select("node", "profile").distinct()  # several of a node whose rows have different texts
     pairs = live.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = pairs.join(signed.select(F.col("node").alias("a"), F.col("signature").alias("s")), "a").join(signed.select(F.col("node").alias("b"), F.col("signature").alias("t")), "b")
-    pairs = durable(pairs.select("a", "b", "s", "t").mapInArrow(_within, "a long, b long"), "pairs")
+    pairs = pairs.join(profiled.select(F.col("node").alias("a"), F.col("profile").alias("s")), "a").join(profiled.select(F.col("node").alias("b"), F.col("profile").alias("t")), "b")
+    pairs = durable(pairs.select("a", "b", "s", "t").mapInArrow(_unlikely_out(percent), "a long, b long").distinct(), "pairs")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         """(node, members) of the documents that are asked for; the filter keeps most others out of the shuffle."""
@@ -251,7 +284,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
     found = components(first)
     placed = live.where("n > 2").join(found.withColumnRenamed("component", "c"), "node", "left").select("key", "node", F.coalesce("c", "node").alias("component"))
-    open_ = durable(_contested(placed).join(signed, "node").groupBy("key", "block").applyInArrow(_partnered, "key long, node long, component long").distinct(), "open")
+    open_ = durable(_contested(placed).join(profiled, "node").groupBy("key", "block").applyInArrow(_partnered(percent), "key long, node long, component long").distinct(), "open")
     more = sets_of(open_.select("node"))
     second = _contested(open_).join(more, "node").groupBy("key", "block").applyInArrow(_across(percent), "a long, b long")
     links = durable(first.unionByName(second).distinct(), "links")
@@ -264,7 +297,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         out = _renamed(out, classes, labels)
     else:
         out = out.select("doc_id", "given", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
-    for used in (pairs, first, open_, sets, more):
+    for used in (live, pairs, first, open_, sets, more, links, found):
         discard(used)
     return out.select(*([F.col("given").alias(row_col)] if row_col else []), "doc_id", "n_shingles", "component_id", "kept")
 
@@ -285,7 +318,9 @@ def _renamed(out: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` (a stored table) that stay, one document of each component, with all their columns."""
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())  # of a stored table: the same at every reading
-    kept = near_duplicates(numbered, shingle, percent, row_col="__row").where("kept").select("__row")
-    return numbered.join(kept, "__row", "left_semi").select(*docs.columns)
+    """The rows of `docs` that stay, one document of each component, with all their columns.
+
+    Null and empty texts are linked with nothing and stay. Of rows without an id that are alike one stays, and none where a
+    row with an id is like them; rows with one id are one document and stay or go together. An empty table stays empty.
+    """
+    return rows_kept(docs, lambda named: near_duplicates(named, shingle, percent, row_col="name").where("kept"))

@@ -104,7 +104,7 @@ def test_links_between_components_of_one_bucket():
     near = set(range(100))
     sets = [near, near ^ {0, 200}, set(range(300, 400)), near ^ {1, 201, 2, 202, 3, 203}]
     raw = [np.sort(np.array(sorted(s), np.uint64)).tobytes() for s in sets]
-    table = pa.table({"key": [1] * 4, "block": [0] * 4, "left": [True] * 4, "node": pa.array([1, 2, 3, 4], pa.int64()), "component": pa.array([1, 2, 3, 4], pa.int64()), "members": pa.array(raw, pa.binary())})
+    table = pa.table({"key": [1] * 8, "block": [0] * 8, "left": [True] * 4 + [False] * 4, "node": pa.array([1, 2, 3, 4] * 2, pa.int64()), "component": pa.array([1, 2, 3, 4] * 2, pa.int64()), "members": pa.array(raw * 2, pa.binary())})
     links = {frozenset(x) for x in zip(*(minhash._across(80)(table).column(c).to_pylist() for c in "ab"))}
     assert links == {frozenset(p) for p in ((1, 2), (1, 4), (2, 4))}
 
