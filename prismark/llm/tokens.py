@@ -2,16 +2,21 @@
 
 The recurrence runs over the pieces of a text: count(prefix up to piece j) = count(prefix up to piece j - 1) + tokens of
 piece j. Pieces are runs of non-white bytes, cut further where an ASCII letter meets a full stop, comma or the like, where
-the vocabulary's own pattern always cuts. A piece's own row holds the count of each of its prefixes. So any prefix of a text
-costs one table look-up and one row look-up, and truncation and budget questions need no second encoding.
+the vocabulary's own pattern always cuts. The public library encodes each distinct piece once per worker; a whole buffer is
+then priced by array look-ups.
 
-The public library encodes each distinct piece once per worker; a whole buffer is then priced by array look-ups.
+Inside a piece the recurrence runs over the merges (`Merges`): the encoding of a word's prefix is that of a shorter prefix and
+one token more, the only token that stays whole beside the token before it. So count(prefix) = count(shorter prefix) + 1, and a row
+of counts for all prefixes of a piece comes out of one pass. Any prefix of a text so costs one look-up in its table and one in a
+row: truncation and budget questions need no second encoding.
 """
 
 from __future__ import annotations
 
 import itertools
+import json
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +36,59 @@ _SIGN = np.zeros(256, bool)
 _SIGN[[ord(c) for c in "!\"#$%&()*+,-./:;=?@[]^_`{}~"]] = True
 
 _encoders: dict[str, Encoder] = {}
+#: Pieces whose bytes stand for themselves in the vocabulary, and how its pattern cuts them; contractions and special strings aside.
+_PLAIN = re.compile(r"[!-&(-;=-~]+")
+_WORD = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
+_END = "</w>"
+
+
+class Merges:
+    """The merges of a byte-pair vocabulary with word ends, for counts at every prefix of a word."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        self.rank = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): k for k, m in enumerate(model["merges"])}
+        self.vocabulary = model["vocab"]
+        self.longest = max(map(len, self.vocabulary))
+        self.beside: dict[tuple[str, str], bool] = {}
+
+    def _symbols(self, token: str) -> list[str]:
+        return [*token[: -len(_END) - 1], token[-len(_END) - 1 :]] if token.endswith(_END) else list(token)
+
+    def _merged(self, symbols: list[str]) -> list[str]:
+        """The merges in their order, the leftmost first among equals."""
+        while len(symbols) > 1:
+            rank, k = min((self.rank.get(p, len(self.rank)), k) for k, p in enumerate(zip(symbols, symbols[1:])))
+            if rank == len(self.rank):
+                break
+            symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
+        return symbols
+
+    def stays(self, before: str, token: str) -> bool:
+        """Whether two tokens next to each other are left as they are; an empty one before stands for a word's beginning."""
+        key = before, token
+        if key not in self.beside:
+            if len(self.beside) > REMEMBERED:
+                self.beside.clear()
+            self.beside[key] = self._merged((self._symbols(before) if before else []) + self._symbols(token)) == ([before, token] if before else [token])
+        return self.beside[key]
+
+    def row(self, word: str) -> list[int]:
+        """Tokens of each prefix of a word of the pattern, each with its own word end."""
+        count, last, out = [0] + [-1] * len(word), [""] * (len(word) + 1), [0]
+        for k in range(1, len(word) + 1):
+            whole = None
+            for j in range(max(0, k - self.longest), k):
+                token = word[j:k]
+                if count[j] < 0:
+                    continue
+                if count[k] < 0 and token in self.vocabulary and self.stays(last[j], token):
+                    count[k], last[k] = count[j] + 1, token
+                if whole is None and token + _END in self.vocabulary and self.stays(last[j], token + _END):
+                    whole = count[j] + 1
+            out.append(whole)
+        return out
 
 
 class Encoder:
@@ -43,6 +101,7 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.path, self.merges = path, None
         self.forget()
 
     @staticmethod
@@ -95,6 +154,7 @@ class Encoder:
             raw, one = buf.tobytes(), new[one]
             self._learn(kinds, [raw[a:b].decode() for a, b in zip(starts[one].tolist(), ends[one].tolist())])
             place[new] = self.rows.find(hashes[new])
+        self.starts = starts
         return place, ends, firsts
 
     def counts(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -119,15 +179,28 @@ class Encoder:
     def at(self, text: str, chars: int) -> int:
         """Tokens of text[:chars], from the text's table and the row of one piece."""
         raw = np.frombuffer(text.encode(), np.uint8)
-        ends, upto, _ = self.tables(raw, np.array([0, len(raw)]))
+        place, ends, _ = self.pieces(raw, np.array([0, len(raw)]))
+        starts, upto = self.starts, np.append(0, np.cumsum(self.size[place]))
         stop = len(text[:chars].encode())
         k = int(np.searchsorted(ends, stop, "right"))
-        rest = raw[ends[k - 1] if k else 0 : stop].tobytes().decode()
-        return (int(upto[k - 1]) if k else 0) + self.row(rest)[-1]
+        if k == len(ends) or starts[k] >= stop:
+            return int(upto[k])
+        return int(upto[k]) + self.row(raw[starts[k] : ends[k]].tobytes().decode())[len(raw[starts[k] : stop].tobytes().decode())]
 
     def row(self, piece: str) -> list[int]:
-        """Tokens of each prefix of a piece, from the empty one to the whole."""
-        return [0, *map(len, self.encode([piece[:k] for k in range(1, len(piece) + 1)]))]
+        """Tokens of each prefix of a piece, from the empty one to the whole; plain pieces by the merges alone."""
+        if not _PLAIN.fullmatch(piece):
+            return [0, *map(len, self.encode([piece[:k] for k in range(1, len(piece) + 1)]))]
+        if self.merges is None:
+            self.merges = Merges(self.path)
+        out = [0]
+        for word in _WORD.findall(piece.lower()):
+            out += [out[-1] + n for n in self.merges.row(word)[1:]]
+        return out
+
+    def longest(self, raw: bytes, budget: int) -> int:
+        """Code points of the longest prefix of a piece with at most `budget` tokens."""
+        return max(k for k, n in enumerate(self.row(raw.decode())) if n <= budget)
 
 
 def _count(path: str, limit: int):
@@ -142,8 +215,9 @@ def _count(path: str, limit: int):
                 lead = np.append(0, np.cumsum((own & 0xC0) != 0x80))  # code points before each byte
                 within = np.diff(lead[at])
                 for d in np.flatnonzero(counts > limit):
-                    k = int(np.searchsorted(upto[firsts[d] : firsts[d + 1]], limit, "right"))
-                    within[d] = lead[at[d] + ends[firsts[d] + k - 1]] - lead[at[d]] if k else 0
+                    k = int(firsts[d] + np.searchsorted(upto[firsts[d] : firsts[d + 1]], limit, "right"))  # the piece that goes over it
+                    start, stop = int(encoder.starts[k]), int(at[d] + ends[k])
+                    within[d] = lead[start] - lead[at[d]] + encoder.longest(own[start:stop].tobytes(), limit - (int(upto[k - 1]) if k > firsts[d] else 0))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *(pa.array(x.astype(np.int64)) for x in (np.diff(at), counts)), pa.array(counts > limit), pa.array(within.astype(np.int64))], names=["doc_id", "n_bytes", "n_tokens", "over_limit", "chars_within"])
 
     return run
@@ -152,9 +226,9 @@ def _count(path: str, limit: int):
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit, chars_within) for every row.
 
-    n_tokens counts the whole text without begin, end or added special tokens; chars_within is the longest prefix of
-    whole pieces, in code points, that has at most `limit` tokens (the whole text, if it has). Null counts as empty:
-    0 bytes, 0 tokens. Repeated rows give repeated rows; other columns are not read. `vocabulary` is the file's path
+    n_tokens counts the whole text without begin, end or added special tokens; chars_within is the longest prefix, in code
+    points, that has at most `limit` tokens (the whole text, if it has). Null counts as empty: 0 bytes, 0 tokens. Rows
+    without an id and repeated rows give rows of their own; other columns are not read. `vocabulary` is the file's path
     on every executor.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -180,3 +254,30 @@ def prefix_tables(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(_tables(vocabulary), f"doc_id {kind}, ends array<int>, counts array<int>")
+
+
+def _prefixes(path: str):
+    def run(batches):
+        encoder = Encoder.of(path)
+        for batch in batches:
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                raw = np.frombuffer((text or "").encode(), np.uint8)
+                ends, upto, _ = encoder.tables(raw, np.array([0, len(raw)]))
+                lead = np.append(0, np.cumsum((raw & 0xC0) != 0x80))
+                first, last = lead[encoder.starts], lead[ends]
+                out = np.zeros(int(lead[-1]) + 1, np.int32)
+                np.add.at(out, last, np.diff(np.append(0, upto)))
+                out = np.cumsum(out).astype(np.int32)  # white space and piece ends; inside pieces the row is added
+                for a, b, s, e in zip(first.tolist(), last.tolist(), encoder.starts.tolist(), ends.tolist()):
+                    if b - a > 1:
+                        out[a + 1 : b] += np.array(encoder.row(raw[s:e].tobytes().decode())[1:-1], np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[k : k + 1], pa.array([out], pa.list_(pa.int32()))], names=["doc_id", "counts"])
+
+    return run
+
+
+def prefix_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, counts): the tokens of every prefix of a text, counts[k] those of its first k code points. Null counts as empty."""
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(_prefixes(vocabulary), f"doc_id {kind}, counts array<int>")
