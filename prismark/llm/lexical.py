@@ -24,8 +24,20 @@ _WORDY = np.zeros(256, bool)
 _WORDY[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
 
-def _candidates(buf: np.ndarray, offsets: np.ndarray, shape: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(document, feature) pairs as they come, repeated ones too."""
+#: Kinds of features: whole words, a prefix of each length, the making of a text.
+KINDS = len(PREFIXES) + 2
+
+
+def kind_of(found: np.ndarray) -> np.ndarray:
+    return (found & np.uint64(7)).astype(int)
+
+
+def _of_kind(hashes: np.ndarray, kind: int) -> np.ndarray:
+    return (hashes & ~np.uint64(7)) | np.uint64(kind)
+
+
+def candidates(buf: np.ndarray, offsets: np.ndarray, shape: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(document, feature) pairs as they come, repeated ones too; the kind of a feature is in its last three bits."""
     low = wordhash.LOWER[buf]
     dark = _WORDY[low]
     edge = np.zeros(len(buf) + 1, bool)
@@ -40,12 +52,12 @@ def _candidates(buf: np.ndarray, offsets: np.ndarray, shape: bool) -> tuple[np.n
     n_docs = len(offsets) - 1
     doc = np.repeat(np.arange(n_docs), np.diff(np.searchsorted(starts, offsets)))
     sums = wordhash.prefix_sums(low)
-    docs, found = [doc], [wordhash.substring_hashes(sums, starts, ends)]
+    docs, found = [doc], [_of_kind(wordhash.substring_hashes(sums, starts, ends), 0)]
     long = np.arange(len(starts))
-    for n in PREFIXES:
+    for k, n in enumerate(PREFIXES, 1):
         long = long[ends[long] - starts[long] > n]
         docs.append(doc[long])
-        found.append(wordhash.mix(wordhash.substring_hashes(sums, starts[long], starts[long] + n) + np.uint64(n)))
+        found.append(_of_kind(wordhash.substring_hashes(sums, starts[long], starts[long] + n), k))
     if shape:
         words = np.bincount(doc, minlength=n_docs)
         letters = np.bincount(doc, ends - starts, n_docs)
@@ -58,13 +70,13 @@ def _candidates(buf: np.ndarray, offsets: np.ndarray, shape: bool) -> tuple[np.n
         log = lambda x: np.floor(4 * np.log2(np.maximum(x, 1e-3))).astype(np.int64)
         for k, v in enumerate((log(words), log(letters / np.maximum(words, 1)), log(distinct / np.maximum(words, 1)), log(signs / np.maximum(size, 1)), log(lines / np.maximum(words, 1)))):
             docs.append(np.arange(n_docs))
-            found.append(wordhash.mix((v * 64 + k).astype(np.uint64) ^ np.uint64(0x5EED5EED)))
+            found.append(_of_kind(wordhash.mix((v * 64 + k).astype(np.uint64) ^ np.uint64(0x5EED5EED)), len(PREFIXES) + 1))
     return np.concatenate(docs), np.concatenate(found)
 
 
 def of_texts(buf: np.ndarray, offsets: np.ndarray, shape: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(document, feature) pairs, each once, sorted by document; with `shape` also how the text is made."""
-    docs, found = _candidates(buf, offsets, shape)
+    docs, found = candidates(buf, offsets, shape)
     order = np.lexsort((found, docs))
     docs, found = docs[order], found[order]
     keep = np.ones(len(docs), bool)
@@ -74,7 +86,7 @@ def of_texts(buf: np.ndarray, offsets: np.ndarray, shape: bool = False) -> tuple
 
 def hash_of(word: str) -> int:
     raw = np.frombuffer(word.encode(), np.uint8)
-    return int(wordhash.substring_hashes(wordhash.prefix_sums(raw), np.array([0]), np.array([len(raw)]))[0])
+    return int(_of_kind(wordhash.substring_hashes(wordhash.prefix_sums(raw), np.array([0]), np.array([len(raw)])), 0)[0])
 
 
 class Listed:
@@ -94,7 +106,7 @@ class Listed:
 
     def rows(self, buf: np.ndarray, offsets: np.ndarray, shape: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """(document, column) pairs of the listed features in each text, each once, by document and column."""
-        docs, found = _candidates(buf, offsets, shape)
+        docs, found = candidates(buf, offsets, shape)
         maybe = np.flatnonzero(self._seen[(found >> np.uint64(48)).astype(np.int64)])  # a first look that keeps all listed ones
         docs, column = docs[maybe], self.columns(found[maybe])
         pairs = np.unique(docs[column >= 0] * max(1, self.width) + column[column >= 0])

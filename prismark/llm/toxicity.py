@@ -1,28 +1,31 @@
 """Toxicity by weak supervision.
 
-Many voters look at a text: lexicons of insults that are fixed here, lexicons whose terms and stems were found in labelled
-rows, and patterns (several hits, no hit at all). A generative model of the votes estimates how accurate each voter is
-and which of them err together, with the given labels as one more voter that may be wrong. The posterior it gives each
-row is the target of a linear classifier over words and stems, and that classifier scores every text.
+Many voters look at a text: lexicons of insults that are fixed here, lexicons of words and stems that labelled rows suggest, and
+patterns (an insult said to somebody, shouted, with others near it, shouting, masked words, no hit at all). A generative model
+of the votes estimates how accurate each voter is and which of them err together. The given labels are no voter: one half of
+them suggests terms, the other half a first belief about the voters' rates, which the model revises. The posterior that the votes give each row is the target of a linear classifier over words and stems, and that
+classifier scores every text. How far the posteriors part from the labels is kept in the model's report.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lexical, wordhash
+from .store import discard, durable
 
 #: Bounds of what is learned from: labelled rows, and features.
 SAMPLE_ROWS = 30_000
 FEATURES = 1_500
-LEXICONS = 16
-LABEL_ERROR = 0.01
 L2 = 1e-4
-#: Log odds from which a feature joins a found lexicon.
-TELLING = 3.0
+#: Log odds between the labels, less 1.64 standard errors, from which a term joins a found lexicon, and from which it joins the
+#: stricter one of its kind.
+TELLING, STRICT = 2.5, 4.0
 THRESHOLD = 0.7
 
 # Insults that vote in every corpus, by kind.
@@ -33,6 +36,25 @@ INSULTS = {
     "coarse": ("asshole", "bastard", "bitch", "crap", "damn", "fuck", "fucking", "shit"),
     "harm": ("despicable", "despise", "hateful", "ugly"),
 }
+PATTERNS = ("addressed", "exclaimed", "several_near", "shouted_insult", "shouting", "masked", "no_hit")
+
+_INSULT = re.compile(r"\b(?:" + "|".join(w for terms in INSULTS.values() for w in terms) + r")s?\b")
+_ADDRESS = re.compile(r"\b(?:you|your|you're|he|she|they|such an?|what an?|total|complete)\b\W*(?:\w+\W+){0,3}$")
+_SHOUT = re.compile(r"\b[A-Z]{3,}\b")
+_MASKED = re.compile(r"\b[A-Za-z]+[*#@]{2,}[A-Za-z]+\b")
+
+
+def patterns(text: str) -> int:
+    """Which of the first six patterns a text shows, as bits."""
+    low, out = text.lower(), 0
+    hits = list(_INSULT.finditer(low))
+    for k, m in enumerate(hits):
+        out |= bool(_ADDRESS.search(low, max(0, m.start() - 40), m.start())) << 0
+        out |= (low[m.end() : m.end() + 1] == "!") << 1
+        out |= (k > 0 and m.start() - hits[k - 1].end() < 60 and m[0] != hits[k - 1][0]) << 2
+        out |= (len(text) == len(low) and text[m.start() : m.end()].isupper()) << 3
+    out |= (len(_SHOUT.findall(text)) >= 3) << 4
+    return out | bool(_MASKED.search(text)) << 5
 
 
 class Listed(lexical.Listed):
@@ -41,39 +63,42 @@ class Listed(lexical.Listed):
     def __init__(self, features: np.ndarray):
         super().__init__(features)
         self.insults = np.sort(lexical.words_of([w for terms in INSULTS.values() for w in terms]))
+        self._seen[(self.insults >> np.uint64(48)).astype(np.int64)] = True
         self.width = len(self.features) + 1
 
     def rows(self, buf: np.ndarray, offsets: np.ndarray, shape: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        docs, found = lexical.of_texts(buf, offsets, shape)
+        docs, found = lexical.candidates(buf, offsets, shape)
+        maybe = np.flatnonzero(self._seen[(found >> np.uint64(48)).astype(np.int64)])
+        docs, found = docs[maybe], found[maybe]
         column = self.columns(found)
         at = np.minimum(np.searchsorted(self.insults, found), len(self.insults) - 1)
-        any_ = np.unique(docs[self.insults[at] == found])
-        docs, column = np.concatenate([docs[column >= 0], any_]), np.concatenate([column[column >= 0], np.full(len(any_), self.width - 1)])
-        order = np.lexsort((column, docs))
-        return docs[order], column[order]
+        pairs = np.unique(np.concatenate([(docs * self.width + column)[column >= 0], docs[self.insults[at] == found] * self.width + self.width - 1]))
+        return pairs // self.width, pairs % self.width
 
 
 class LabelModel:
     """Votes (rows, voters) in {0, 1} -> posterior of class 1, by expectation and maximisation.
 
     Given the class, voter j votes 1 with a probability of its own. Voters that err together beyond that are
-    discounted: the weight of j is 1 over the sum of its positive correlations, given the class, with all voters. The
-    last voter is the given label. It is an annotator of its own, so it is not discounted, and its error rates have a
-    prior: as many rows again as there are, in which it errs with LABEL_ERROR.
+    discounted: the weight of j is 1 over the sum of its positive correlations, given the class, with all voters. `belief` (2,
+    voters) and `share` are what is thought of the rates and of class 1 beforehand; they start the rounds, and the belief
+    stays as a prior with PRIOR times the weight of the rows.
     """
 
-    def __init__(self, votes: np.ndarray, start: np.ndarray, rounds: int = 25):
-        post = start.astype(float)
+    PRIOR = 0.5
+
+    def __init__(self, votes: np.ndarray, belief: np.ndarray, share: float, rounds: int = 40):
+        n, strength = max(1, len(votes)), self.PRIOR * len(votes) * np.array([[1 - share], [share]])
+        self.prior, self.rate, self.weight = np.clip(share, 1e-4, 1 - 1e-4), np.clip(belief, 1e-6, 1 - 1e-6), np.ones(votes.shape[1])
         for _ in range(rounds):
-            self.prior = np.clip(post.mean(), 1e-4, 1 - 1e-4)
-            self.rate = np.stack([(votes * w[:, None]).sum(0) + 0.5 for w in (1 - post, post)]) / np.array([[(1 - post).sum() + 1], [post.sum() + 1]])
-            self.rate[:, -1] = (self.rate[:, -1] + np.array([LABEL_ERROR, 1 - LABEL_ERROR])) / 2
+            post = self.posterior(votes)
+            self.prior = np.clip(post.mean() if len(post) else share, 1e-4, 1 - 1e-4)
+            mass = np.array([[(1 - post).sum()], [post.sum()]])
+            self.rate = np.clip((np.stack([(votes * w[:, None]).sum(0) for w in (1 - post, post)]) + strength * belief + 1e-3) / (mass + strength + 2e-3), 1e-6, 1 - 1e-6)
             rest = votes - ((1 - post)[:, None] * self.rate[0] + post[:, None] * self.rate[1])
-            spread = np.sqrt((rest**2).mean(0) + 1e-9)
-            self.correlation = (rest / spread).T @ (rest / spread) / max(1, len(votes))
+            spread = np.sqrt((rest**2).mean(0) + 1e-9) if len(votes) else np.ones(votes.shape[1])
+            self.correlation = (rest / spread).T @ (rest / spread) / n
             self.weight = 1 / np.maximum(1, np.clip(self.correlation, 0, 1).sum(0))
-            self.weight[-1] = 1
-            post = self.posterior(votes)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         yes, no = np.log(self.rate[1] / self.rate[0]), np.log((1 - self.rate[1]) / (1 - self.rate[0]))
@@ -84,32 +109,41 @@ class LabelModel:
         return self.prior * self.rate[1] + (1 - self.prior) * (1 - self.rate[0])
 
 
-def voters(listed: lexical.Listed, counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Which voter each feature belongs to; -1 for none. Fixed lexicons come first, then found ones."""
-    out = np.full(len(listed.features) + 1, -1)
-    odds = np.log((counts[:, 1] + 0.5) / (sizes[1] + 1)) - np.log((counts[:, 0] + 0.5) / (sizes[0] + 1))
-    found = odds > TELLING
-    out[:-1][found] = len(INSULTS) + (listed.features[found] % np.uint64(LEXICONS)).astype(int)
+def lexicons(listed: Listed, counts: np.ndarray, sizes: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Names of the lexicons, and which of them each feature belongs to; -1 for none.
+
+    The fixed ones come first. A found one has the terms of one kind, words or stems of one length, that are telling or very
+    telling; the fixed insults are in their own lexicons only.
+    """
+    names = list(INSULTS) + [f"{'words' if not k else f'stems_{lexical.PREFIXES[k - 1]}'}_{s}" for k in range(lexical.KINDS - 1) for s in ("telling", "strict")]
+    out = np.full(listed.width, -1)
+    odds = np.log((counts[:, 1] + 0.5) / (sizes[1] + 1)) - np.log((counts[:, 0] + 0.5) / (sizes[0] + 1)) - 1.64 * np.sqrt((1 / (counts + 0.5)).sum(1))
+    kind = lexical.kind_of(listed.features)
+    found = (odds > TELLING) & (kind < lexical.KINDS - 1)
+    out[:-1][found] = (len(INSULTS) + 2 * kind + (odds > STRICT))[found]
     for k, terms in enumerate(INSULTS.values()):
         out[:-1][np.isin(listed.features, lexical.words_of(terms))] = k
-    return out
+    return names, out
 
 
-def votes(kind: np.ndarray, starts: np.ndarray, columns: np.ndarray, voter: np.ndarray) -> np.ndarray:
-    """One column a lexicon; patterns: two or more terms, four or more, none; last the label."""
-    n, lexicons = len(kind), len(INSULTS) + LEXICONS
+def votes(starts: np.ndarray, columns: np.ndarray, shown: np.ndarray, lexicon: np.ndarray, n_lexicons: int) -> np.ndarray:
+    """A column for each lexicon, which votes where a term of it stands, and for each pattern."""
+    n = len(starts) - 1
     row = np.repeat(np.arange(n), np.diff(starts))
-    mine = voter[columns]
-    out = np.zeros((n, lexicons + 4))
+    mine = lexicon[columns]
+    out = np.zeros((n, n_lexicons + len(PATTERNS)))
     out[row[mine >= 0], mine[mine >= 0]] = 1
-    hits = np.bincount(row[mine >= 0], minlength=n)
-    out[:, lexicons], out[:, lexicons + 1], out[:, lexicons + 2], out[:, lexicons + 3] = hits >= 2, hits >= 4, hits == 0, kind
+    for k in range(len(PATTERNS) - 1):
+        out[:, n_lexicons + k] = shown >> k & 1
+    out[:, -1] = ~out[:, :n_lexicons].any(1)
     return out
 
 
 class Model:
-    def __init__(self, listed: lexical.Listed, weight: np.ndarray, bias: np.ndarray):
-        self.listed, self.weight, self.bias = listed, weight, bias
+    """The classifier; report: of each voter its share of votes, accuracy, weight and closest fellow, and how the labels were met."""
+
+    def __init__(self, listed: lexical.Listed, weight: np.ndarray, bias: np.ndarray, report: dict | None = None):
+        self.listed, self.weight, self.bias, self.report = listed, weight, bias, report or {}
 
     def score(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         out = np.zeros(len(offsets) - 1)
@@ -120,27 +154,61 @@ class Model:
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int] | None, most: int) -> DataFrame:
-    """(text, kind) of about `most` labelled documents; ids of the bounded sample are what is broadcast."""
+    """(text, kind, half) of about `most` labelled documents; ids of the bounded sample are what is broadcast."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     if fold is not None:
         known = known.where(F.crc32(F.col("doc_id").cast("string")) % fold[0] != fold[1])
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("kind"))
-    return docs.select("doc_id", "text").join(F.broadcast(lexical.sample_by_hash(known, most, "doc_id", label)), "doc_id").select("text", "kind")
+    return docs.select("doc_id", "text").join(F.broadcast(lexical.sample_by_hash(known, most, "doc_id", label)), "doc_id").select("text", "kind", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int").alias("half"))
+
+
+def _shown(shared):
+    def run(batches):
+        listed: Listed = shared.value
+        for batch in batches:
+            buf, offsets = wordhash.buffers(batch.column(0))
+            shown = [patterns(t or "") for t in batch.column(0).to_pylist()]
+            for a, b in wordhash.chunks(offsets):
+                docs, column = listed.rows(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                ends = np.searchsorted(docs, np.arange(b - a + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(1)[a:b], batch.column(2)[a:b], pa.array(shown[a:b], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(column.astype(np.int32)))], names=["kind", "half", "shown", "columns"])
+
+    return run
 
 
 def train(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] | None = (3, 1), sample_rows: int = SAMPLE_ROWS, features: int = FEATURES) -> Model:
-    """A model from the labelled rows outside the fold; about `sample_rows` of them by a hash of their id."""
-    rows = labelled_rows(docs, labels, "toxic", fold, sample_rows)
-    listed, counts, sizes = lexical.choose(rows, 2, features, least_docs=4)
+    """A model from the labelled rows outside the fold; about `sample_rows` of them by a hash of their id, which are stored once.
+
+    Null labels and null ids are left out; of several labels of an id the greatest counts. Without rows of both labels every
+    text has the score of the labels' share.
+    """
+    rows = durable(labelled_rows(docs, labels, "toxic", fold, sample_rows), "sample")
+    listed, counts, sizes = lexical.choose(rows.where("half = 0"), 2, features, least_docs=4)
     listed = Listed(listed.features)
-    if not sizes.all() or len(listed.features) != len(counts):
+    if not sizes.all() or not len(counts):
         share = (sizes[1] + 0.5) / (sizes.sum() + 1)
         return Model(listed, np.zeros((listed.width, 2)), np.log([1 - share, share]))
-    kind, starts, columns = lexical.matrix(rows, listed)
-    model = LabelModel(votes(kind, starts, columns, voters(listed, counts, sizes)), np.where(kind == 1, 0.9, 0.1))
-    target = model.posterior(votes(kind, starts, columns, voters(listed, counts, sizes)))
+    shared = docs.sparkSession.sparkContext.broadcast(listed)
+    found = rows.select("text", "kind", "half").mapInArrow(_shown(shared), "kind int, half int, shown int, columns array<int>").toArrow().to_pandas()
+    discard(rows)
+    found["columns"] = [tuple(x.tolist()) for x in found["columns"]]
+    found = found.sort_values(["kind", "half", "shown", "columns"])
+    size = np.array([len(x) for x in found["columns"]], int)
+    starts, columns = np.append(0, np.cumsum(size)), np.array([c for x in found["columns"] for c in x], int)
+    names, lexicon = lexicons(listed, counts, sizes)
+    cast = votes(starts, columns, found["shown"].to_numpy(), lexicon, len(names))
+    label, fresh = found["kind"].to_numpy(), found["half"].to_numpy() == 1
+    belief = np.stack([(cast[fresh & (label == k)].sum(0) + 0.5) / ((fresh & (label == k)).sum() + 1) for k in (0, 1)])
+    model = LabelModel(cast, belief, float(label.mean()))
+    target = model.posterior(cast)
     weight, bias = lexical.softmax_regression(np.stack([1 - target, target], 1), starts, columns, listed.width, l2=L2)
-    return Model(listed, weight, bias)
+    everyone = names + list(PATTERNS)
+    apart = model.correlation - np.eye(len(everyone))
+    report = {
+        "voters": [(v, float(cast[:, j].mean()), float(model.accuracy()[j]), float(model.weight[j]), everyone[int(apart[j].argmax())]) for j, v in enumerate(everyone)],
+        "rows": len(label), "labels_overruled": int(((target >= 0.5) != (label == 1)).sum()), "mean_distance_to_label": float(np.abs(target - label).mean()),
+    }
+    return Model(listed, weight, bias, report)
 
 
 def _score(shared, threshold: float):
@@ -174,7 +242,11 @@ def _reject(shared, threshold: float, text: int):
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs` that score below the threshold, with all their columns."""
+    """The rows of `docs` that score below the threshold, with all their columns.
+
+    Null and empty texts score as a text without any listed feature; equal texts stay or go together; rows without an id are
+    judged as others. An empty table stays empty. Other columns, whatever their names, are carried.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(_reject(shared, threshold, docs.columns.index("text")), docs.schema)
 
