@@ -120,21 +120,6 @@ def test_filter_has_all_its_ids(spark):
     assert all(f.maybe(np.arange(0, 1000, 7))) and f.maybe(np.arange(10**6, 10**6 + 1000)).mean() < 0.05
 
 
-def test_tokens_at_every_prefix(docs):
-    from tokenizers import Tokenizer
-
-    library = Tokenizer.from_file(vocabulary())
-    count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
-    rows = {i: t or "" for i, t, *_ in corpus()}
-    for r in tokens.token_counts(docs, vocabulary(), limit=20).collect():
-        t = rows[r.doc_id]
-        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(t.encode()), count(t), count(t) > 20)
-        assert count(t[: r.chars_within]) <= 20 and (r.over_limit or r.chars_within == len(t))
-    encoder = tokens.Encoder.of(vocabulary())
-    for t in ("it's we'll DON'T can't!'s <|endoftext|> <|ENDOFTEXT|> x|y", "naïve café É İstanbul ŉ ß ΟΔΟΣ.", "日本語 テスト。123 4５６", "foo.bar,baz-(q)_x a1b2 12.5%", "x­s 😀 ²½ª"):
-        assert [encoder.at(t, k) for k in range(len(t) + 1)] == [count(t[:k]) for k in range(len(t) + 1)]
-
-
 @pytest.mark.parametrize("block", [4096, 7])
 def test_exact_duplicates_against_python(docs, block, monkeypatch):
     monkeypatch.setattr(blocks, "BLOCK", block)
@@ -182,47 +167,6 @@ def test_next_by_descending_id(spark):
     assert {(r.k, r.t, r.next) for r in got} == {(*a, b[1]) for a, b in zip(order, order[1:] + order[:1])}
 
 
-def passages_by_brute_force(rows, length):
-    seen, out = set(), {}
-    for i, raw in sorted(rows.items()):
-        windows = [raw[k : k + length] for k in range(len(raw) - length + 1)]
-        gone = bytearray(len(raw))
-        for k, w in enumerate(windows):
-            if w in seen:
-                gone[k : k + length] = b"\1" * length
-        seen.update(windows)
-        spans = sum(1 for k in range(len(gone)) if gone[k] and not (k and gone[k - 1]))
-        out[i] = (len(raw), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(raw, gone) if not g)).hexdigest())
-    return out
-
-
-@pytest.mark.parametrize("frequent", [True, False])
-def test_repeated_passages_against_brute_force(docs, frequent, monkeypatch):
-    if frequent:
-        monkeypatch.setattr(passages, "FREQUENT", 2)
-    rows = {i: (t or "").encode() for i, t, *_ in corpus()}
-    got = {r.doc_id: tuple(r)[1:] for r in passages.repeated_passages(docs, shard_bytes=3000).collect()}
-    assert got == passages_by_brute_force(rows, 50)
-
-
-def test_repeated_passages_of_runs_over_65535_windows(spark):
-    rows = {1: b"word " * 20000, 2: b"word " * 20000, 3: b" " * 70000, 4: b" " * 80000}
-    apart = spark.sparkContext.parallelize([(i, t.decode()) for i, t in rows.items()], 4)  # each in a map task of its own
-    got = {r.doc_id: tuple(r)[1:] for r in passages.repeated_passages(spark.createDataFrame(apart, "doc_id long, text string")).collect()}
-    assert got == passages_by_brute_force(rows, 50)
-
-
-def test_family_levels_halve():
-    family = passages.Family()
-    for k in range(20):
-        n = 10
-        batch = passages.Runs(np.arange(n, dtype=np.uint64), np.arange(k * n, k * n + n).astype(np.uint64), np.full(n, k), np.zeros(n, np.int32), np.ones(n, np.int32))
-        assert len(family.insert(batch)) == 0
-    sizes = [len(x) for x in family.levels]
-    assert sum(sizes) == 200 and all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
-    assert len(family.insert(passages.Runs(np.zeros(1, np.uint64), np.array([5], np.uint64), np.array([99]), np.zeros(1, np.int32), np.ones(1, np.int32)))) == 1
-
-
 def test_packing_is_a_partition_without_padding(docs):
     from tokenizers import Tokenizer
 
@@ -249,26 +193,6 @@ def test_retrieval_returns_the_likest_unused():
     assert index.neighbours(0, np.array([0, 1, 0, 1, 1.0])).tolist() == [4]
 
 
-def test_label_model_repairs_labels():
-    rng = np.random.default_rng(3)
-    truth = rng.random(2000) < 0.2
-    flip = lambda p: np.where(rng.random(2000) < p, ~truth, truth)
-    votes = np.stack([flip(0.05), flip(0.1), flip(0.1), flip(0.08), flip(0.01)], 1).astype(float)
-    model = toxicity.LabelModel(votes, np.where(votes[:, -1] == 1, 0.9, 0.1))
-    assert ((model.posterior(votes) > 0.5) == truth).mean() > 0.99 and model.accuracy()[0] > model.accuracy()[1]
-
-
-def test_toxicity_on_made_up_texts(spark):
-    rng = random.Random(4)
-    rows = [(k, " ".join(rng.choices(WORDS, k=20) + (["moron" if k % 4 else "idiot"] if k % 3 == 0 else []))) for k in range(300)] + [(900, None), (901, "")]
-    d = spark.createDataFrame(rows, "doc_id long, text string")
-    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(300)] + [(None, 1), (5000, None)], "doc_id long, toxic int")
-    got = {r.doc_id: r for r in toxicity.toxicity(d, labels).collect()}
-    assert all(got[k].predicted == int(k % 3 == 0) for k in range(300)) and got[900].score == got[901].score < 0.7
-    none = toxicity.toxicity(d, labels.where("false")).collect()
-    assert len(none) == 302 and all(0 <= r.score <= 1 for r in none)
-
-
 def test_rates_meet_targets(spark):
     rng = np.random.default_rng(5)
     p = rng.dirichlet([1, 1, 0.3], 500)
