@@ -23,9 +23,8 @@ from .store import discard, durable
 SAMPLE_ROWS = 30_000
 FEATURES = 1_500
 L2 = 1e-4
-#: Log odds between the labels, less 1.64 standard errors, from which a term joins a found lexicon, and from which it joins the
-#: stricter one of its kind.
-TELLING, STRICT = 2.5, 4.0
+#: Log odds between the labels, less 1.64 standard errors, from which a term joins the found lexicons of each tier.
+TIERS = (("hinting", 1.5), ("telling", 2.5), ("strict", 4.0))
 THRESHOLD = 0.7
 
 # Insults that vote in every corpus, by kind.
@@ -112,15 +111,16 @@ class LabelModel:
 def lexicons(listed: Listed, counts: np.ndarray, sizes: np.ndarray) -> tuple[list[str], np.ndarray]:
     """Names of the lexicons, and which of them each feature belongs to; -1 for none.
 
-    The fixed ones come first. A found one has the terms of one kind, words or stems of one length, that are telling or very
-    telling; the fixed insults are in their own lexicons only.
+    The fixed ones come first. A found one has the terms of one kind, words or stems of one length, and of one tier; the
+    fixed insults are in their own lexicons only.
     """
-    names = list(INSULTS) + [f"{'words' if not k else f'stems_{lexical.PREFIXES[k - 1]}'}_{s}" for k in range(lexical.KINDS - 1) for s in ("telling", "strict")]
+    names = list(INSULTS) + [f"{'words' if not k else f'stems_{lexical.PREFIXES[k - 1]}'}_{s}" for k in range(lexical.KINDS - 1) for s, _ in TIERS]
     out = np.full(listed.width, -1)
     odds = np.log((counts[:, 1] + 0.5) / (sizes[1] + 1)) - np.log((counts[:, 0] + 0.5) / (sizes[0] + 1)) - 1.64 * np.sqrt((1 / (counts + 0.5)).sum(1))
     kind = lexical.kind_of(listed.features)
-    found = (odds > TELLING) & (kind < lexical.KINDS - 1)
-    out[:-1][found] = (len(INSULTS) + 2 * kind + (odds > STRICT))[found]
+    tier = sum((odds > least).astype(int) for _, least in TIERS) - 1
+    found = (tier >= 0) & (kind < lexical.KINDS - 1)
+    out[:-1][found] = (len(INSULTS) + len(TIERS) * kind + tier)[found]
     for k, terms in enumerate(INSULTS.values()):
         out[:-1][np.isin(listed.features, lexical.words_of(terms))] = k
     return names, out
