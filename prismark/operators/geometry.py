@@ -22,13 +22,11 @@ def intersect_rays(rays: DataFrame, keys: tuple[str, ...] = ("track_id",)) -> Da
 
 
 def parallax(rays: DataFrame, keys: tuple[str, ...] = ("track_id",)) -> DataFrame:
-    """(keys, parallax): the greatest angle, in degrees, between a track's first ray and its others; linear in rays.
-
-    The greatest angle of all pairs is at most twice and at least this; which is used for a threshold is our choice.
-    """
-    first = Window.partitionBy(*keys).orderBy("view_id")
-    w = {c: F.first(c).over(first) for c in ("dx", "dy", "dz")}
-    return rays.select(*keys, v.angle_degrees(v.vector("dx", "dy", "dz"), tuple(w.values())).alias("angle")).groupBy(*keys).agg(F.max("angle").alias("parallax"))
+    """(keys, parallax): the greatest angle, in degrees, between any two rays of a track; a track's rays meet in one row."""
+    d = F.collect_list(F.struct("dx", "dy", "dz"))
+    dot = lambda p, q: p.dx * q.dx + p.dy * q.dy + p.dz * q.dz
+    least = F.array_min(F.transform("d", lambda p: F.array_min(F.transform("d", lambda q: dot(p, q)))))
+    return rays.groupBy(*keys).agg(d.alias("d")).select(*keys, F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), least)))).alias("parallax"))
 
 
 def enough_parallax(rays: DataFrame, least_degrees: float = 1.0, keys: tuple[str, ...] = ("track_id",)) -> DataFrame:
@@ -40,7 +38,7 @@ def reprojection(points: DataFrame, observations: DataFrame, k: tuple[float, flo
     """(track_id, mean_error, max_error) in pixels of points over observations (track_id, u, v, rotation, ox, oy, oz)."""
     both = observations.join(points.select("track_id", "x", "y", "z"), "track_id")
     pu, pv, depth = im.project(v.vector("x", "y", "z"), k, v.matrix_of_array("rotation"), v.vector("ox", "oy", "oz"))
-    error = F.when(depth > 0, F.hypot(pu - F.col("u"), pv - F.col("v"))).otherwise(F.lit(float("inf")))
+    error = F.when(depth > 1e-9, F.hypot(pu - F.col("u"), pv - F.col("v"))).otherwise(F.lit(float("inf")))
     return both.select("track_id", error.alias("e")).groupBy("track_id").agg(F.avg("e").alias("mean_error"), F.max("e").alias("max_error"))
 
 

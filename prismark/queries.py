@@ -146,14 +146,14 @@ def interval_sync(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT label, vec_id AS a_id, embedding AS p FROM embeddings WHERE vec_id % 2 = 0),
-b AS (SELECT label, vec_id AS b_id, embedding AS q FROM embeddings WHERE vec_id % 2 = 1),
+WITH a AS (SELECT vec_id // 128 AS label, vec_id AS a_id, embedding AS p FROM embeddings WHERE vec_id % 2 = 0),
+b AS (SELECT vec_id // 128 AS label, vec_id AS b_id, embedding AS q FROM embeddings WHERE vec_id % 2 = 1),
 d AS (SELECT label, a_id, b_id, sqrt(list_sum(list_transform(list_zip(p, q), lambda x: (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) * (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE))))) AS distance FROM a JOIN b USING (label)),
 r AS (SELECT *, row_number() OVER (PARTITION BY label, a_id ORDER BY distance, b_id) AS ra, row_number() OVER (PARTITION BY label, b_id ORDER BY distance, a_id) AS rb FROM d)
 SELECT label AS pair_id, a_id, b_id, round(distance, 6) AS distance FROM r WHERE ra = 1 AND rb = 1""")
 def mutual_nn(spark: SparkSession, folder: str) -> DataFrame:
-    """Two-view matching (J1): even and odd vectors stand in for two views, labels for pairs of views."""
-    e = table(spark, folder, "embeddings").select(F.col("label").alias("pair_id"), F.col("vec_id").alias("feat_id"), F.col("embedding").alias("desc"))
+    """Two-view matching (J1): even and odd vectors stand in for two views, 128 of them for a pair of views."""
+    e = table(spark, folder, "embeddings").select(F.floor(F.col("vec_id") / 128).alias("pair_id"), F.col("vec_id").alias("feat_id"), F.col("embedding").alias("desc"))
     return rounded(graphs.match_views(e.where("feat_id % 2 = 0"), e.where("feat_id % 2 = 1")), distance=6)
 
 
@@ -178,13 +178,14 @@ def ray_intersection(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE links AS (SELECT DISTINCT event_id AS a, event_id + 1 + user_id % 3 AS b FROM events WHERE value > 60),
-sides AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+WITH RECURSIVE links AS (SELECT DISTINCT event_id AS a, event_id // 16 * 16 + (event_id * 5 + user_id % 3) % 16 AS b FROM events),
+sides AS (SELECT a, b FROM links WHERE a <> b UNION SELECT b, a FROM links WHERE a <> b),
 reach(node, root) AS (SELECT DISTINCT a, a FROM sides UNION SELECT sides.b, reach.root FROM reach JOIN sides ON sides.a = reach.node WHERE sides.b > reach.root)
 SELECT node, min(root) AS component FROM reach GROUP BY node""")
 def tracks_components(spark: SparkSession, folder: str) -> DataFrame:
-    """Track construction (J2): full closure of links derived from events, by least node."""
-    links = table(spark, folder, "events").where("value > 60").select(F.col("event_id").alias("a"), (F.col("event_id") + 1 + F.col("user_id") % 3).alias("b"))
+    """Track construction (J2): full closure of links derived from all events, by least node; links to oneself say nothing."""
+    at = F.col("event_id")
+    links = table(spark, folder, "events").select(at.alias("a"), (F.floor(at / 16) * 16 + (at * 5 + F.col("user_id") % 3) % 16).alias("b"))
     return graphs.connected(links)
 
 
@@ -222,24 +223,24 @@ def bounded_rerank(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT doc_id, CAST(doc_id % 2 AS INTEGER) AS predicted FROM documents WHERE doc_id % 3 <> 0),
+WITH a AS (SELECT doc_id, CASE WHEN lang = 'en' THEN CAST(n_chars % 2 AS INTEGER) END AS predicted FROM documents),
 b AS (SELECT doc_id, quality AS confirmed FROM labels)
 SELECT doc_id, predicted, confirmed, CASE WHEN predicted IS NULL THEN 'added' WHEN confirmed IS NULL THEN 'removed' ELSE 'changed' END AS change
 FROM a FULL OUTER JOIN b USING (doc_id) WHERE predicted IS DISTINCT FROM confirmed""")
 def correction_diff(spark: SparkSession, folder: str) -> DataFrame:
-    """Prediction against confirmation (J10), null-safe."""
-    a = table(spark, folder, "documents").where("doc_id % 3 <> 0").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("label"))
+    """Prediction against confirmation (J10), null-safe: documents of other languages have none."""
+    a = table(spark, folder, "documents").select("doc_id", F.when(F.col("lang") == "en", (F.col("n_chars") % 2).cast("int")).alias("label"))
     b = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
     return graphs.corrections(a, b, "doc_id", "label")
 
 
 @query("""
-WITH s AS (SELECT p_brand AS assembly, p_partkey AS shape_id, p_type AS kind, CAST(p_size AS DOUBLE) AS x, p_retailprice / 100 AS z FROM part)
+WITH s AS (SELECT p_partkey // 32 AS assembly, p_partkey AS shape_id, p_type AS kind, CAST(p_size AS DOUBLE) AS x, p_retailprice / 100 AS z FROM part)
 SELECT a.assembly, a.shape_id AS a_id, b.shape_id AS b_id FROM s a JOIN s b ON a.assembly = b.assembly AND a.shape_id < b.shape_id AND abs(a.x - b.x) <= 1.0""")
 def coaxial_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Coaxial shapes (J7): brands stand in for assemblies, sizes for the axis's place; pairs are formed by brand."""
+    """Coaxial shapes (J7): 32 parts an assembly, sizes stand in for the axis's place."""
     p = table(spark, folder, "part")
-    shapes = p.select(F.col("p_brand").alias("assembly"), F.col("p_partkey").alias("shape_id"), F.col("p_size").cast("double").alias("x"), F.lit(0.0).alias("y"), (F.col("p_retailprice") / 100).alias("z"), F.lit(0.0).alias("ax"), F.lit(0.0).alias("ay"), F.lit(1.0).alias("az"), F.lit(1.0).alias("radius"), F.lit(1.0).alias("height"))
+    shapes = p.select(F.floor(F.col("p_partkey") / 32).alias("assembly"), F.col("p_partkey").alias("shape_id"), F.col("p_size").cast("double").alias("x"), F.lit(0.0).alias("y"), (F.col("p_retailprice") / 100).alias("z"), F.lit(0.0).alias("ax"), F.lit(0.0).alias("ay"), F.lit(1.0).alias("az"), F.lit(1.0).alias("radius"), F.lit(1.0).alias("height"))
     return geometry.shape_relations(shapes, tolerance=1.0).where("relation = 'coaxial'").drop("relation")
 
 
@@ -394,10 +395,18 @@ def se3_fold(spark: SparkSession, folder: str) -> DataFrame:
     return motion.accumulate_poses(moves)
 
 
-@query()
+@query("""
+WITH m AS (SELECT l_suppkey AS view_id, count(*) AS n, var_pop(x) AS a, covar_pop(x, y) AS b, covar_pop(x, z) AS c, var_pop(y) AS d, covar_pop(y, z) AS e, var_pop(z) AS f
+  FROM (SELECT l_suppkey, CAST(l_quantity AS DOUBLE) AS x, l_discount * 100 AS y, l_tax * 100 AS z FROM lineitem) GROUP BY 1),
+q AS (SELECT *, (a + d + f) / 3 AS q FROM m), p AS (SELECT *, sqrt(((a - q) ** 2 + (d - q) ** 2 + (f - q) ** 2 + 2 * (b*b + c*c + e*e)) / 6) AS p FROM q),
+h AS (SELECT *, greatest(-1.0, least(1.0, ((a - q) * ((d - q) * (f - q) - e*e) - b * (b * (f - q) - e*c) + c * (b*e - (d - q) * c)) / nullif(2 * p * p * p, 0))) AS h FROM p)
+SELECT view_id, n, round(q + 2 * p * cos(acos(h) / 3), 4) AS l1, round(3 * q - (q + 2 * p * cos(acos(h) / 3)) - (q + 2 * p * cos(acos(h) / 3 + 2 * pi() / 3)), 4) AS l2, round(q + 2 * p * cos(acos(h) / 3 + 2 * pi() / 3), 4) AS l3, TRUE AS orthonormal FROM h""")
 def jacobi_pca(spark: SparkSession, folder: str) -> DataFrame:
-    """Principal axes of clouds (A7), held against numpy by the tests."""
-    return geometry.principal_axes(geometry.moments(_points(spark, folder), ("view_id",)), ("view_id",))
+    """Principal axes of clouds (A7): eigenvalues against their closed form, and whether the axes are orthonormal."""
+    e = geometry.principal_axes(geometry.moments(_points(spark, folder), ("view_id",)), ("view_id",))
+    axes = [v.vector(f"e{k}x", f"e{k}y", f"e{k}z") for k in (1, 2, 3)]
+    off = sum((F.abs(v.dot(axes[i], axes[j]) - (1.0 if i == j else 0.0)) for i in range(3) for j in range(i + 1)), F.lit(0.0))
+    return rounded(e, l1=4, l2=4, l3=4).select("view_id", "n", "l1", "l2", "l3", (off < 1e-6).alias("orthonormal"))
 
 
 @query()
@@ -416,18 +425,21 @@ def cylinder_fit(spark: SparkSession, folder: str) -> DataFrame:
 def vanishing_points(spark: SparkSession, folder: str) -> DataFrame:
     """Up to three vanishing points a view (A5, A6, T4); the tests use synthetic views."""
     s = _points(spark, folder).select("view_id", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + 1 + F.col("l_linenumber")).alias("x2"), (F.col("y") + 2 + F.col("l_orderkey") % 5).alias("y2"))
-    return geometry.vanishing_points(s, hypotheses=16, tolerance=0.5)
+    return geometry.vanishing_points(s, tolerance=0.5)
 
 
-@query()
-def mlp_forward(spark: SparkSession, folder: str) -> DataFrame:
-    """The motion network (L1), held against numpy by the tests."""
-    scale, confidence = motion.motion_model([F.col("value") / 100, F.col("value") / 200, F.lit(0.1), F.lit(0.9)])
-    return table(spark, folder, "events").select("event_id", scale.alias("scale"), confidence.alias("confidence"))
+@query("""
+WITH RECURSIVE cells AS (SELECT DISTINCT l_orderkey // 8 AS view_id, l_orderkey AS r, l_linenumber AS c FROM lineitem),
+near AS (SELECT a.view_id, a.r * 8 + a.c AS a, b.r * 8 + b.c AS b FROM cells a JOIN cells b ON a.view_id = b.view_id AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1),
+reach(view_id, node, root) AS (SELECT view_id, a, a FROM near UNION SELECT n.view_id, n.b, root FROM reach JOIN near n ON n.view_id = reach.view_id AND n.a = reach.node WHERE n.b > root),
+least AS (SELECT view_id, node, min(root) AS root FROM reach GROUP BY 1, 2)
+SELECT view_id, node // 8 AS r, node % 8 AS c, root // 8 AS first_r, root % 8 AS first_c FROM least""")
+def edge_components(spark: SparkSession, folder: str) -> DataFrame:
+    """Connected components of edge cells (A13), told by their first cell: orders are rows, eight a view, line numbers columns."""
+    cells = table(spark, folder, "lineitem").select(F.floor(F.col("l_orderkey") / 8).alias("view_id"), F.col("l_orderkey").alias("r"), F.col("l_linenumber").alias("c"))
+    found = segments.edge_components(cells)
+    first = found.groupBy("view_id", "component").agg(F.min(F.struct("r", "c")).alias("f"))
+    return found.join(first, ["view_id", "component"]).select("view_id", "r", "c", F.col("f.r").alias("first_r"), F.col("f.c").alias("first_c"))
 
 
-@query()
-def edge_components(spark: SparkSession, folder: str) -> DataFrame:
-    """Connected components of edge cells (A13), held against brute force by the tests."""
-    cells = table(spark, folder, "lineitem").select((F.col("l_suppkey") % 10).alias("view_id"), (F.col("l_orderkey") % 5000).alias("r"), F.col("l_linenumber").alias("c"))
-    return segments.edge_components(cells)
+from . import document_queries, scene_queries  # noqa: E402, F401  they register themselves

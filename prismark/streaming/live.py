@@ -26,29 +26,32 @@ def each_latest(frames: DataFrame, sink: Callable[[DataFrame, int], None]):
     return frames.writeStream.foreachBatch(lambda batch, epoch: sink(keep_latest(batch), epoch)).start()
 
 
-POSE_SCHEMA = "session_id long, step_id long, x double, y double, z double, rotation array<double>"
+POSE_SCHEMA = "session_id long, step_id long, x double, y double, z double, rotation array<double>, late long"
 
 
 def live_poses(motions: DataFrame) -> DataFrame:
     """Poses of motions (session_id, step_id, tx, ty, tz, r) as they come, one pose held for each session.
 
-    Within a batch a session's steps are put in order; steps that come after later ones were folded are left out.
+    Within a batch a session's steps are put in order. Motions do not commute, so a step that comes after later ones were folded
+    cannot be put in any more; `late` tells how many of a session's steps were left out so far.
     """
     import numpy as np
     import pandas as pd
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last, origin, turn = state.get if state.exists else (-1, [0.0] * 3, list(np.eye(3).ravel()))
+        last, origin, turn, late = state.get if state.exists else (-1, [0.0] * 3, list(np.eye(3).ravel()), 0)
         o, r = np.array(origin), np.array(turn).reshape(3, 3)
         rows = []
         for step in pd.concat(list(frames)).sort_values("step_id").itertuples():
             if step.step_id > last:
                 o, r, last = o + r @ np.array([step.tx, step.ty, step.tz]), r @ np.array(step.r, float).reshape(3, 3), int(step.step_id)
-                rows.append((key[0], last, *o.tolist(), r.ravel().tolist()))
-        state.update((last, o.tolist(), r.ravel().tolist()))
-        yield pd.DataFrame(rows, columns=["session_id", "step_id", "x", "y", "z", "rotation"])
+                rows.append((key[0], last, *o.tolist(), r.ravel().tolist(), late))
+            else:
+                late += 1
+        state.update((last, o.tolist(), r.ravel().tolist(), late))
+        yield pd.DataFrame(rows, columns=["session_id", "step_id", "x", "y", "z", "rotation", "late"])
 
-    return motions.groupBy("session_id").applyInPandasWithState(fold, POSE_SCHEMA, "last long, origin array<double>, turn array<double>", "append", "NoTimeout")
+    return motions.groupBy("session_id").applyInPandasWithState(fold, POSE_SCHEMA, "last long, origin array<double>, turn array<double>, late long", "append", "NoTimeout")
 
 
 def synchronised(imu: DataFrame, frames: DataFrame, delay: str = "10 seconds") -> DataFrame:

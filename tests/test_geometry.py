@@ -278,3 +278,27 @@ def test_live_poses(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(x.x for x in spark.table("poses").collect()) == [1.0, 2.0, 3.0, 4.0, 5.0]
+
+
+def test_late_steps_are_counted(spark, tmp_path):
+    import time
+
+    from prismark.streaming import live
+
+    eye = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
+    schema = "session_id long, step_id long, tx double, ty double, tz double, r array<double>"
+    for part in ([3, 4], [0, 1, 5]):
+        spark.createDataFrame([(1, k, 1.0, 0.0, 0.0, eye) for k in part], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # files are taken by age
+    stream = live.live_poses(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    q = stream.writeStream.format("memory").queryName("late_poses").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted((x.step_id, x.x, x.late) for x in spark.table("late_poses").collect()) == [(3, 1.0, 0), (4, 2.0, 0), (5, 3.0, 2)]
+
+
+def test_parallax_is_the_greatest_of_all_pairs(spark):
+    angles = {1: [-20, 0, 25], 2: [5], 3: [0, 0.5]}
+    rays = [(t, k, float(np.sin(np.radians(a))), 0.0, float(np.cos(np.radians(a)))) for t, many in angles.items() for k, a in enumerate(many)]
+    got = {r.track_id: r.parallax for r in geometry.parallax(spark.createDataFrame(rays, "track_id int, view_id int, dx double, dy double, dz double")).collect()}
+    assert got == pytest.approx({1: 45.0, 2: 0.0, 3: 0.5}, abs=1e-5)
