@@ -24,6 +24,24 @@ def read_json(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[kind]).option("multiLine", True).json(path)
 
 
+#: Inertial samples: rates in rad/s, accelerations in m/s2 without gravity, and the rotation vector as a quaternion.
+IMU_SCHEMA = "session_id bigint, ts timestamp, " + ", ".join(f"{n} double" for n in ("gx", "gy", "gz", "ax", "ay", "az", "qw", "qx", "qy", "qz"))
+
+
+def read_imu(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """Inertial samples of a folder of JSON lines, at rest or as they come; also t, the time in seconds, for windows at rest."""
+    source = spark.readStream if stream else spark.read
+    return source.schema(IMU_SCHEMA).json(path).withColumn("t", F.unix_micros("ts") / 1e6)
+
+
+def read_annotations(spark: SparkSession, path: str) -> DataFrame:
+    """(image, tags, part_id, class, parent) of annotated images, a row a part; classes in the vocabulary's spelling, null if it has none."""
+    from ..operators.geometry import canonical_class
+
+    doc = read_json(spark, path, "annotations").select("image", "tags", F.explode_outer("parts").alias("p"))
+    return doc.select("image", "tags", F.col("p.id").alias("part_id"), canonical_class(F.col("p.class")).alias("class"), F.col("p.parent").alias("parent"))
+
+
 def read_constraints(spark: SparkSession, path: str) -> DataFrame:
     """(origin, type, points, bounds, meaning, confidence): machine hypotheses and manual constraints, both kept."""
     doc = read_json(spark, path, "constraints")
