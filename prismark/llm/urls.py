@@ -13,8 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The default vocabulary.
-STRICT = ("adult-x", "casino", "casino-win", "escort", "hardcore", "hentai", "nsfw", "porn", "porno", "pornography", "sexcam", "spam-farm", "warez", "xxx")
-SOFT = ("adult", "bet", "bets", "bonus", "cam", "cams", "cheap", "crack", "dating", "download", "farm", "free", "gambling", "jackpot", "loan", "lottery", "naked", "nude", "pharmacy", "pills", "poker", "replica", "sex", "sexy", "slots", "spam", "torrent", "viagra", "win", "x")
+STRICT = ("bdsm", "camgirl", "camgirls", "casino", "casinos", "erotica", "escort", "escorts", "fetish", "gangbang", "hardcore", "hentai", "keygen", "milf", "nsfw", "phishing", "porn", "porno", "pornography", "pornstar", "sexcam", "sexshop", "warez", "xvideos", "xxx")
+SOFT = (
+    "adult", "bet", "bets", "betting", "blackjack", "bonus", "cam", "cams", "cheap", "cialis", "counterfeit", "crack", "cracked", "dating", "deals", "discount", "download", "farm", "free", "gambling", "hookup", "jackpot", "lingerie",
+    "loan", "loans", "lottery", "naked", "nude", "nudes", "payday", "pharmacy", "pills", "poker", "promo", "replica", "roulette", "sex", "sexy", "slots", "spam", "torrent", "torrents", "viagra", "webcam", "win", "x",
+)
 SOFT_NEEDED = 2
 #: (host, path, verdict)
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
