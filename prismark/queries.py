@@ -386,13 +386,22 @@ def dxf_drawings(spark: SparkSession, folder: str) -> DataFrame:
     return sinks.dxf(found).select("view_id", F.md5("text").alias("digest"))
 
 
-@query()
+_TURNED = ", ".join(f"p.a{3 * i} * s.r{j} + p.a{3 * i + 1} * s.r{3 + j} + p.a{3 * i + 2} * s.r{6 + j}" for i in range(3) for j in range(3))
+
+
+@query(f"""
+WITH RECURSIVE q AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, value AS tx, value / 1000 AS x, 0.01 AS y, 2.0 / (1 + value / 1000 * value / 1000 + 0.0001) AS s FROM events),
+s AS (SELECT user_id, k, tx, 1 - s*y*y AS r0, s*x*y AS r1, s*y AS r2, s*x*y AS r3, 1 - s*x*x AS r4, -s*x AS r5, -s*y AS r6, s*x AS r7, 1 - s*(x*x + y*y) AS r8 FROM q),
+p(user_id, k, x, y, z, a0, a1, a2, a3, a4, a5, a6, a7, a8) AS (SELECT DISTINCT user_id, 0::BIGINT, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 1::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 1::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 1::DOUBLE FROM events
+  UNION ALL SELECT p.user_id, s.k, p.x + p.a0*tx + p.a2, p.y + p.a3*tx + p.a5, p.z + p.a6*tx + p.a8, {_TURNED} FROM p JOIN s ON s.user_id = p.user_id AND s.k = p.k + 1)
+SELECT user_id AS session_id, k AS id, round(x, 3) + 0.0 AS x, round(y, 3) + 0.0 AS y, round(z, 3) + 0.0 AS z, round(a1, 6) + 0.0 AS r1, round(a8, 6) + 0.0 AS r8 FROM p""")
 def se3_fold(spark: SparkSession, folder: str) -> DataFrame:
-    """Rigid motions folded into poses (W2), held against numpy by the tests."""
+    """Rigid motions folded into poses (W2): users stand in for sessions, events for steps."""
     e = table(spark, folder, "events")
     r = v.quaternion_to_matrix(F.lit(1.0), F.col("value") / 1000, F.lit(0.01), F.lit(0.0))
     moves = e.select(F.col("user_id").alias("session_id"), F.struct("ts", "event_id").alias("step_id"), F.col("value").alias("tx"), F.lit(0.0).alias("ty"), F.lit(1.0).alias("tz"), F.array(*r).alias("r"))
-    return motion.accumulate_poses(moves)
+    poses = motion.accumulate_poses(moves).select("session_id", "id", *[F.element_at("origin", k + 1).alias(n) for k, n in enumerate("xyz")], F.element_at("rotation", 2).alias("r1"), F.element_at("rotation", 9).alias("r8"))
+    return rounded(poses, x=3, y=3, z=3, r1=6, r8=6)
 
 
 @query("""

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import sessions
+from ..operators import geometry, sessions
 from ..operators.motion import stride
 
 
@@ -54,6 +54,15 @@ def live_poses(motions: DataFrame) -> DataFrame:
     return motions.groupBy("session_id").applyInPandasWithState(fold, POSE_SCHEMA, "last long, origin array<double>, turn array<double>, late long", "append", "NoTimeout")
 
 
+def live_points(observations: DataFrame, poses: DataFrame, k: tuple[float, float, float, float]) -> DataFrame:
+    """The points of all tracks over a stream of observations (track_id, view_id, u, v), with the poses of a table.
+
+    A point is held as the sums of its rays' normal equations, so a track grows by what comes and nothing is looked at twice; for
+    output modes update and complete. Tracks are told by the stream.
+    """
+    return geometry.intersect_rays(geometry.observation_rays(observations, poses, k))
+
+
 def synchronised(imu: DataFrame, frames: DataFrame, delay: str = "10 seconds") -> DataFrame:
     """Inertial samples within their frames' windows, both streams with watermarks; times are timestamps."""
     a = imu.withWatermark("ts", delay).alias("a")

@@ -302,3 +302,20 @@ def test_parallax_is_the_greatest_of_all_pairs(spark):
     rays = [(t, k, float(np.sin(np.radians(a))), 0.0, float(np.cos(np.radians(a)))) for t, many in angles.items() for k, a in enumerate(many)]
     got = {r.track_id: r.parallax for r in geometry.parallax(spark.createDataFrame(rays, "track_id int, view_id int, dx double, dy double, dz double")).collect()}
     assert got == pytest.approx({1: 45.0, 2: 0.0, 3: 0.5}, abs=1e-5)
+
+
+def test_live_points_are_those_of_the_table(spark, tmp_path):
+    from prismark.streaming import live
+
+    poses = spark.createDataFrame([(k, [10.0 * k, 3.0 * k, -5.0], [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]) for k in range(4)], "view_id int, origin array<double>, rotation array<double>")
+    seen = [(t, view, 600.0 + 7 * t + 11 * view, 470.0 - 3 * t + view * view) for t in range(5) for view in range(4)]
+    schema = "track_id long, view_id int, u double, v double"
+    for part in (seen[:9], seen[9:]):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = live.live_points(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), poses, K)
+    q = stream.writeStream.format("memory").queryName("live_points").outputMode("complete").start()
+    q.processAllAvailable()
+    q.stop()
+    whole = geometry.intersect_rays(geometry.observation_rays(spark.createDataFrame(seen, schema), poses, K))
+    as_rows = lambda df: {r.track_id: (round(r.x, 6), round(r.y, 6), round(r.z, 6), r.n) for r in df.collect()}
+    assert as_rows(spark.table("live_points")) == as_rows(whole)
