@@ -267,7 +267,7 @@ def hypotheses_and_constraints(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""
 WITH j AS (SELECT o_orderkey AS session_id, CASE WHEN o_custkey % 3 > 0 THEN o_custkey / 8.0 END AS scale, o_orderstatus = 'O' AS accepted FROM orders)
-SELECT session_id, CASE WHEN scale IS NOT NULL THEN 'calibrated' WHEN accepted THEN 'accepted' ELSE 'visual_hypothesis' END AS state, round(10 * scale, 6) AS "lengthMm", round(20 * scale, 6) AS "widthMm", CASE WHEN scale IS NULL THEN 0.71 ELSE 0.96 END AS confidence FROM j""")
+SELECT session_id, CASE WHEN scale IS NOT NULL THEN 'calibrated' WHEN accepted THEN 'accepted' ELSE 'visual_hypothesis' END AS state, round(10 * scale, 6) AS "lengthMm", round(20 * scale, 6) AS "widthMm", CAST(CASE WHEN scale IS NULL THEN 0.71 ELSE 0.96 END AS DOUBLE) AS confidence FROM j""")
 def refined_models(spark: SparkSession, folder: str) -> DataFrame:
     """Proposals in millimetres once there is a scale, and the model's state (F9, M17, A14): orders stand in for sessions."""
     o = table(spark, folder, "orders")
