@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from . import wordhash
 
 #: Distinct pieces that a Python worker remembers; then it starts afresh. Bounds memory, never results.
-REMEMBERED = 2_000_000
-CHUNK_BYTES = 2 << 20
+REMEMBERED = 500_000
+CHUNK_BYTES = 1 << 20
 
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
