@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from . import wordhash
 from .components import components
 from .membership import filter_of
-from .store import discard, durable, rows_kept
+from .store import discard, durable, looked_up, rows_kept
 
 CHUNKS, WIDTH, ERRORS, BITS = 13, 5, 1, 16
 SLOTS = CHUNKS * WIDTH
@@ -240,7 +240,7 @@ def _contested(placed: DataFrame) -> DataFrame:
     block = lambda left, i, j: F.struct(F.lit(left).alias("left"), (i * F.col("columns") + j).alias("block"))
     as_left = F.when(F.col("component") != F.col("largest"), F.transform(up_to("columns"), lambda j: block(True, part("row", "rows"), j))).otherwise(F.array().cast("array<struct<left:boolean,block:int>>"))
     as_right = F.transform(up_to("rows"), lambda i: block(False, i, part("column", "columns")))
-    return placed.join(split, "key").withColumn("at", F.explode(F.concat(as_left, as_right))).select(*placed.columns, "at.left", "at.block")
+    return looked_up(placed, split, ["key"], ["node"]).withColumn("at", F.explode(F.concat(as_left, as_right))).select(*placed.columns, "at.left", "at.block")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
@@ -261,7 +261,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", "stand_in").alias("node"), "signature", "profile")).alias("x")
     classes = durable(sketches.where("n_shingles > 0").groupBy("digest").agg(least).select("digest", "x.unnamed", "x.node", "x.signature", "x.profile"), "classes")
 
-    keyed = classes.select("node", "signature").mapInArrow(_keys, "key long, node long")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: a signature becomes 65 rows
+    keyed = classes.select("node", "signature").repartition(tasks, "node").mapInArrow(_keys, "key long, node long")
     mixed = F.xxhash64("node")
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("leader"), F.bit_xor(mixed).alias("x"), F.sum(F.shiftright(mixed, 20)).alias("s")).where("n > 1")
     buckets = buckets.groupBy("n", "leader", "x", "s").agg(F.min("key").alias("key")).select("key", "n", "leader")
