@@ -40,7 +40,7 @@ LEFT = LENGTH - SEED
 SPAN = LEFT + 1
 WIDTH = LENGTH + LEFT
 #: Bytes of text whose suffixes make a shard, about; suffixes of a batch; suffixes that a map task gathers before it sends them.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 BATCH = 1 << 16
 GATHERED = 1 << 18
 #: Bytes of text that are looked at together; longer documents are looked at piece by piece.
