@@ -72,11 +72,12 @@ def differences(sets: DataFrame) -> DataFrame:
     unique; a null set counts as empty. All differences are recovered by peeling, from sketches that grow until they yield.
     """
     by, level, parts = ["row", "pair"], 0, []
+    tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # asked for by number: what is small here grows when exploded
     signed = lambda c, n: F.transform(F.coalesce(c, F.array().cast("array<long>")), lambda d: F.struct(F.lit(n).cast("long").alias("n"), d.alias("d")))
     left = sets
     while True:
         cells = CELLS * GROWTH**level
-        entries = left.repartition("row").select(*by, F.explode(F.concat(signed("left", 1), signed("right", -1))).alias("e")).select(*by, "e.n", "e.d")
+        entries = left.repartition(tasks, "row").select(*by, F.explode(F.concat(signed("left", 1), signed("right", -1))).alias("e")).select(*by, "e.n", "e.d")
         state = _cells(entries, by, cells).withColumn("src", F.lit(None).cast("long"))
         for _ in range(ROUNDS):
             state = _peel(state.where("cell < 0 or n <> 0 or d <> 0 or x <> 0"), by, cells)
@@ -105,7 +106,7 @@ def fingerprints_of(sets: DataFrame) -> DataFrame:
     Each is its number, count, digests and checks in hexadecimal. Equal sets have equal ones, an empty set the empty text.
     """
     by = ["row", "side"]
-    entries = sets.repartition("row").select(*by, F.explode("found").alias("d")).withColumn("n", F.lit(1).cast("long"))
+    entries = sets.repartition(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row").select(*by, F.explode("found").alias("d")).withColumn("n", F.lit(1).cast("long"))
     cell = F.struct("cell", "n", "d", "x")
     listed = _cells(entries, by, CELLS).groupBy(*by).agg(F.sort_array(F.collect_list(cell)).alias("cells"))
     told = lambda c: F.concat(F.hex(c.cell), F.lit(":"), F.hex(c.n), F.lit(":"), F.lpad(F.hex(c.d), 16, "0"), F.lpad(F.hex(c.x), 16, "0"))
