@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import blocks, minhash, mixing, packing, passages, ppm, sketches, tokens, toxicity, urls
+from . import blocks, clusters, minhash, mixing, packing, passages, phrases, ppm, rules, sketches, tokens, toxicity, urls
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -70,6 +70,21 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return ppm.identify_languages(table(spark, folder, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    """Lloyd's rounds over the distinct quantised vectors of `embeddings`, assigned back to every usable vector."""
+    return clusters.clusters(table(spark, folder, "embeddings"), k=8, rounds=10, dims=64, scale=1024, salt="3")
+
+
+def op12_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """Each language's first 2000 phrases of two and three words."""
+    return phrases.collocations(table(spark, folder, "documents"), longest=3, least=10, inside_percent=50, top=2000)
+
+
+def op13_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Base counts of every text, and the verdict of the cascade of rules."""
+    return rules.judged(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_prefix_token_counts": op2_prefix_token_counts,
@@ -81,9 +96,15 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": blocks.ORACLE_SQL,
     "op4_url_filters": urls.oracle_sql(),
+    "op11_centroid_clustering": clusters.oracle_sql(),
+    "op12_phrase_collocations": phrases.ORACLE_SQL,
+    "op13_quality_rules": rules.oracle_sql(),
 }
