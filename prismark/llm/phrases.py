@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import membership, wordhash
-from .store import discard, durable, looked_up
+from .store import batches_of, durable, looked_up
 
 _U = np.uint64
 _STEP = _U(0xD6E8FEB86659FD93)
@@ -30,7 +30,9 @@ BREAKS[list(b".,;:!?\n\x0b\x0c\r")] = True
 ENDS[list(b" \t")] = True
 ENDS |= BREAKS
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
+#: Texts that a worker holds at a time.
+BATCH_ROWS = 1_000
 #: The most 64-bit words of a level's filter: 16 MB. It has 16 bits for each phrase as long as that is enough.
 FILTER_WORDS = 1 << 21
 COUNTS = "lang string, phrase string, n long"
@@ -185,7 +187,8 @@ def levels(docs: DataFrame, longest: int, least: int) -> tuple[list[DataFrame],
             bits = 16 * out[-1].count()
             shared = spark.sparkContext.broadcast(membership.filter_of(out[-1].mapInArrow(_named(k - 1), "id long"), min(FILTER_WORDS, max(64, bits // 64))))
         counts = docs.mapInArrow(_level(k, shared), COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-        stored = durable(counts.where(f"n >= {least} or phrase = ''"), f"level{k}")
+        with batches_of(spark, BATCH_ROWS):
+            stored = durable(counts.where(f"n >= {least} or phrase = ''"), f"level{k}")
         if k == 1:
             totals = stored.where("phrase = ''").select("lang", "n")
         out.append(stored.where("phrase != ''"))

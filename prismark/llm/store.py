@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import discard, durable, shared_root
 
-__all__ = ["discard", "durable", "looked_up", "rows_kept", "shared_root"]
+__all__ = ["batches_of", "discard", "durable", "looked_up", "rows_kept", "shared_root"]
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Python workers get at most so many rows at a time from the jobs that run inside; afterwards as many as before."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def _named_rows(docs: DataFrame) -> DataFrame:
