@@ -234,10 +234,12 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, inside_perc
     both = looked_up(durable(one, "lefts"), known.select("lang", F.col("phrase").alias("right"), F.col("n").alias("r")), ["lang", "right"], ["phrase", "cut"])
     score = F.expr("(cast(1000000 as decimal(7,0)) * cast(a as decimal(15,0)) * cast(a as decimal(15,0))) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))")
     scored = both.select("lang", "phrase", F.struct(score.alias("score"), "cut", "a", "l", "r").alias("x")).groupBy("lang", "phrase").agg(F.min("x").alias("x")).select("lang", "phrase", "x.*")
-    order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
-    slices = scored.withColumn("slice", F.pmod(F.xxhash64("phrase"), F.lit(64)))  # a language is thinned in slices before it meets in one task
-    thinned = slices.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "slice").orderBy(*order))).where(f"rank <= {top}").drop("slice")
-    best = thinned.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(f"rank <= {top}")
+    scored = durable(scored.withColumn("bin", F.floor(16 * F.log2(F.col("score") + 1))), "scored")
+    higher = Window.partitionBy("lang").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)  # over some 300 bins a language
+    bins = scored.groupBy("lang", "bin").agg(F.count("*").alias("rows")).withColumn("above", F.coalesce(F.sum("rows").over(higher), F.lit(0)))
+    floors = bins.where(f"above < {top}").groupBy("lang").agg(F.min("bin").alias("floor"))
+    near = looked_up(scored, floors, ["lang"], ["phrase"]).where("bin >= floor")  # the first rows of each language and the rest of their last bin
+    best = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase")))).where(f"rank <= {top}")
     return best.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))
 
 
