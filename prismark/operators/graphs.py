@@ -75,6 +75,50 @@ def tracks(matches: DataFrame, least_views: int = 3) -> DataFrame:
     return found.join(good, "component").select(F.xxhash64("component").alias("track_id"), "view_id", "feat_id")
 
 
+def reassociate(tracks: DataFrame, most_gap: int, most_distance: float, session: str = "session_id", cells: int = 2, rounds: int = 200) -> DataFrame:
+    """(session, track_id, whole_id): tracks (session, track_id, first_view, last_view, first_desc, last_desc) joined to those that they continue after a gap.
+
+    A track may continue one that was last seen up to `most_gap` views before it was first seen, if its first descriptor is within `most_distance` of the
+    other's last. Of all such pairs the best are taken, one after another by distance, gap and ids, so that a track continues one other at most and is
+    continued by one: in rounds, each of which takes all pairs that are the best of both their tracks. `whole_id` is the least track_id of a chain.
+
+    Pairs meet by session, a bucket of views, and cells of the first `cells` components of their descriptors, which are as wide as `most_distance`; later tracks
+    are dealt to the neighbouring cells too, so no pair is missed. Tracks without a descriptor stay alone. Every round is stored.
+    """
+    bucket = F.floor(F.col("last_view") / most_gap)
+    cell = lambda desc, k: F.coalesce(F.floor(F.get(desc, F.lit(k)) / most_distance), F.lit(0))
+    ends = tracks.where("size(last_desc) > 0").select(session, F.col("track_id").alias("a"), F.col("last_view"), F.col("last_desc"), bucket.alias("__t"), *[cell("last_desc", k).alias(f"__c{k}") for k in range(cells)])
+    starts = tracks.where("size(first_desc) > 0").select(session, F.col("track_id").alias("b"), "first_view", "first_desc", *[cell("first_desc", k).alias(f"__c{k}") for k in range(cells)])
+    reach = F.sequence(F.floor((F.col("first_view") - most_gap) / most_gap), F.floor((F.col("first_view") - 1) / most_gap))
+    starts = starts.withColumn("__t", F.explode(reach))
+    for k in range(cells):
+        starts = starts.withColumn(f"__c{k}", F.explode(F.array(*[F.col(f"__c{k}") + d for d in (-1, 0, 1)])))
+    gap = F.col("first_view") - F.col("last_view")
+    pairs = ends.join(starts, [session, "__t", *[f"__c{k}" for k in range(cells)]]).where((gap > 0) & (gap <= most_gap) & (F.size("last_desc") == F.size("first_desc")))
+    pairs = pairs.select(session, "a", "b", F.sqrt(squared_distance("last_desc", "first_desc")).alias("distance"), gap.alias("gap")).where(F.col("distance") <= most_distance)
+    left, taken = durable(pairs, "pairs"), None
+    for _ in range(rounds):
+        order = F.struct("distance", "gap", "a", "b")
+        best = left.select(session, "a", "b", order.alias("o"))
+        mine, theirs = (best.groupBy(session, end).agg(F.min("o").alias("o")).select(session, "o.a", "o.b") for end in ("a", "b"))
+        found = durable(mine.join(theirs, [session, "a", "b"]), "taken")
+        if not found.limit(1).count():
+            break
+        taken = found if taken is None else taken.unionByName(found)
+        rest = durable(left.join(found.select(session, "a"), [session, "a"], "left_anti").join(found.select(session, "b"), [session, "b"], "left_anti"), "pairs")
+        discard(left)
+        left = rest
+    else:
+        raise RuntimeError(f"pairs are left after {rounds} rounds")
+    discard(left)
+    ids = tracks.select(session, "track_id")
+    if taken is None:
+        return ids.withColumn("whole_id", F.col("track_id"))
+    node = lambda end: F.struct(F.col(session).alias("s"), F.col(end).alias("t"))
+    chains = connected(taken.select(node("a").alias("a"), node("b").alias("b"))).select(F.col("node.s").alias(session), F.col("node.t").alias("track_id"), F.col("component.t").alias("whole_id"))
+    return ids.join(chains, [session, "track_id"], "left").withColumn("whole_id", F.coalesce("whole_id", "track_id"))
+
+
 def interval_join(samples: DataFrame, frames: DataFrame, keys: tuple[str, ...], ts: str = "ts", start: str = "t0", stop: str = "t1", width: float = 1.0) -> DataFrame:
     """Samples within [start, stop] of frames with the same keys; times in seconds as doubles.
 

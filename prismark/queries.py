@@ -451,4 +451,4 @@ def edge_components(spark: SparkSession, folder: str) -> DataFrame:
     return found.join(first, ["view_id", "component"]).select("view_id", "r", "c", F.col("f.r").alias("first_r"), F.col("f.c").alias("first_c"))
 
 
-from . import document_queries, scene_queries  # noqa: E402, F401  they register themselves
+from . import capture_queries, document_queries, scene_queries  # noqa: E402, F401  they register themselves
