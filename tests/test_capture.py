@@ -180,3 +180,181 @@ def test_reassociation_against_plain(spark, gap, most):
     got = graphs.reassociate(frame, gap, most)
     assert sorted(map(tuple, got.collect())) == plain_wholes(tracks, gap, most)
     assert graphs.reassociate(frame.where("false"), gap, most).count() == 0
+
+
+# ---- relative poses, poses from points, adjustment
+
+
+def scene(seed=1, cameras=5, points=60, noise=0.0):
+    """(cameras, points, observations) of one session."""
+    rng = np.random.default_rng(seed)
+    cams = [([120.0 * i, 15.0 * (i % 2), 4.0 * i], yaw(3.0 * i - 5)) for i in range(cameras)]
+    xyz = np.column_stack([rng.uniform(-300, 600, points), rng.uniform(-300, 300, points), rng.uniform(1000, 1500, points)])
+    seen = []
+    for t, p in enumerate(xyz):
+        for view, (o, r) in enumerate(cams):
+            if rng.random() < 0.8:
+                u, w = project(p, o, r)
+                seen.append((t, view, float(u + noise * rng.normal()), float(w + noise * rng.normal())))
+    return cams, xyz, seen
+
+
+def frames(spark, sessions):
+    obs = [(s, *row) for s, (_, _, seen) in sessions.items() for row in seen]
+    poses = [(s, view, o, r) for s, (cams, _, _) in sessions.items() for view, (o, r) in enumerate(cams)]
+    points = [(s, t, *map(float, p)) for s, (_, xyz, _) in sessions.items() for t, p in enumerate(xyz)]
+    return (
+        spark.createDataFrame(obs, "session_id long, track_id long, view_id long, u double, v double"),
+        spark.createDataFrame(poses, "session_id long, view_id long, origin array<double>, rotation array<double>"),
+        spark.createDataFrame(points, "session_id long, track_id long, x double, y double, z double"),
+    )
+
+
+def shaken(scene_, seed, by=4.0):
+    rng = np.random.default_rng(seed)
+    cams, xyz, seen = scene_
+    turned = lambda r: (np.array(r).reshape(3, 3) @ np.array(yaw(rng.normal() * 0.3)).reshape(3, 3)).ravel().tolist()
+    return [cams[0]] + [((np.array(o) + rng.normal(0, by, 3)).tolist(), turned(r)) for o, r in cams[1:]], xyz + rng.normal(0, by, xyz.shape), seen
+
+
+def dense_cost(cams, xyz, seen, rounds=30):
+    """Least cost by a plain dense Gauss-Newton with damping and slopes by differences; the first camera stays."""
+    from prismark.operators.adjustment import moved
+
+    pose = np.array([[*o, *r] for o, r in cams])
+    many = [t for t in range(len(xyz)) if len({v for s, v, *_ in seen if s == t}) > 1]
+    number = {t: k for k, t in enumerate(many)}
+    rows = [(number[t], v, a, b) for t, v, a, b in seen if t in number]
+    t, c = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    at = np.array([r[2:] for r in rows])
+    n = 6 * (len(pose) - 1)
+
+    def off(x):
+        p = moved(pose, np.concatenate([np.zeros((1, 6)), x[:n].reshape(-1, 6)]))
+        q = np.einsum("nji,nj->ni", p[c, 3:].reshape(-1, 3, 3), x[n:].reshape(-1, 3)[t] - p[c, :3])
+        return (np.stack([K[0] * q[:, 0] / q[:, 2] + K[2], K[1] * q[:, 1] / q[:, 2] + K[3]], 1) - at).ravel()
+
+    x, lam = np.concatenate([np.zeros(n), xyz[many].ravel()]), 1e-3
+    for _ in range(rounds):
+        e = off(x)
+        j = np.stack([(off(x + 1e-5 * d) - off(x - 1e-5 * d)) / 2e-5 for d in np.eye(len(x))], 1)
+        h = j.T @ j
+        step = np.linalg.solve(h + lam * np.diag(np.diag(h)), -j.T @ e)
+        if (off(x + step) ** 2).sum() < (e**2).sum():
+            x, lam = x + step, lam / 10
+        else:
+            lam *= 10
+    return (off(x) ** 2).sum(), len(rows)
+
+
+def test_slopes_against_differences():
+    from prismark.operators import adjustment as a
+
+    rng = np.random.default_rng(2)
+    point, pose = rng.uniform(-100, 100, (7, 3)) + [0, 0, 900], np.array([[*rng.normal(0, 30, 3), *yaw(float(k))] for k in range(7)])
+    u, w = rng.uniform(0, 1000, 7), rng.uniform(0, 1000, 7)
+    _, jc, jp = a.residuals(point, pose, u, w, K, slopes=True)
+    for k in range(6):
+        d = np.zeros((7, 6))
+        d[:, k] = 1e-5
+        slope = (a.residuals(point, a.moved(pose, d), u, w, K) - a.residuals(point, a.moved(pose, -d), u, w, K)) / 2e-5
+        assert np.allclose(jc[:, :, k], slope, rtol=1e-4, atol=1e-4)
+    for k in range(3):
+        d = np.zeros(3)
+        d[k] = 1e-4
+        assert np.allclose(jp[:, :, k], (a.residuals(point + d, pose, u, w, K) - a.residuals(point - d, pose, u, w, K)) / 2e-4, rtol=1e-4, atol=1e-4)
+    turn = a.rotation_of(rng.normal(0, 1, (5, 3)))
+    assert np.allclose(a.rotation_of(a._vector(turn)), turn)
+
+
+def test_adjustment_against_a_dense_one(spark, monkeypatch):
+    from prismark.operators import adjustment
+
+    monkeypatch.setattr(adjustment, "PART", 7)  # several parts a session
+    noisy = {1: shaken(scene(1, 4, 25, 0.5), 5), 2: shaken(scene(2, 5, 30, 0.0), 6), 3: ([([0.0] * 3, yaw(0))], np.ones((1, 3)), [(0, 0, 640.0, 480.0)])}
+    obs, poses, points = frames(spark, noisy)
+    odd = spark.createDataFrame([(1, 0, None, 1.0, 1.0), (1, 0, 77, 1.0, 1.0), (None, 0, 0, 1.0, 1.0), (1, 999, 0, 1.0, 1.0)], obs.schema)
+    cams, cloud, report = adjustment.adjust(obs.unionByName(odd), poses, points, K, rounds=16)
+    got = {r["session_id"]: r for r in report.collect()}
+    assert set(got) == {1, 2}  # the third has no track that is seen twice
+    for s in (1, 2):
+        cost, n = dense_cost(*noisy[s])
+        assert got[s]["n"] == n and got[s]["first_cost"] > 10 * got[s]["cost"]
+        assert got[s]["cost"] == pytest.approx(cost, rel=1e-3, abs=1e-6)
+    # what is returned has that cost
+    pose = {(r["session_id"], r["view_id"]): r for r in cams.collect()}
+    at = {(r["session_id"], r["track_id"]): (r["x"], r["y"], r["z"]) for r in cloud.collect()}
+    total = 0.0
+    for t, view, u, w in noisy[1][2]:
+        if (1, t) in at:
+            a, b = project(at[1, t], pose[1, view]["origin"], pose[1, view]["rotation"])
+            total += (a - u) ** 2 + (b - w) ** 2
+    assert total == pytest.approx(got[1]["cost"], rel=1e-6)
+    assert pose[1, 0]["origin"] == pytest.approx(noisy[1][0][0][0]) and len(at) == got_tracks(noisy)
+
+
+def got_tracks(sessions):
+    return sum(len({v for s, v, *_ in seen if s == t}) > 1 for _, xyz, seen in sessions.values() for t in range(len(xyz)))
+
+
+def test_adjustment_bears_outliers_with_huber(spark):
+    from prismark.operators import adjustment
+
+    cams, xyz, seen = scene(4, 5, 40, 0.0)
+    bad = [(t, v, u + 80.0 * (k % 29 == 0), w) for k, (t, v, u, w) in enumerate(seen)]
+    obs, poses, points = frames(spark, {1: shaken((cams, xyz, bad), 3, by=2.0)})
+    off = []
+    for huber in (1.0, None):
+        found, _, _ = adjustment.adjust(obs, poses, points, K, rounds=12, huber=huber)
+        r = {x["view_id"]: x["rotation"] for x in found.collect()}
+        off.append(max(np.abs(np.array(r[v]) - np.array(cams[v][1])).max() for v in r))
+    assert off[0] < 6e-3 and off[0] < off[1] / 2
+
+
+def two_views(seed, n=300, wrong=0.3, noise=0.0):
+    rng = np.random.default_rng(seed)
+    (o1, r1), (o2, r2) = ([0.0, 0.0, 0.0], yaw(-3)), ([200.0, 30.0, -20.0], yaw(5))
+    out = []
+    for p in np.column_stack([rng.uniform(-300, 400, n), rng.uniform(-300, 300, n), rng.uniform(900, 1600, n)]):
+        a, b = project(p, o1, r1), project(p, o2, r2)
+        if rng.random() < wrong:
+            b = (rng.uniform(0, 1280), rng.uniform(0, 960))
+        out.append((*[x + noise * rng.normal() for x in a], *[x + noise * rng.normal() for x in b]))
+    r = np.array(r2).reshape(3, 3).T @ np.array(r1).reshape(3, 3)
+    t = np.array(r2).reshape(3, 3).T @ (np.array(o1) - np.array(o2))
+    return [tuple(map(float, x)) for x in out], r, t / np.linalg.norm(t)
+
+
+def test_relative_poses(spark, monkeypatch):
+    from prismark.operators import epipolar
+
+    monkeypatch.setattr(epipolar, "PART", 64)
+    exact, r, t = two_views(1)
+    noisy, r2, t2 = two_views(2, 500, 0.25, 0.2)
+    rows = [(1, *x) for x in exact] + [(2, *x) for x in noisy] + [(3, *x) for x in exact[:7]] + [(1, None, 1.0, 1.0, 1.0)]
+    got = {x["pair_id"]: x for x in epipolar.relative_poses(spark.createDataFrame(rows, "pair_id int, u1 double, v1 double, u2 double, v2 double"), K).collect()}
+    assert set(got) == {1, 2} and got[1]["n"] == 300 and got[2]["n"] == 500
+    assert np.allclose(np.array(got[1]["rotation"]).reshape(3, 3), r, atol=1e-6) and np.allclose(got[1]["shift"], t, atol=1e-5)
+    assert np.allclose(np.array(got[2]["rotation"]).reshape(3, 3), r2, atol=5e-3) and np.degrees(np.arccos(np.dot(got[2]["shift"], t2))) < 3
+    for x in got.values():
+        assert x["inliers"] - 3 <= x["votes"] <= x["inliers"] and 0.6 * x["n"] < x["inliers"] < 0.85 * x["n"]
+    # fitted to the inliers by the plain eight-point method
+    a, b = (np.column_stack([(np.array(c)[:, 0] - K[2]) / K[0], (np.array(c)[:, 1] - K[3]) / K[1], np.ones(len(c))]) for c in ([x[:2] for x in noisy], [x[2:] for x in noisy]))
+    e = np.array(got[2]["essential"]).reshape(3, 3)
+    near = epipolar.sampson(e[None], a, b)[0] <= 1 / 900
+    assert near.sum() == got[2]["inliers"]
+    assert epipolar.relative_poses(spark.createDataFrame([], "pair_id int, u1 double, v1 double, u2 double, v2 double"), K).count() == 0
+
+
+def test_poses_of_views(spark):
+    from prismark.operators import epipolar
+
+    cams, xyz, seen = scene(7, 4, 50)
+    rows = [(v, *map(float, xyz[t]), u, w) for t, v, u, w in seen]
+    rows += [(8, *map(float, xyz[t]), u, w) for t, v, u, w in seen if v == 0][:5]  # too few
+    rows += [(9, float(x), float(y), 1000.0, *project((x, y, 1000.0), *cams[1])) for x in range(0, 300, 50) for y in range(0, 300, 50)]  # a plane
+    rows += [(0, None, 1.0, 1.0, 1.0, 1.0)]
+    got = {r["view_id"]: r for r in epipolar.view_poses(spark.createDataFrame(rows, "view_id long, x double, y double, z double, u double, v double"), K).collect()}
+    for v, (o, r) in enumerate(cams):
+        assert got[v]["origin"] == pytest.approx(o, abs=1e-5) and got[v]["rotation"] == pytest.approx(r, abs=1e-8)
+    assert got[8]["origin"] is None and got[9]["rotation"] is None and got[8]["n"] == 5
