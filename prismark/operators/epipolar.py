@@ -153,7 +153,7 @@ def relative_poses(matches: DataFrame, k: tuple[float, float, float, float], mos
     rows = matches.select("pair_id", "u1", "v1", "u2", "v2").dropna().select("pair_id", *xy("u1", "v1", 1), *xy("u2", "v2", 2))
     rows = rows.withColumn("h", F.xxhash64("x1", "y1", "x2", "y2"))
     sizes = rows.groupBy("pair_id").agg(F.count("*").alias("n"))
-    dealt = rows.join(sizes, "pair_id").withColumn("part", F.pmod("h", F.ceil(F.col("n") / PART)))
+    dealt = rows.join(sizes, "pair_id").withColumn("part", F.abs(F.col("h") % F.ceil(F.col("n") / PART)))
     packed = durable(dealt.groupBy("pair_id", "part").agg(F.first("n").alias("n"), *[F.collect_list(F.struct("h", "x1", "y1", "x2", "y2")).alias("m")]).select("pair_id", "part", "n", F.slice(F.sort_array("m"), 1, 4 * sample).alias("least"), *[F.col(f"m.{c}").alias(c) for c in ("x1", "y1", "x2", "y2")]), "matches")
     few = packed.where("n >= 8").select("pair_id", F.explode("least").alias("m"))
     ranked = few.groupBy("pair_id", F.pmod("m.h", F.lit(sample)).alias("slot")).agg(F.min("m").alias("m"))

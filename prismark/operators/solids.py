@@ -37,7 +37,7 @@ class Sphere:
     least, width = 4, 4
 
     @staticmethod
-    def propose(p: np.ndarray, rng, sets: int) -> np.ndarray:
+    def propose(p: np.ndarray, normals: np.ndarray, rng, sets: int, tolerance: float) -> np.ndarray:
         q = p[_sets(rng, len(p), 4, sets)]
         a, b = 2 * (q[:, 1:] - q[:, :1]), (q[:, 1:] ** 2).sum(2) - (q[:, :1] ** 2).sum(2)
         fine = np.abs(np.linalg.det(a)) > 1e-9 * np.abs(a).max((1, 2)) ** 3
@@ -63,8 +63,7 @@ class Cone:
     least, width = NEIGHBOURS, 7
 
     @staticmethod
-    def propose(p: np.ndarray, rng, sets: int) -> np.ndarray:
-        normals = _normals(p)
+    def propose(p: np.ndarray, normals: np.ndarray, rng, sets: int, tolerance: float) -> np.ndarray:
         i = _sets(rng, len(p), 3, sets)
         n = normals[i]
         fine = np.abs(np.linalg.det(n)) > 1e-3
@@ -100,20 +99,23 @@ class Box:
     least, width = NEIGHBOURS, 9
 
     @staticmethod
-    def propose(p: np.ndarray, rng, sets: int) -> np.ndarray:
-        normals, out = _normals(p), []
-        for i, j in _sets(rng, len(p), 2, 4 * sets):
+    def propose(p: np.ndarray, normals: np.ndarray, rng, sets: int, tolerance: float) -> np.ndarray:
+        out = []
+        for i, j in _sets(rng, len(p), 2, 2 * sets):
             a, b = normals[i], normals[j]
             b = b - a * (a @ b)
             if np.linalg.norm(b) < 0.9:  # not square to each other
                 continue
             b = b / np.linalg.norm(b)
             r = np.stack([a, b, np.cross(a, b)], 1)
-            q = p @ r
-            cut = rng.choice([0.0, 0.02, 0.05, 0.1])  # outliers beyond these shares
-            lo, hi = np.quantile(q, cut, axis=0), np.quantile(q, 1 - cut, axis=0)
-            out.append(np.concatenate([r @ ((lo + hi) / 2), _vector(r[None])[0], (hi - lo) / 2]))
-            if len(out) == sets:
+            ends = np.zeros((2, 3))
+            for k in range(3):  # the outer faces: planes on which many points with that normal lie
+                x = np.sort((p @ r[:, k])[np.abs(normals @ r[:, k]) > 0.95])
+                n = np.searchsorted(x, x + 2 * tolerance, "right") - np.searchsorted(x, x - 2 * tolerance)
+                face = x[n >= 0.25 * n.max()] if len(x) else np.zeros(1)
+                ends[:, k] = face[0], face[-1]
+            out.append(np.concatenate([r @ (ends.sum(0) / 2), _vector(r[None])[0], (ends[1] - ends[0]) / 2]))
+            if len(out) == sets // 2:
                 break
         return np.array(out).reshape(-1, 9)
 
@@ -139,15 +141,15 @@ def _cloud(part) -> np.ndarray:
     return np.stack([np.asarray(part.x, float), np.asarray(part.y, float), np.asarray(part.z, float)], 1)
 
 
-def _proposed(kinds: tuple[str, ...], sets: int):
+def _proposed(kinds: tuple[str, ...], sets: int, tolerance: float):
     def run(key: tuple, frame):
         import pandas as pd
 
         p = frame.sort_values(["slot"])[["x", "y", "z"]].to_numpy(float)
-        rows = []
+        rows, normals = [], _normals(p)
         for kind in kinds:
             if len(p) >= KINDS[kind].least:
-                h = KINDS[kind].propose(p, np.random.default_rng(0), sets)
+                h = KINDS[kind].propose(p, normals, np.random.default_rng(0), sets, tolerance)
                 h = h[np.isfinite(h).all(1)]
                 if len(h):
                     rows.append((key[0], kind, h.ravel().tolist()))
@@ -161,11 +163,13 @@ def _judged(tolerance: float):
         import pandas as pd
 
         for frame in frames:
+            rows = []
             for part in frame.itertuples():
                 p, solid = _cloud(part), KINDS[part.kind]
                 h = np.asarray(part.h, float).reshape(-1, solid.width)
                 n = np.concatenate([(np.abs(solid.distance(h[a : a + 16], p)) <= tolerance).sum(1) for a in range(0, len(h), 16)])
-                yield pd.DataFrame({"cloud_id": part.cloud_id, "kind": part.kind, "i": np.arange(len(h)), "inliers": n})
+                rows += [(part.cloud_id, part.kind, i, int(c)) for i, c in enumerate(n)]
+            yield pd.DataFrame(rows, columns=["cloud_id", "kind", "i", "inliers"])
 
     return run
 
@@ -181,6 +185,7 @@ def _summed(tolerance: float):
         import pandas as pd
 
         for frame in frames:
+            rows = []
             for part in frame.itertuples():
                 p, solid = _cloud(part), KINDS[part.kind]
                 h = np.asarray(part.h, float)
@@ -192,8 +197,8 @@ def _summed(tolerance: float):
                 d = solid.distance(both, p)
                 j = np.zeros((len(p), 9))
                 j[:, :w] = ((d[:w] - d[w:]) / (2 * step[:, None])).T
-                values = np.concatenate([(j.T @ j)[_CELLS], j.T @ e])
-                yield pd.DataFrame(values[None], columns=_SUMS).assign(cloud_id=part.cloud_id, kind=part.kind, inliers=int(near.sum()), squares=float((e * e).sum()))[["cloud_id", "kind", *_SUMS, "inliers", "squares"]]
+                rows.append((part.cloud_id, part.kind, *(j.T @ j)[_CELLS], *(j.T @ e), int(near.sum()), float((e * e).sum())))
+            yield pd.DataFrame(rows, columns=["cloud_id", "kind", *_SUMS, "inliers", "squares"])
 
     return run
 
@@ -233,10 +238,10 @@ def fit_solids(points: DataFrame, tolerance: float, kinds: tuple[str, ...] = ("s
     id_kind = points.schema["cloud_id"].dataType.simpleString()
     rows = points.select("cloud_id", *[F.col(c).cast("double").alias(c) for c in "xyz"]).dropna().withColumn("hash", F.xxhash64("x", "y", "z"))
     sizes = rows.groupBy("cloud_id").agg(F.count("*").alias("n"))
-    dealt = rows.join(sizes, "cloud_id").withColumn("part", F.pmod(F.xxhash64("hash", F.lit("part")), F.ceil(F.col("n") / PART)))
+    dealt = rows.join(sizes, "cloud_id").withColumn("part", F.abs(F.xxhash64("hash", F.lit("part")) % F.ceil(F.col("n") / PART)))
     parts = durable(dealt.groupBy("cloud_id", "part").agg(F.collect_list(F.struct("x", "y", "z")).alias("p")).select("cloud_id", *[F.col(f"p.{c}").alias(c) for c in "xyz"]), "clouds")
     drawn = rows.groupBy("cloud_id", F.pmod("hash", F.lit(SAMPLE)).alias("slot")).agg(F.min(F.struct("hash", "x", "y", "z")).alias("m")).select("cloud_id", "slot", "m.x", "m.y", "m.z")
-    guesses = durable(drawn.groupBy("cloud_id").applyInPandas(_proposed(tuple(kinds), hypotheses), f"cloud_id {id_kind}, kind string, h array<double>"), "guesses")
+    guesses = durable(drawn.groupBy("cloud_id").applyInPandas(_proposed(tuple(kinds), hypotheses, tolerance), f"cloud_id {id_kind}, kind string, h array<double>"), "guesses")
     votes = parts.join(guesses, "cloud_id").mapInPandas(_judged(tolerance), f"cloud_id {id_kind}, kind string, i int, inliers long").groupBy("cloud_id", "kind", "i").agg(F.sum("inliers").alias("inliers"))
     best = votes.groupBy("cloud_id", "kind").agg(F.max(F.struct("inliers", (-F.col("i")).alias("i"))).alias("b")).select("cloud_id", "kind", (-F.col("b.i")).alias("i"))
     width = F.element_at(F.create_map(*[F.lit(x) for k, s in KINDS.items() for x in (k, s.width)]), F.col("kind"))

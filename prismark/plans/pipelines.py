@@ -19,8 +19,9 @@ def stereo_cloud(left: DataFrame, right: DataFrame, f: float, baseline_mm: float
     return both.select("pair_id", "a_id", "b_id", x.alias("x"), y.alias("y"), z.alias("z"))
 
 
-def multi_view_cloud(observations: DataFrame, poses: DataFrame, k: tuple[float, float, float, float], least_parallax: float = 1.0, most_pixels: float = 2.0) -> DataFrame:
-    """(track_id, x, y, z, n) in mm: observations to rays, least-squares points, parallax and reprojection filters."""
+def multi_view_cloud(observations: DataFrame, poses: DataFrame, k: tuple[float, float, float, float], least_parallax: float = 1.0, most_pixels: float = 2.0, lens: tuple | None = None) -> DataFrame:
+    """(track_id, x, y, z, n) in mm: observations, freed of their lens where one is given, to rays, least-squares points, parallax and reprojection filters."""
+    observations = observations if lens is None else im.undistorted(observations, k, lens)
     rays = geometry.enough_parallax(geometry.observation_rays(observations, poses, k), least_parallax)
     points = geometry.intersect_rays(rays)
     o = v.of_array("origin")

@@ -358,3 +358,84 @@ def test_poses_of_views(spark):
     for v, (o, r) in enumerate(cams):
         assert got[v]["origin"] == pytest.approx(o, abs=1e-5) and got[v]["rotation"] == pytest.approx(r, abs=1e-8)
     assert got[8]["origin"] is None and got[9]["rotation"] is None and got[8]["n"] == 5
+
+
+# ---- lens, solids
+
+
+def test_lens_is_undone(spark):
+    from prismark.functions import imaging as im
+    from prismark.plans import pipelines
+
+    lens = (-0.15, 0.04, 0.002, -0.001, 0.003)
+    rng = np.random.default_rng(1)
+    want = [(k, float(u), float(w)) for k, (u, w) in enumerate(zip(rng.uniform(0, 1280, 200), rng.uniform(0, 960, 200)))]
+    frame = spark.createDataFrame([*want, (900, None, 1.0)], "track_id long, u double, v double")
+    x, y = im.distort((F.col("u") - K[2]) / K[0], (F.col("v") - K[3]) / K[1], lens)
+    bent = frame.select("track_id", (x * K[0] + K[2]).alias("u"), (y * K[1] + K[3]).alias("v"))
+    got = {r["track_id"]: (r["u"], r["v"]) for r in im.undistorted(bent, K, lens).collect()}
+    assert all(got[k] == pytest.approx((u, w), abs=1e-4) for k, u, w in want) and got[900][0] is None
+    assert im.undistorted(bent, K, lens).columns == bent.columns
+    # a cloud seen through the lens comes out as it is
+    rows = [(i, view, *project(p, o, r)) for i, p in enumerate(grid()) for view, (o, r) in enumerate(CAMERAS)]
+    seen = spark.createDataFrame(rows, "track_id long, view_id long, u double, v double")
+    seen = seen.select("track_id", "view_id", (x * K[0] + K[2]).alias("u"), (y * K[1] + K[3]).alias("v"))
+    poses = spark.createDataFrame([(v, o, r) for v, (o, r) in enumerate(CAMERAS)], "view_id long, origin array<double>, rotation array<double>")
+    found = {r["track_id"]: (r["x"], r["y"], r["z"]) for r in pipelines.multi_view_cloud(seen, poses, K, lens=lens).collect()}
+    assert len(found) == 35 and max(math.dist(found[i], p) for i, p in enumerate(grid())) < 0.01
+
+
+def planted_clouds(seed=2, n=900, noise=0.05, wrong=0.2):
+    rng = np.random.default_rng(seed)
+    turn = np.array(yaw(25)).reshape(3, 3)
+    unit = rng.normal(size=(n, 3))
+    sphere = np.array([10.0, -20.0, 500.0]) + 40 * unit / np.linalg.norm(unit, axis=1, keepdims=True)
+    h, a = rng.uniform(5, 90, n), rng.uniform(0, 2 * np.pi, n)
+    cone = np.array([5.0, 5.0, 100.0]) + np.stack([h * np.tan(0.4) * np.cos(a), h * np.tan(0.4) * np.sin(a), h], 1) @ turn.T
+    face, p = rng.integers(0, 6, n), rng.uniform(-1, 1, (n, 3))
+    p[np.arange(n), face // 2] = np.where(face % 2, 1.0, -1.0)
+    box = np.array([0.0, 30.0, 60.0]) + (p * [60.0, 40.0, 25.0]) @ turn.T
+    out = []
+    for cloud in (sphere, cone, box):
+        bad = rng.random(n) < wrong
+        out.append(np.where(bad[:, None], cloud.mean(0) + rng.uniform(-200, 200, (n, 3)), cloud + rng.normal(0, noise, (n, 3))))
+    return out
+
+
+def test_solids_of_planted_clouds(spark, monkeypatch):
+    from prismark.operators import solids
+
+    monkeypatch.setattr(solids, "PART", 300)
+    rows = [(c, *map(float, p)) for c, cloud in enumerate(planted_clouds()) for p in cloud] + [(7, 1.0, 2.0, 3.0)] * 3 + [(8, 1.0, 1.0, 1.0)] * 20 + [(0, None, 1.0, 1.0)]
+    got = {r["cloud_id"]: r for r in solids.fit_solids(spark.createDataFrame(rows, "cloud_id long, x double, y double, z double"), tolerance=0.3).collect()}
+    assert set(got) - {8} == {0, 1, 2}
+    assert [got[c]["kind"] for c in range(3)] == ["sphere", "cone", "box"]
+    assert got[0]["size1"] == pytest.approx(40, abs=0.05) and (got[0]["cx"], got[0]["cy"], got[0]["cz"]) == pytest.approx((10, -20, 500), abs=0.1)
+    assert got[1]["size1"] == pytest.approx(math.degrees(0.4), abs=0.2) and (got[1]["cx"], got[1]["cy"], got[1]["cz"]) == pytest.approx((5, 5, 100), abs=0.5)
+    assert (got[2]["size1"], got[2]["size2"], got[2]["size3"]) == pytest.approx((120, 80, 50), abs=0.1) and (got[2]["cx"], got[2]["cy"], got[2]["cz"]) == pytest.approx((0, 30, 60), abs=0.1)
+    for c in range(3):
+        assert 0.78 * 900 < got[c]["inliers"] < 0.85 * 900 and got[c]["residual"] < 0.1
+    # a sphere refined on the same inliers by numpy is the same
+    p = planted_clouds()[0]
+    centre, radius = np.array([got[0]["cx"], got[0]["cy"], got[0]["cz"]]), got[0]["size1"]
+    near = p[np.abs(np.linalg.norm(p - centre, axis=1) - radius) <= 0.3]
+    for _ in range(20):
+        d = near - centre
+        r = np.linalg.norm(d, axis=1)
+        j = np.column_stack([-d / r[:, None], -np.ones(len(r))])
+        step = np.linalg.lstsq(j, r - radius, rcond=None)[0]
+        centre, radius = centre - step[:3], radius - step[3]
+    assert np.allclose(centre, [got[0]["cx"], got[0]["cy"], got[0]["cz"]], atol=1e-4) and radius == pytest.approx(got[0]["size1"], abs=1e-4)
+
+
+def test_distances_against_plain():
+    from prismark.operators import solids
+
+    p = np.random.default_rng(3).uniform(-5, 5, (50, 3))
+    box = np.array([[0.5, 0, 0, 0, 0, 0, 1.0, 2.0, 3.0]])
+    d = np.abs(p - [0.5, 0, 0]) - [1, 2, 3]
+    want = [math.hypot(*np.maximum(x, 0)) if x.max() > 0 else x.max() for x in d]
+    assert np.allclose(solids.Box.distance(box, p)[0], want)
+    cone = np.array([[0, 0, -9.0, 0, 0, 1.0, 0.5]])
+    want = [math.hypot(x, y) * math.cos(0.5) - (z + 9) * math.sin(0.5) for x, y, z in p]
+    assert np.allclose(solids.Cone.distance(cone, p)[0], want)
