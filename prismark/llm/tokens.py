@@ -17,9 +17,11 @@ import itertools
 import json
 import os
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,20 @@ _encoders: dict[str, Encoder] = {}
 _PLAIN = re.compile(r"[!-&(-;=-~]+")
 _WORD = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
 _END = "</w>"
+#: How the pattern cuts other pieces, contractions aside.
+_CUT = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: What makes the encoding of a prefix more than its words': contractions, special strings, a letter whose small form hangs on what follows, rare white space.
+_BOUND = re.compile(r"'(?:[stmd]|re|ve|ll)|<\|(?:start|end)oftext\|>|\u03a3|[\x1c-\x1f\x85\u1680\u180e\u2028\u2029\u200b\ufeff]", re.IGNORECASE)
+
+
+def _byte_symbols() -> list[str]:
+    """The character that stands for each byte in the vocabulary: printable ones for themselves, the others from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = itertools.count(256)
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+
+
+_SYMBOLS = _byte_symbols()
 
 
 class Merges:
@@ -187,12 +203,31 @@ class Encoder:
             return int(upto[k])
         return int(upto[k]) + self.row(raw[starts[k] : ends[k]].tobytes().decode())[len(raw[starts[k] : stop].tobytes().decode())]
 
+    def _row_by_bytes(self, piece: str) -> list[int] | None:
+        """The same for a piece of any characters, by the merges over its bytes; None for what `_BOUND` names and where the whole's count is not the library's."""
+        if _BOUND.search(piece) or not unicodedata.is_normalized("NFC", piece):
+            return None  # a part of a normalised piece is normalised
+        small = [c.lower() for c in piece]
+        text = "".join(small)
+        at = np.cumsum([0, *(len(c.encode()) for c in small)])  # bytes before each code point
+        counts, total, done, byte = np.zeros(int(at[-1]) + 1, np.int64), 0, 0, 0
+        for word in _CUT.finditer(text):
+            skipped = len(text[done : word.start()].encode())
+            counts[byte : byte + skipped + 1] = total
+            byte += skipped
+            inside = self.merges.row("".join(_SYMBOLS[b] for b in word.group().encode()))
+            counts[byte + 1 : byte + len(inside)] = [total + (n or 0) for n in inside[1:]]
+            byte, total, done = byte + len(inside) - 1, total + inside[-1], word.end()
+        counts[byte + 1 :] = total
+        out = counts[at].tolist()
+        return out if out[-1] == len(self.encode([piece])[0]) else None
+
     def row(self, piece: str) -> list[int]:
-        """Tokens of each prefix of a piece, from the empty one to the whole; plain pieces by the merges alone."""
-        if not _PLAIN.fullmatch(piece):
-            return [0, *map(len, self.encode([piece[:k] for k in range(1, len(piece) + 1)]))]
+        """Tokens of each prefix of a piece, from the empty one to the whole, by the merges; pieces that `_BOUND` names, or not normalised ones, by the library."""
         if self.merges is None:
             self.merges = Merges(self.path)
+        if not _PLAIN.fullmatch(piece):
+            return self._row_by_bytes(piece) or [0, *map(len, self.encode([piece[:k] for k in range(1, len(piece) + 1)]))]
         out = [0]
         for word in _WORD.findall(piece.lower()):
             out += [out[-1] + n for n in self.merges.row(word)[1:]]

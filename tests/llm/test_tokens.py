@@ -50,5 +50,38 @@ def test_query_against_the_library(count, spark, limit):
     assert sorted(map(str, ((*r[:4], None if r[1] > 2000 else r[4]) for r in map(tuple, got)))) == sorted(map(str, want))
 
 
+LONG = ["日本語テスト。", "中文字符", "한국어", "ไทย", "ÀÉÎÕÜ", "ßſİ", "१२३", "٣٤", "😀👍🏽", "e\u0301", "été", "ПРИВЕТ", "x", "AB", "12", "---", "\u3000", "\u00a0", "«»", "\u0301"]
+
+
+def test_rows_of_any_characters(count):
+    rng = random.Random(3)
+    encoder, by_bytes = tokens.Encoder.of(vocabulary()), 0
+    for _ in range(120):
+        piece = "".join(rng.choice(rng.choice(LONG)) for _ in range(rng.randint(1, 40)))
+        want = [count(piece[:k]) for k in range(len(piece) + 1)]
+        assert encoder.row(piece) == want, piece
+        got = encoder._row_by_bytes(piece)
+        assert got is None or got == want
+        by_bytes += got is not None
+    assert by_bytes > 40
+    for piece in ("ΟΔΟΣΑ", "été's", "l'reé", "é<|endoftext|>é", "é\x1cé", "e\u0301a"):
+        assert encoder.row(piece) == [count(piece[:k]) for k in range(len(piece) + 1)], piece
+
+
+def test_very_long_pieces_are_not_encoded_again(count):
+    import time
+
+    rng = random.Random(5)
+    text = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) if rng.random() < 0.97 else "。" for _ in range(100_000))
+    encoder = tokens.Encoder.of(vocabulary())
+    began = time.perf_counter()
+    row = encoder._row_by_bytes(text)
+    assert time.perf_counter() - began < 60 and len(row) == 100_001 and row[-1] == count(text)
+    for k in (1, 2, 999, 5_000, 54_321):
+        assert row[k] == count(text[:k])
+    within = max(k for k, n in enumerate(row) if n <= 2048)
+    assert count(text[:within]) <= 2048 < count(text[: within + 1])
+
+
 def test_empty_table(spark):
     assert tokens.token_counts(spark.createDataFrame([], "doc_id long, text string"), vocabulary()).count() == 0
