@@ -2,9 +2,13 @@
 
 Many voters look at a text: lexicons of insults that are fixed here, lexicons of words and stems that labelled rows suggest, and
 patterns (an insult said to somebody, shouted, with others near it, shouting, masked words, no hit at all). A generative model
-of the votes estimates how accurate each voter is and which of them err together. The given labels are no voter: one half of
-them suggests terms, the other half a first belief about the voters' rates, which the model revises. The posterior that the votes give each row is the target of a linear classifier over words and stems, and that
-classifier scores every text. How far the posteriors part from the labels is kept in the model's report.
+of the votes estimates how accurate each voter is and which of them err together. A voter whose terms are of one language says
+nothing about a text in another, so texts are first put into groups of alike ones, by the frequent words and stems in them, and
+each group has a model of its own: where a voter never speaks, its silence counts for nothing. The given labels are no voter:
+one half of them suggests terms, the other half a first belief about the voters' rates, which the model revises. All of them
+tell when to stop, and how many groups there are: what is kept is the posterior that meets them best. It is the target of a
+linear classifier over words and stems, and that classifier scores every text. How far the posteriors part from the labels is
+kept in the model's report.
 """
 
 from __future__ import annotations
@@ -23,6 +27,13 @@ from .store import discard, durable
 SAMPLE_ROWS = 30_000
 FEATURES = 1_500
 L2 = 1e-4
+#: Numbers of groups that are tried, of which the first whose log loss is at most NEARLY times the least is taken, and how many of the most frequent features, in that share of rows or more, tell groups apart.
+GROUPS, NEARLY = (1, 4, 8, 16), 1.05
+ALIKE, FREQUENT = 256, 0.02
+#: A found lexicon has a second voter, which wants so many of its terms.
+SEVERAL = 2
+#: Rows that the share of toxic labels in all rows weighs in each group's.
+SHARE_ROWS = 20
 #: Log odds between the labels, less 1.64 standard errors, from which a term joins the found lexicons of each tier.
 TIERS = (("hinting", 1.5), ("telling", 2.5), ("strict", 4.0))
 THRESHOLD = 0.7
@@ -79,25 +90,39 @@ class LabelModel:
     """Votes (rows, voters) in {0, 1} -> posterior of class 1, by expectation and maximisation.
 
     Given the class, voter j votes 1 with a probability of its own. Voters that err together beyond that are
-    discounted: the weight of j is 1 over the sum of its positive correlations, given the class, with all voters. `belief` (2,
-    voters) and `share` are what is thought of the rates and of class 1 beforehand; they start the rounds, and the belief
-    stays as a prior with PRIOR times the weight of the rows.
+    discounted: the weight of j is 1 over the sum of its positive correlations with all voters, given the class in which they
+    are greater. `belief` (2, voters) and `share` are what is thought of the rates and of class 1 beforehand; they start the
+    rounds, and stay as a prior with PRIOR times the weight of the rows. With `label`, the round whose posterior has the least
+    log loss against it is kept, else the last.
     """
 
     PRIOR = 0.5
 
-    def __init__(self, votes: np.ndarray, belief: np.ndarray, share: float, rounds: int = 40):
-        n, strength = max(1, len(votes)), self.PRIOR * len(votes) * np.array([[1 - share], [share]])
+    def __init__(self, votes: np.ndarray, belief: np.ndarray, share: float, rounds: int = 40, label: np.ndarray | None = None):
+        n, strength = len(votes), self.PRIOR * len(votes) * np.array([[1 - share], [share]])
         self.prior, self.rate, self.weight = np.clip(share, 1e-4, 1 - 1e-4), np.clip(belief, 1e-6, 1 - 1e-6), np.ones(votes.shape[1])
-        for _ in range(rounds):
+        self.correlation, best = np.eye(votes.shape[1]), None
+        for step in range(rounds + 1):
             post = self.posterior(votes)
-            self.prior = np.clip(post.mean() if len(post) else share, 1e-4, 1 - 1e-4)
+            if label is not None and (best is None or log_loss(post, label) < best[0]):
+                best = log_loss(post, label), self.prior, self.rate, self.weight, self.correlation
+            if step == rounds or not n:
+                break
+            self.prior = np.clip((post.sum() + self.PRIOR * n * share) / (n * (1 + self.PRIOR)), 1e-4, 1 - 1e-4)
             mass = np.array([[(1 - post).sum()], [post.sum()]])
             self.rate = np.clip((np.stack([(votes * w[:, None]).sum(0) for w in (1 - post, post)]) + strength * belief + 1e-3) / (mass + strength + 2e-3), 1e-6, 1 - 1e-6)
             rest = votes - ((1 - post)[:, None] * self.rate[0] + post[:, None] * self.rate[1])
-            spread = np.sqrt((rest**2).mean(0) + 1e-9) if len(votes) else np.ones(votes.shape[1])
-            self.correlation = (rest / spread).T @ (rest / spread) / n
+            self.correlation = np.maximum(*(self._correlations(rest, w) for w in (1 - post, post)))
             self.weight = 1 / np.maximum(1, np.clip(self.correlation, 0, 1).sum(0))
+        if best is not None:
+            _, self.prior, self.rate, self.weight, self.correlation = best
+
+    @staticmethod
+    def _correlations(rest: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Of what votes are off their expectation, by the rows of a class; less than ten rows count for less."""
+        total = max(w.sum(), 1e-9)
+        spread = np.sqrt((w[:, None] * rest**2).sum(0) / total + 1e-4)
+        return (rest * w[:, None]).T @ rest / total / np.outer(spread, spread) * min(1, w.sum() / 10)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         yes, no = np.log(self.rate[1] / self.rate[0]), np.log((1 - self.rate[1]) / (1 - self.rate[0]))
@@ -108,6 +133,59 @@ class LabelModel:
         return self.prior * self.rate[1] + (1 - self.prior) * (1 - self.rate[0])
 
 
+def log_loss(post: np.ndarray, label: np.ndarray) -> float:
+    p = np.clip(post, 0.01, 0.99)
+    return float(-np.where(label == 1, np.log(p), np.log(1 - p)).mean()) if len(p) else 0.0
+
+
+def alike(starts: np.ndarray, columns: np.ndarray, width: int, many: int, rounds: int = 20) -> np.ndarray:
+    """A group, 0 to many - 1, for each row, by the cosine of its frequent features with the groups' means; labels play no part.
+
+    The first mean is that of the half of rows with most of those features; each next is the row of that half that is least like
+    the means before it. Groups may stay empty.
+    """
+    n = len(starts) - 1
+    row, freq = np.repeat(np.arange(n), np.diff(starts)), np.bincount(columns, minlength=width)
+    common = np.argsort(-freq, kind="stable")[:ALIKE]
+    common = common[freq[common] >= max(1, FREQUENT * n)]
+    if many == 1 or not n or not len(common):
+        return np.zeros(n, int)
+    place = np.full(width, -1)
+    place[common] = np.arange(len(common))
+    here = place[columns] >= 0
+    x = np.zeros((n, len(common)), np.float32)
+    x[row[here], place[columns[here]]] = 1
+    size = x.sum(1)
+    x /= np.sqrt(np.maximum(1, size))[:, None]
+    rich = size >= np.median(size)
+    unit = lambda v: v / np.maximum(1e-9, np.sqrt((v * v).sum(1, keepdims=True)))
+    mean = x[rich].mean(0, keepdims=True)
+    for _ in range(many - 1):
+        mean = np.vstack([mean, x[np.where(rich, (x @ unit(mean).T).max(1), 2).argmin()]])
+    for _ in range(rounds):
+        group = (x @ unit(mean).T).argmax(1)
+        mean = np.stack([x[group == k].mean(0) if (group == k).any() else mean[k] for k in range(many)])
+    return group
+
+
+class GroupedModel:
+    """A label model for each group of alike rows; `fresh` are the rows whose labels give the beliefs."""
+
+    def __init__(self, cast: np.ndarray, group: np.ndarray, label: np.ndarray, fresh: np.ndarray):
+        self.models, self.target, self.rows = {}, np.zeros(len(cast)), {}
+        for g in np.unique(group):
+            mine = group == g
+            of = [mine & fresh & (label == k) for k in (0, 1)]
+            belief = np.stack([(cast[m].sum(0) + 0.5) / (m.sum() + 1) for m in of])
+            share = (label[mine].sum() + SHARE_ROWS * label.mean()) / (mine.sum() + SHARE_ROWS)
+            self.models[g] = LabelModel(cast[mine], belief, float(share), label=label[mine])
+            self.target[mine], self.rows[g] = self.models[g].posterior(cast[mine]), int(mine.sum())
+        self.loss = log_loss(self.target, label)
+
+    def mean(self, of) -> np.ndarray:
+        return sum(self.rows[g] * of(m) for g, m in self.models.items()) / sum(self.rows.values())
+
+
 def lexicons(listed: Listed, counts: np.ndarray, sizes: np.ndarray) -> tuple[list[str], np.ndarray]:
     """Names of the lexicons, and which of them each feature belongs to; -1 for none.
 
@@ -127,16 +205,13 @@ def lexicons(listed: Listed, counts: np.ndarray, sizes: np.ndarray) -> tuple[lis
 
 
 def votes(starts: np.ndarray, columns: np.ndarray, shown: np.ndarray, lexicon: np.ndarray, n_lexicons: int) -> np.ndarray:
-    """A column for each lexicon, which votes where a term of it stands, and for each pattern."""
-    n = len(starts) - 1
+    """A column for each lexicon, which votes where a term of it stands, for each found one also where SEVERAL do, and for each pattern."""
+    n, fixed = len(starts) - 1, len(INSULTS)
     row = np.repeat(np.arange(n), np.diff(starts))
     mine = lexicon[columns]
-    out = np.zeros((n, n_lexicons + len(PATTERNS)))
-    out[row[mine >= 0], mine[mine >= 0]] = 1
-    for k in range(len(PATTERNS) - 1):
-        out[:, n_lexicons + k] = shown >> k & 1
-    out[:, -1] = ~out[:, :n_lexicons].any(1)
-    return out
+    hits = np.bincount(row[mine >= 0] * n_lexicons + mine[mine >= 0], minlength=n * n_lexicons).reshape(n, n_lexicons)
+    shows = [shown >> k & 1 for k in range(len(PATTERNS) - 1)]
+    return np.column_stack([hits > 0, hits[:, fixed:] >= SEVERAL, *shows, ~hits.any(1)]).astype(float)
 
 
 class Model:
@@ -198,15 +273,18 @@ def train(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] | None = (3,
     names, lexicon = lexicons(listed, counts, sizes)
     cast = votes(starts, columns, found["shown"].to_numpy(), lexicon, len(names))
     label, fresh = found["kind"].to_numpy(), found["half"].to_numpy() == 1
-    belief = np.stack([(cast[fresh & (label == k)].sum(0) + 0.5) / ((fresh & (label == k)).sum() + 1) for k in (0, 1)])
-    model = LabelModel(cast, belief, float(label.mean()))
-    target = model.posterior(cast)
+    tried = {many: GroupedModel(cast, alike(starts, columns, listed.width, many), label, fresh) for many in GROUPS}
+    least = min(m.loss for m in tried.values())
+    groups = next(many for many in GROUPS if tried[many].loss <= NEARLY * least)
+    model, target = tried[groups], tried[groups].target
     weight, bias = lexical.softmax_regression(np.stack([1 - target, target], 1), starts, columns, listed.width, l2=L2)
-    everyone = names + list(PATTERNS)
-    apart = model.correlation - np.eye(len(everyone))
+    everyone = names + [f"{v}_several" for v in names[len(INSULTS) :]] + list(PATTERNS)
+    apart = model.mean(lambda m: m.correlation - np.diag(np.diag(m.correlation)))
+    accuracy, heard = model.mean(LabelModel.accuracy), model.mean(lambda m: m.weight)
     report = {
-        "voters": [(v, float(cast[:, j].mean()), float(model.accuracy()[j]), float(model.weight[j]), everyone[int(apart[j].argmax())]) for j, v in enumerate(everyone)],
-        "rows": len(label), "labels_overruled": int(((target >= 0.5) != (label == 1)).sum()), "mean_distance_to_label": float(np.abs(target - label).mean()),
+        "voters": [(v, float(cast[:, j].mean()), float(accuracy[j]), float(heard[j]), everyone[int(apart[j].argmax())]) for j, v in enumerate(everyone)],
+        "rows": len(label), "groups": sorted(model.rows.values()), "log_loss": model.loss,
+        "labels_overruled": int(((target >= 0.5) != (label == 1)).sum()), "mean_distance_to_label": float(np.abs(target - label).mean()),
     }
     return Model(listed, weight, bias, report)
 

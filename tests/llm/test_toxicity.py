@@ -98,3 +98,48 @@ def test_stage_and_empty_tables(noisy, spark):
     none = toxicity.toxicity(d, labels.where("false")).collect()
     assert len(none) == len(rows) and all(0 <= r.score <= 1 for r in none)
     assert toxicity.toxicity(d.where("false"), labels).count() == 0
+
+
+def test_alike_rows_share_a_group():
+    """Rows of two vocabularies, without labels; a lone common term does not bring them together."""
+    rng = np.random.default_rng(5)
+    rows = [np.unique(np.append(rng.choice(20, 12, replace=False) + 20 * (k % 2), 40)) for k in range(300)]
+    starts, columns = np.append(0, np.cumsum([len(r) for r in rows])), np.concatenate(rows)
+    group = toxicity.alike(starts, columns, 42, 2)
+    assert len(set(group[::2])) == 1 == len(set(group[1::2])) and group[0] != group[1]
+    assert not toxicity.alike(starts, columns, 42, 1).any() and len(toxicity.alike(np.zeros(1, int), np.zeros(0, int), 5, 4)) == 0
+    assert not toxicity.alike(np.zeros(4, int), np.zeros(0, int), 5, 4).any()
+
+
+def test_silence_of_another_group_counts_for_nothing():
+    """Voter 0 speaks in group 0 only; in group 1 the posterior is that of voter 1 alone, by a model of that group."""
+    rng = np.random.default_rng(6)
+    group, label = np.arange(2000) % 2, (rng.random(2000) < 0.15).astype(int)
+    cast = np.stack([(label == 1) & (group == 0), np.where(rng.random(2000) < 0.05, 1 - label, label) & (group == 1)], 1).astype(float)
+    both = toxicity.GroupedModel(cast, group, label, np.arange(2000) % 4 < 2)
+    assert both.target[(group == 1) & (label == 1) & (cast[:, 1] == 1)].min() > 0.6
+    assert ((both.target > 0.5) == (label == 1)).mean() > 0.95 and sorted(both.rows.values()) == [1000, 1000]
+    one = both.models[1]
+    mine = cast[group == 1]
+    assert np.allclose(one.posterior(mine), plain_posterior(mine, one.rate, one.weight, one.prior))
+
+
+def test_a_second_vocabulary_with_few_toxic_rows(spark):
+    """Nine tenths of the rows use one vocabulary and insults; the others have words and insults of their own."""
+    rng = random.Random(8)
+    other = ["fluvo", "petra", "prado", "lumar", "porto", "ventana", "jardo", "cobro", "hilado", "marmol"]
+    rows, labels = [], []
+    for k in range(2400):
+        toxic, mine = rng.random() < 0.15, other if k % 8 == 0 else WORDS
+        bad = rng.sample(["tontazo", "basurez", "brutocho"] if mine is other else ["moron", "idiot", "scum"], 2)
+        words = rng.choices(mine, k=25) + (bad if toxic else [])
+        rows.append((k, " ".join(rng.sample(words, len(words)))))
+        labels.append((k, int(toxic)))
+    d, l = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    truth = dict(labels)
+    held = [r for r in toxicity.toxicity(d, l).collect() if r.held_out]
+    for mine in (True, False):
+        some = [r for r in held if (r.doc_id % 8 == 0) == mine]
+        toxic = [r for r in some if truth[r.doc_id]]
+        assert toxic and sum(r.predicted for r in toxic) >= 0.9 * len(toxic)
+        assert not any(r.predicted for r in some if not truth[r.doc_id])
