@@ -439,3 +439,67 @@ def test_distances_against_plain():
     cone = np.array([[0, 0, -9.0, 0, 0, 1.0, 0.5]])
     want = [math.hypot(x, y) * math.cos(0.5) - (z + 9) * math.sin(0.5) for x, y, z in p]
     assert np.allclose(solids.Cone.distance(cone, p)[0], want)
+
+
+def plain_parts(points, cell, degrees, flat, least):
+    """Region growing over cells, one cloud, point by point."""
+    cells = defaultdict(list)
+    for k, p in enumerate(points):
+        cells[tuple(np.floor(p / cell).astype(int))].append(k)
+    steps = [d for d in np.ndindex(3, 3, 3)]
+    near = lambda c: [tuple(np.array(c) + d - 1) for d in steps]
+    fit = {}
+    for c in cells:
+        some = points[[k for o in near(c) for k in cells.get(o, [])]]
+        values, axes = np.linalg.eigh(np.cov(some.T, bias=True)) if len(some) > 1 else (np.zeros(3), np.eye(3))
+        if values[0] <= (flat * cell) ** 2 and values[1] > (0.1 * cell) ** 2:
+            fit[c] = some.mean(0), axes[:, 0]
+    part, out = {}, {}
+    for c in fit:
+        stack = [c] if c not in part else []
+        part.setdefault(c, c)
+        while stack:
+            a = stack.pop()
+            for b in near(a):
+                if b in fit and b not in part:
+                    (p, n), (q, m) = fit[a], fit[b]
+                    if abs(n @ m) >= math.cos(math.radians(degrees)) and max(abs((q - p) @ n), abs((q - p) @ m)) <= flat * cell:
+                        part[b] = part[c]
+                        stack.append(b)
+    size = defaultdict(int)
+    for c, first in part.items():
+        size[first] += len(cells[c])
+    for c, ks in cells.items():
+        for k in ks:
+            out[k] = part[c] if c in part and size[part[c]] >= least else None
+    return out
+
+
+def test_parts_of_a_cloud_against_plain(spark):
+    """A bent sheet whose halves meet at a right angle, a ball, strays: the same parts as by a plain search."""
+    from prismark.operators import clouds
+
+    rng = np.random.default_rng(12)
+    u, w = rng.uniform(0, 60, (2, 900))
+    bent = np.where((np.arange(900) % 2 == 0)[:, None], np.column_stack([u, w, 0 * u]), np.column_stack([0 * u, w, u]))
+    ball = rng.normal(size=(900, 3))
+    ball = 60 * ball / np.linalg.norm(ball, axis=1)[:, None] + [300, 300, 300]
+    p = np.vstack([bent, ball, rng.uniform(-200, 0, (40, 3)) - 100])
+    rows = [(1, k, *map(float, x)) for k, x in enumerate(p)] + [(None, 5000, 1.0, 1.0, 1.0), (1, 5001, None, 1.0, 1.0), (2, 5002, 1.0, 1.0, 1.0), (1, 5003, float("nan"), 1.0, 1.0)]
+    d = spark.createDataFrame(rows, "cloud_id long, id long, x double, y double, z double").repartition(3)
+    got = {r["id"]: r["part"] for r in clouds.segment_cloud(d, 8.0, degrees=20.0).collect()}
+    want = plain_parts(p, 8.0, 20.0, 0.15, 20)
+    assert len(got) == len(rows) and all(got[k] is None for k in (5000, 5001, 5002, 5003))
+    groups = lambda of: sorted(sorted(g) for g in _by(of).values())
+    assert groups({k: v for k, v in got.items() if k < 5000}) == groups(want)
+    halves = [{got[k] for k in range(h, 900, 2) if got[k]} for h in (0, 1)]
+    assert len(halves[0]) == 1 == len(halves[1]) and halves[0] != halves[1]
+    assert clouds.segment_cloud(d.where("false"), 8.0).count() == 0
+
+
+def _by(of):
+    out = defaultdict(list)
+    for k, v in of.items():
+        if v is not None:
+            out[v].append(k)
+    return out
