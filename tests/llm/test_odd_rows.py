@@ -141,3 +141,28 @@ def test_urls_of_odd_rows(spark):
     got = urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string, verdict string")).collect()
     assert Counter((r.page_id, r.verdict) for r in got) == Counter({(None, "block"): 1, (1, "allow"): 3, (2, "block"): 1, (3, "allow"): 1, (4, "allow"): 1})
     assert urls.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_seeds_against_a_plain_look_at_all_rows():
+    """The next seed is the first unused document that equals none inside, else the first unused one."""
+    import numpy as np
+
+    from prismark.llm import packing
+
+    rng = np.random.default_rng(9)
+    for _ in range(100):
+        n = int(rng.integers(0, 40))
+        alike, unused, inside = rng.integers(0, max(1, n // 3), n), np.ones(n), set()
+        seeds = packing.Seeds(alike, unused, inside)
+        while True:
+            free = np.flatnonzero(unused).tolist()
+            want = next((d for d in free if int(alike[d]) not in inside), free[0] if free else None)
+            assert seeds.take() == want
+            if want is None:
+                break
+            for d in [want, *rng.permutation(free)[: rng.integers(0, 3)].tolist()]:
+                unused[d] = 0
+                inside.add(int(alike[d]))
+            if rng.random() < 0.3:
+                inside.clear()
+                seeds.closed()
