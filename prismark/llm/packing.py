@@ -65,8 +65,11 @@ class Index:
         terms = self.terms[self.of[seed] : self.of[seed + 1]]
         many = self.starts[terms + 1] - self.starts[terms]
         at = np.repeat(self.starts[terms] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        docs, place = np.unique(self.doc[at], return_inverse=True)
-        scores = np.bincount(place, self.weight[at], len(docs)) * unused[docs]
+        if 8 * len(at) < self.n:  # a seed with few postings does not look at all documents
+            docs, place = np.unique(self.doc[at], return_inverse=True)
+            scores = np.bincount(place, self.weight[at], len(docs)) * unused[docs]
+        else:  # and one with many does not sort them
+            docs, scores = np.arange(self.n), np.bincount(self.doc[at], self.weight[at], self.n) * unused
         found = np.flatnonzero(scores > 0)
         return docs[found[np.argsort(-scores[found], kind="stable")]]
 

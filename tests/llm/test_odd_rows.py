@@ -166,3 +166,26 @@ def test_seeds_against_a_plain_look_at_all_rows():
             if rng.random() < 0.3:
                 inside.clear()
                 seeds.closed()
+
+
+def test_retrieval_sorts_no_long_list_of_postings(monkeypatch):
+    """Seeds with few and with many postings have the same scores as a plain sum, and only few postings are ever sorted."""
+    rng = np.random.default_rng(8)
+    ids = [rng.zipf(1.3, rng.integers(1, 80)).clip(max=4000).astype("<u4") for _ in range(300)] + [np.array([5000], "<u4")] * 2
+    index, unique, sorted_at_once = packing.Index(ids), np.unique, [0]
+
+    def counted(x, *args, **kwargs):
+        sorted_at_once.append(len(x))
+        return unique(x, *args, **kwargs)
+
+    monkeypatch.setattr(packing.np, "unique", counted)
+    for seed in range(len(ids)):
+        unused = (rng.random(len(ids)) < 0.7).astype(float)
+        scores = np.zeros(len(ids))
+        for term in index.terms[index.of[seed] : index.of[seed + 1]]:
+            at = slice(index.starts[term], index.starts[term + 1])
+            np.add.at(scores, index.doc[at], index.weight[at])
+        scores *= unused
+        got = index.neighbours(seed, unused)
+        assert set(got.tolist()) == set(np.flatnonzero(scores > 0).tolist()) and np.all(np.diff(scores[got]) < 1e-9)
+    assert len(sorted_at_once) > 1 and max(sorted_at_once) < len(ids)
