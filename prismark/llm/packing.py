@@ -1,7 +1,7 @@
 """Packing by lexical retrieval.
 
 Documents are dealt by what they say: each has a key, its weighted minimum hash over words, so two documents share a key with
-the chance of their weighted overlap, where rare words weigh most. Rows are sorted by key, and each stretch of about
+the chance of their weighted overlap, where rare words weigh most; words are counted over all rows. Rows are sorted by key, and each stretch of about
 SHARD_BYTES of text is a shard with an inverted index over its documents' tokens with BM25 weights. The first unused document is
 a seed and opens a sequence; the index returns its unused neighbours by falling score, and they fill the window greedily. A
 document that does not fit is cut, and its rest is the next seed. So every sequence is full; what remains in a shard is cut
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
+from .store import discard, durable
 from .tokens import CHUNK_BYTES, Encoder
 
 WINDOW = 4096
@@ -31,8 +32,10 @@ SHARD_BYTES, TASK_BYTES = 4 << 20, 64 << 20
 #: Parts of the range of keys for each task.
 PARTS = 4
 K1, B = 1.2, 0.75
-#: Bounds of what the weights of words and the frequent keys are read off: rows, and words. They decide who meets, never what is packed.
-SAMPLE_ROWS, WORDS = 20_000, 20_000
+#: What is broadcast: at most so many words and keys with counts of their own, told by their shares, and cells that all other words share.
+WORDS, FREQUENT, CELL_BITS = 20_000, 1 << 20, 20
+#: Distinct words that a task holds before it hands on their counts.
+HELD = 1 << 19
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -170,14 +173,21 @@ def arrange(ids: list[np.ndarray], window: int) -> list[tuple[int, int, int, int
 
 
 class Keys:
-    """Weights of the words of a sample, and the keys that are frequent in it with the parts they are spread over."""
+    """Weights of all words, and the keys that are frequent with the parts they are spread over.
 
-    def __init__(self, words: np.ndarray, weights: np.ndarray, other: float):
+    Frequent words have weights of their own; each other word has that of the most frequent word of its cell.
+    """
+
+    def __init__(self, words: np.ndarray, weights: np.ndarray, cells: np.ndarray):
         self.table = wordhash.Table()
         self.table.add(words)
-        self.weights = np.append(weights, other)
+        self.weights, self.cells = np.append(weights, 0.0), cells
         self.frequent, self.spread = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
+    def weights_of(self, words: np.ndarray) -> np.ndarray:
+        row = self.table.find(words)
+        return np.where(row >= 0, self.weights[row], self.cells[(words >> np.uint64(64 - CELL_BITS)).astype(np.int64)])
+
     def of_texts(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(key, second key, hash of the whole text) of each document; those without words have their text's hash as keys."""
         low = wordhash.LOWER[buf]
@@ -188,7 +198,7 @@ class Keys:
         full = np.flatnonzero(np.diff(firsts))
         if len(full):
             words = wordhash.substring_hashes(sums, starts, ends)
-            weight = self.weights[self.table.find(words)]
+            weight = self.weights_of(words)
             doc = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
             for k, key in enumerate(keys):
                 mixed = wordhash.mix(words + np.uint64(k + 1))
@@ -210,17 +220,31 @@ class Keys:
 
 
 def _words(batches):
-    """How many documents of each stretch have each word."""
+    """How many documents have each word, added up over stretches of a task's documents."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def added():
+        kinds, place = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+        n = np.bincount(place, np.concatenate([n for _, n in held]), len(kinds)).astype(np.int64)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(n)], names=["word", "n"])
+
     for batch in batches:
         buf, offsets = wordhash.buffers(batch.column(0))
         for a, b in wordhash.chunks(offsets):
             words, firsts = wordhash.words(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            doc = np.repeat(np.arange(b - a), np.diff(firsts))
-            order = np.lexsort((doc, words))
-            words, doc = words[order], doc[order]
-            new = np.append(True, (words[1:] != words[:-1]) | (doc[1:] != doc[:-1])) if len(words) else np.zeros(0, bool)
-            kinds, n = np.unique(words[new], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
+            order = np.argsort(words, kind="stable")  # a word's documents stay in their order
+            words, doc = words[order], np.repeat(np.arange(b - a), np.diff(firsts))[order]
+            kind = np.append(True, words[1:] != words[:-1])[: len(words)]
+            new = kind.copy()
+            new[1:] |= doc[1:] != doc[:-1]
+            upto = np.append(0, np.cumsum(new))
+            at = np.flatnonzero(kind)
+            held.append((words[at], np.diff(np.append(upto[at], upto[-1]))))
+            if sum(len(k) for k, _ in held) >= HELD:
+                yield added()
+    if held:
+        yield added()
 
 
 def _keys(shared):
@@ -229,24 +253,38 @@ def _keys(shared):
             buf, offsets = wordhash.buffers(batch.column(0))
             for a, b in wordhash.chunks(offsets):
                 key, _, _ = shared.value.of_texts(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["key"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.diff(offsets[a : b + 1]) + 64)], names=["key", "bytes"])
 
     return run
 
 
-def lexical_keys(docs: DataFrame, rows: int, parts: int, sample_rows: int = SAMPLE_ROWS, words: int = WORDS) -> Keys:
-    """Read off about `sample_rows` rows by a hash of their id; what is not in the sample counts as rare."""
+def _size(docs: DataFrame):
+    """Rows, and bytes with 64 for each row."""
+    return docs.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 64), F.lit(0)).alias("bytes")).first()
+
+
+def lexical_keys(docs: DataFrame, rows: int, parts: int, total: int | None = None, words: int = WORDS) -> Keys:
+    """Words and keys are counted over all rows; `total` is `_size`'s bytes.
+
+    Shares bound what has an entry of its own: at most `words` words have a part of 1 / `words` of all (document, word)
+    pairs. A key is spread over twice as many parts as its bytes are parts' worth.
+    """
     spark = docs.sparkSession
-    share = min(1.0, sample_rows / max(rows, 1))
-    sample = docs.where(F.pmod(F.xxhash64(F.lit("pack"), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
-    found = sample.mapInArrow(_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words).toArrow()
-    n = max(1.0, rows * share)
-    out = Keys(found.column("word").to_numpy().view(np.uint64), np.log1p(n / found.column("n").to_numpy()), float(np.log1p(n)))
-    counts = sample.mapInArrow(_keys(spark.sparkContext.broadcast(out)), "key long").groupBy("key").agg(F.count("*").alias("n"))
-    often = counts.where(F.col("n") >= max(8, n / (2 * parts))).orderBy(F.desc("n"), "key").limit(words).toArrow()
-    key = often.column("key").to_numpy().view(np.uint64)
+    total = _size(docs)["bytes"] if total is None else total
+    counts = durable(docs.select("text").mapInArrow(_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    pairs = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    often = F.col("n") * words >= pairs
+    found = counts.where(often).toArrow()
+    others = counts.where(~often).groupBy(F.shiftrightunsigned("word", 64 - CELL_BITS).alias("cell")).agg(F.max("n").alias("n")).toArrow()
+    discard(counts)
+    cells = np.full(1 << CELL_BITS, np.log1p(max(rows, 1)))
+    cells[others.column("cell").to_numpy()] = np.log1p(rows / others.column("n").to_numpy())
+    out = Keys(found.column("word").to_numpy().view(np.uint64), np.log1p(rows / found.column("n").to_numpy()), cells)
+    keyed = docs.select("text").mapInArrow(_keys(spark.sparkContext.broadcast(out)), "key long, bytes long").groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    hot = keyed.where((F.col("n") >= 8) & (F.col("bytes") >= total / min(2 * parts, FREQUENT))).toArrow()
+    key = hot.column("key").to_numpy().view(np.uint64)
     order = np.argsort(key)
-    out.frequent, out.spread = key[order], np.minimum(parts, np.ceil(2 * parts * often.column("n").to_numpy()[order] / n)).astype(np.int64)
+    out.frequent, out.spread = key[order], np.minimum(parts, np.ceil(2 * parts * hot.column("bytes").to_numpy()[order] / max(total, 1))).astype(np.int64)
     return out
 
 
@@ -311,10 +349,10 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end: int = END,
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    size = docs.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 64), F.lit(0)).alias("bytes")).first()
+    size = _size(docs)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")) if size["bytes"] > shard_bytes else 1, -(-int(size["bytes"]) // TASK_BYTES))
     parts = PARTS * tasks
-    shared = spark.sparkContext.broadcast(lexical_keys(docs, size["rows"], parts))
+    shared = spark.sparkContext.broadcast(lexical_keys(docs, size["rows"], parts, size["bytes"]))
     dealt = docs.mapInArrow(_deal(shared, parts), "doc_id long, text string, part long, key long, other long")
     dealt = dealt.repartition(tasks, "part").sortWithinPartitions("part", "key", "other", "doc_id")
     return dealt.select("doc_id", "text").mapInArrow(_pack(vocabulary, window, end, shard_bytes), PIECES)

@@ -189,3 +189,50 @@ def test_retrieval_sorts_no_long_list_of_postings(monkeypatch):
         got = index.neighbours(seed, unused)
         assert set(got.tolist()) == set(np.flatnonzero(scores > 0).tolist()) and np.all(np.diff(scores[got]) < 1e-9)
     assert len(sorted_at_once) > 1 and max(sorted_at_once) < len(ids)
+
+
+@pytest.fixture(scope="module")
+def many_rows():
+    """More rows than were once counted, with words of all frequencies."""
+    rng = random.Random(12)
+    names = [f"w{k}" for k in range(4000)]
+    weights = [1 / (k + 1) for k in range(4000)]
+    return [(k, None if k % 5000 == 0 else "" if k % 5000 == 1 else "the same words" if k % 50 == 2 else " ".join(rng.choices(names, weights, k=rng.randint(1, 12)))) for k in range(24_000)]
+
+
+def plain_keys(texts, words):
+    """The key of each text by counts of all of them, word by word."""
+    from prismark.llm import wordhash
+    import pyarrow as pa
+
+    kinds = sorted({w for t in texts for w in (t or "").split()})
+    hashes = dict(zip(kinds, wordhash.words(*wordhash.buffers(pa.array(kinds)))[0].tolist()))
+    n = Counter(w for t in texts for w in set((t or "").split()))
+    often = {w for w in kinds if n[w] * words >= sum(n.values())}
+    cells = defaultdict(int)
+    for w in kinds:
+        if w not in often:
+            cells[hashes[w] >> 44] = max(cells[hashes[w] >> 44], n[w])
+    assert 0 < len(often) < len(kinds)
+    weight = {w: np.log1p(len(texts) / (n[w] if w in often else cells[hashes[w] >> 44])) for w in kinds}
+    mixed = {w: int(wordhash.mix(np.array([hashes[w]], np.uint64) + np.uint64(1))[0]) for w in kinds}
+    value = {w: -np.log((mixed[w] >> 11) / 2.0**53 + 2.0**-54) / weight[w] for w in kinds}
+    key = {w: int(wordhash.mix(np.array([mixed[w]], np.uint64) + np.uint64(1))[0]) for w in kinds}
+    return [key[min(t.split(), key=value.get)] if t else None for t in texts]
+
+
+def test_words_and_keys_are_counted_over_all_rows(spark, many_rows):
+    from prismark.llm import wordhash
+    import pyarrow as pa
+
+    docs, parts = spark.createDataFrame(many_rows, "doc_id long, text string").repartition(5), 40
+    keys, texts = packing.lexical_keys(docs, len(many_rows), parts), [t for _, t in many_rows]
+    got = keys.of_texts(*wordhash.buffers(pa.array(texts)))[0].tolist()
+    want = plain_keys(texts, packing.WORDS)
+    assert [a for a, t in zip(got, texts) if t] == [b for b in want if b is not None]
+    n, size = Counter(got), Counter()
+    for k, t in zip(got, texts):
+        size[k] += len(t or "") + 64
+    total = sum(size.values())
+    spread = {k: min(parts, -(-2 * parts * size[k] // total)) for k in n if n[k] >= 8 and 2 * parts * size[k] >= total}
+    assert spread and dict(zip(keys.frequent.tolist(), keys.spread.tolist())) == spread
