@@ -188,9 +188,9 @@ class Keys:
         row = self.table.find(words)
         return np.where(row >= 0, self.weights[row], self.cells[(words >> np.uint64(64 - CELL_BITS)).astype(np.int64)])
 
-    def of_texts(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(key, second key, hash of the whole text) of each document; those without words have their text's hash as keys."""
-        low = wordhash.LOWER[buf]
+    def of_texts(self, buf: np.ndarray, offsets: np.ndarray, second: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key, second key, hash of the whole text) of each document; those without words have their text's hash as keys, as all have for the second if it is not asked for."""
+        low = wordhash.lower(buf)
         sums = wordhash.prefix_sums(low)
         starts, ends, firsts = wordhash.word_spans(low, offsets)
         whole = wordhash.substring_hashes(sums, offsets[:-1], offsets[1:])
@@ -200,7 +200,7 @@ class Keys:
             words = wordhash.substring_hashes(sums, starts, ends)
             weight = self.weights_of(words)
             doc = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
-            for k, key in enumerate(keys):
+            for k, key in enumerate(keys if second else keys[:1]):
                 mixed = wordhash.mix(words + np.uint64(k + 1))
                 value = -np.log((mixed >> np.uint64(11)).astype(np.float64) / 2.0**53 + 2.0**-54) / weight
                 least = np.full(len(firsts) - 1, np.inf)
@@ -224,23 +224,25 @@ def _words(batches):
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def added():
-        kinds, place = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-        n = np.bincount(place, np.concatenate([n for _, n in held]), len(kinds)).astype(np.int64)
+        kinds, n = (np.concatenate(x) for x in zip(*held))
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(n)], names=["word", "n"])
+        order = np.argsort(kinds)
+        kinds = kinds[order]
+        at = np.flatnonzero(np.append(True, kinds[1:] != kinds[:-1])[: len(kinds)])
+        n = np.diff(np.append(0, np.cumsum(n[order]))[np.append(at, len(kinds))])
+        return pa.RecordBatch.from_arrays([pa.array(kinds[at].view(np.int64)), pa.array(n)], names=["word", "n"])
 
     for batch in batches:
         buf, offsets = wordhash.buffers(batch.column(0))
         for a, b in wordhash.chunks(offsets):
             words, firsts = wordhash.words(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            order = np.argsort(words, kind="stable")  # a word's documents stay in their order
-            words, doc = words[order], np.repeat(np.arange(b - a), np.diff(firsts))[order]
-            kind = np.append(True, words[1:] != words[:-1])[: len(words)]
-            new = kind.copy()
-            new[1:] |= doc[1:] != doc[:-1]
-            upto = np.append(0, np.cumsum(new))
-            at = np.flatnonzero(kind)
-            held.append((words[at], np.diff(np.append(upto[at], upto[-1]))))
+            doc = np.repeat(np.arange(1, b - a + 1, dtype=np.uint64), np.diff(firsts))
+            pair = wordhash.mix(words + doc * np.uint64(0x9E3779B97F4A7C15))
+            order = np.argsort(pair)
+            pair = pair[order]
+            words = np.sort(words[order[np.append(True, pair[1:] != pair[:-1])[: len(pair)]]])  # each once for each of its documents
+            at = np.flatnonzero(np.append(True, words[1:] != words[:-1])[: len(words)])
+            held.append((words[at], np.diff(np.append(at, len(words)))))
             if sum(len(k) for k, _ in held) >= HELD:
                 yield added()
     if held:
@@ -252,7 +254,7 @@ def _keys(shared):
         for batch in batches:
             buf, offsets = wordhash.buffers(batch.column(0))
             for a, b in wordhash.chunks(offsets):
-                key, _, _ = shared.value.of_texts(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                key, _, _ = shared.value.of_texts(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], second=False)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.diff(offsets[a : b + 1]) + 64)], names=["key", "bytes"])
 
     return run

@@ -30,9 +30,9 @@ from . import wordhash
 #: Distinct pieces that a Python worker remembers; then it starts afresh. Bounds memory, never results.
 REMEMBERED = 500_000
 CHUNK_BYTES = 1 << 20
+#: Words that the library encodes at a time.
+LINE = 64
 
-_ASCII_LETTER = np.zeros(256, bool)
-_ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
 # Signs at which a piece is cut next to an ASCII letter; not those of contractions and special strings.
 _SIGN = np.zeros(256, bool)
 _SIGN[[ord(c) for c in "!\"#$%&()*+,-./:;=?@[]^_`{}~"]] = True
@@ -118,6 +118,9 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.path, self.merges = path, None
+        vocabulary = self.library.get_vocab()
+        self.ending = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ending[[k for token, k in vocabulary.items() if token.endswith(_END)]] = True
         self.forget()
 
     @staticmethod
@@ -135,28 +138,53 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, ids of each). Words of letters alone are encoded many at a time, with spaces between them.
+
+        The ids of each end with its only token with a word end; where a line has more of these than words, its words are encoded one by one.
+        """
+        alone = [k for k, t in enumerate(texts) if not t.isalpha()]
+        words = [k for k, t in enumerate(texts) if t.isalpha()]
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        lines = [words[k : k + LINE] for k in range(0, len(words), LINE)]
+        for places, ids in zip(lines, self.encode([" ".join([texts[k] for k in x]) for x in lines])):
+            ids = np.array(ids, np.uint32)
+            ends = np.flatnonzero(self.ending[ids]) + 1
+            if len(ends) == len(places) and ends[-1] == len(ids):
+                found.append((np.array(places), np.diff(ends, prepend=0), ids))
+            else:
+                alone += places
+        if alone:
+            ids = self.encode([texts[k] for k in alone])
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            found.append((np.array(alone), size, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(size.sum()))))
+        places, size, ids = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
+        first, order = np.cumsum(size) - size, np.argsort(places)
+        size = size[order]
+        return ids[np.repeat(first[order] - (np.cumsum(size) - size), size) + np.arange(size.sum())], size
+
     def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
         for k in range(0, len(texts), 20_000):
-            ids = self.encode(texts[k : k + 20_000])
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            total, at = int(size.sum()), self.rows.n
+            ids, size = self.flat(texts[k : k + 20_000])
+            total, at = len(ids), self.rows.n
             while self.used + total > len(self.pool):
                 self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            while at + len(ids) > len(self.size):
+            while at + len(size) > len(self.size):
                 self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
-            self.pool[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, total)
-            self.first[at : at + len(ids)] = self.used + np.cumsum(size) - size
-            self.size[at : at + len(ids)] = size
+            self.pool[self.used : self.used + total] = ids
+            self.first[at : at + len(size)] = self.used + np.cumsum(size) - size
+            self.size[at : at + len(size)] = size
             self.rows.add(hashes[k : k + 20_000])
             self.used += total
 
     def pieces(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place in the tables of each piece, end of each piece, pieces before each document)."""
-        letter, sign = _ASCII_LETTER[buf], _SIGN[buf]
+        # Letters of ASCII by arithmetic; bytes from 128 on are none.
+        letter, sign = ((buf | np.uint8(32)) - np.uint8(97)) < 26, _SIGN.take(buf)
         edge = np.zeros(len(buf), bool)
         edge[1:] = (letter[:-1] & sign[1:]) | (sign[:-1] & letter[1:])
         starts, ends, firsts = wordhash.word_spans(buf, offsets, edge)
-        hashes = wordhash.substring_hashes(wordhash.prefix_sums(wordhash.LOWER[buf]), starts, ends)
+        hashes = wordhash.substring_hashes(wordhash.prefix_sums(wordhash.lower(buf)), starts, ends)
         special = np.append(0, np.cumsum(buf == ord("<")))
         special = np.flatnonzero(special[ends] > special[starts])
         if len(special):  # special strings are told by case

@@ -44,12 +44,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def lower(buf: np.ndarray) -> np.ndarray:
+    """LOWER of each byte, by arithmetic, which is quicker than its table."""
+    return buf + ((buf - np.uint8(65)) < 26).view(np.uint8) * np.uint8(32)
+
+
+def white(buf: np.ndarray) -> np.ndarray:
+    """WHITE of each byte, likewise."""
+    return (buf == 32) | ((buf - np.uint8(9)) < 5)
+
+
 def prefix_sums(buf: np.ndarray) -> np.ndarray:
     """Sums of code * base^i before each position; differences give the hash of any substring."""
     up, _ = powers(len(buf))
     out = np.empty(len(buf) + 1, np.uint64)
     out[0] = 0
-    np.cumsum(_CODES[buf] * up[: len(buf)], out=out[1:])
+    codes = _CODES[buf]
+    codes *= up[: len(buf)]
+    np.cumsum(codes, out=out[1:])
     return out
 
 
@@ -86,7 +98,7 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray, edge: np.ndarray | None = N
     `edge` marks bytes at which a word ends and another begins.
     """
     dark = np.zeros(len(buf) + 2, bool)
-    np.logical_not(WHITE[buf], out=dark[1:-1])
+    np.logical_not(white(buf), out=dark[1:-1])
     cut = offsets[1:-1]
     cut = cut[(cut > 0) & (cut < len(buf))]
     opens = dark[1:-1] & ~dark[:-2]
@@ -103,7 +115,7 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray, edge: np.ndarray | None = N
 
 def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each lower-cased word, and the number of words before each document."""
-    buf = LOWER[buf]
+    buf = lower(buf)
     starts, ends, firsts = word_spans(buf, offsets)
     return substring_hashes(prefix_sums(buf), starts, ends), firsts
 

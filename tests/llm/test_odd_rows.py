@@ -236,3 +236,22 @@ def test_words_and_keys_are_counted_over_all_rows(spark, many_rows):
     total = sum(size.values())
     spread = {k: min(parts, -(-2 * parts * size[k] // total)) for k in n if n[k] >= 8 and 2 * parts * size[k] >= total}
     assert spread and dict(zip(keys.frequent.tolist(), keys.spread.tolist())) == spread
+
+
+def test_pieces_encoded_many_at_a_time(monkeypatch):
+    """Ids of pieces as the library gives them one by one, in fewer texts than pieces."""
+    from prismark.llm import tokens, wordhash
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abcdefghéßçüñ", k=rng.randint(1, 12))) for _ in range(500)]
+    texts += ["İstanbul", "ſs", "ﬁn", "Σας", "ΑΣ", "ʼn", "ǅ", "中文字", "ᾳ", "K", "Å", "éa", "ªº", "ⅷ", "ḍ̇", "한글", "ﷺ", "ΐ", "ẞ", "a1b", "it's", "<|endoftext|>", "​", "x" * 500, "12.5%", "a,b"]
+    rng.shuffle(texts)
+    encoder = tokens.Encoder(vocabulary())
+    want = [encoder.library.encode(t, add_special_tokens=False).ids for t in texts]
+    given, encode = [], encoder.encode
+    monkeypatch.setattr(encoder, "encode", lambda x: given.extend(x) or encode(x))
+    flat, size = encoder.flat(texts)
+    assert size.tolist() == [len(x) for x in want] and flat.tolist() == [k for x in want for k in x]
+    assert len(given) < len(texts) / 4 and encoder.flat([])[1].tolist() == []
+    every = np.arange(256, dtype=np.uint8)
+    assert np.array_equal(wordhash.lower(every), wordhash.LOWER) and np.array_equal(wordhash.white(every), wordhash.WHITE)
