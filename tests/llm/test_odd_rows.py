@@ -238,6 +238,22 @@ def test_words_and_keys_are_counted_over_all_rows(spark, many_rows):
     assert spread and dict(zip(keys.frequent.tolist(), keys.spread.tolist())) == spread
 
 
+def test_pipeline_packs_by_counts_of_all_rows(spark, many_rows, monkeypatch):
+    """The pipeline's last stage has the keys that counts of all its rows give, and packs every row of them."""
+    import corpus_pipeline
+    from prismark.llm import wordhash
+    import pyarrow as pa
+
+    seen, lexical_keys = [], packing.lexical_keys
+    monkeypatch.setattr(packing, "lexical_keys", lambda *args, **kwargs: seen.append(lexical_keys(*args, **kwargs)) or seen[-1])
+    docs = spark.createDataFrame(many_rows, "doc_id long, text string").repartition(5)
+    got = corpus_pipeline.STAGES[-1][1](spark, docs, "").groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).collect()
+    assert len(got) == len(many_rows) and all(r[1] == r[2] for r in got)
+    texts = [t for _, t in many_rows]
+    keys = seen[0].of_texts(*wordhash.buffers(pa.array(texts)))[0].tolist()
+    assert [a for a, t in zip(keys, texts) if t] == [b for b in plain_keys(texts, packing.WORDS) if b is not None]
+
+
 def test_pieces_encoded_many_at_a_time(monkeypatch):
     """Ids of pieces as the library gives them one by one, in fewer texts than pieces."""
     from prismark.llm import tokens, wordhash
