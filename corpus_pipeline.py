@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prismark.llm import blocks, minhash, mixing, packing, toxicity
+from prismark.llm import blocks, minhash, mixing, packing, supervision, toxicity
 from prismark.llm.queries import table, vocabulary
 from prismark.llm.store import durable
 
@@ -21,8 +21,8 @@ TARGETS = {"good": 0.86, "poor": 0.14}
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Null and empty texts stay; equal texts stay or go together. Without labels of both kinds all rows stay."""
-    return toxicity.without_toxic(docs, toxicity.train(docs, table(spark, folder, "labels")))
+    """Null and empty texts stay; equal texts stay or go together. Without labels of both kinds all rows stay. Learned from all labelled rows outside fold 1 of 3."""
+    return toxicity.without_toxic(docs, supervision.train(docs, table(spark, folder, "labels")))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -36,8 +36,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """No row goes; rows with one id, and all rows without one, are repeated alike. Targets out of reach are told by a warning."""
-    domains = mixing.fit_domains(docs, mixing.domain_labels(table(spark, folder, "labels")), list(TARGETS))
+    """No row goes; rows with one id, and all rows without one, are repeated alike. Domains are learned from all labelled rows. Targets out of reach are told by a warning."""
+    domains = mixing.fit_domains(docs, mixing.domain_labels(table(spark, folder, "labels")), list(TARGETS), sample_rows=None)
     return mixing.remixed(docs, domains, TARGETS, vocabulary(), repeat_only=True)
 
 

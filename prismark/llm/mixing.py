@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import lexical, wordhash
-from .store import discard, durable
+from . import fitting, lexical, wordhash
+from .store import discard, durable, joined
 from .tokens import Encoder
 
 SAMPLE_ROWS = 12_000
@@ -40,21 +40,28 @@ class Domains:
         self.names, self.listed, self.weight, self.bias = list(names), listed, weight, bias
 
 
-def fit_domains(docs: DataFrame, labelled: DataFrame, names: Sequence[str], sample_rows: int = SAMPLE_ROWS, features: int = FEATURES) -> Domains:
-    """From `labelled` (doc_id, domain), about `sample_rows` rows of it by a hash of their id.
+def fit_domains(docs: DataFrame, labelled: DataFrame, names: Sequence[str], sample_rows: int | None = SAMPLE_ROWS, features: int = FEATURES) -> Domains:
+    """From `labelled` (doc_id, domain), about `sample_rows` rows of it by a hash of their id, or all if it is None.
 
     Labels of other domains, null labels and null ids are left out; of several labels of an id the one named last counts. The
     rows are written once, and everything is learned from them there.
     """
     place = F.coalesce(*[F.when(F.col("domain") == x, k) for k, x in enumerate(names)])
     known = labelled.select("doc_id", place.alias("kind")).where("kind is not null and doc_id is not null").groupBy("doc_id").agg(F.max("kind").alias("kind"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(lexical.sample_by_hash(known, sample_rows, "doc_id", "domain")), "doc_id").select("text", "kind")
-    rows = durable(rows, "sample")
+    if sample_rows is None:
+        rows = joined(docs, known, "text", "kind")
+    else:
+        rows = docs.select("doc_id", "text").join(F.broadcast(lexical.sample_by_hash(known, sample_rows, "doc_id", "domain")), "doc_id").select("text", "kind")
+        rows = durable(rows, "sample")
     listed, _, sizes = lexical.choose(rows, len(names), features, shape=True)
     if not len(listed.features):
         share = (sizes + 0.5) / (sizes + 0.5).sum()
         discard(rows)
         return Domains(names, listed, np.zeros((0, len(names))), np.log(share))
+    if sample_rows is None:
+        weight, bias = fitting.fit(rows, listed, len(names), shape=True)
+        discard(rows)
+        return Domains(names, listed, weight, bias)
     kind, starts, columns = lexical.matrix(rows, listed, shape=True)
     discard(rows)
     return Domains(names, listed, *lexical.softmax_regression(np.eye(len(names))[kind], starts, columns, len(listed.features)))

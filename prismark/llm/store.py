@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..storage import discard, durable, shared_root
 
-__all__ = ["batches_of", "discard", "durable", "looked_up", "rows_kept", "shared_root"]
+__all__ = ["batches_of", "discard", "durable", "joined", "looked_up", "rows_kept", "shared_root"]
 
 
 @contextmanager
@@ -55,3 +55,11 @@ def looked_up(rows: DataFrame, names: DataFrame, on: Sequence[str], row: Sequenc
     sliced = rows.withColumn("__slice", F.pmod(F.xxhash64(*row), F.lit(slices)).cast("int"))
     wanted = sliced.groupBy(*on, "__slice").agg(F.lit(1).alias("__one")).drop("__one")
     return sliced.join(wanted.join(names, list(on)), [*on, "__slice"]).drop("__slice")
+
+
+def joined(docs: DataFrame, labels: DataFrame, *columns) -> DataFrame:
+    """`columns` of all `docs` that have a label, stored. Labels are stored first, so Spark broadcasts them only if they are small."""
+    labels = durable(labels, "labels")
+    rows = durable(docs.select("doc_id", "text").join(labels, "doc_id").select(*columns), "labelled")
+    discard(labels)
+    return rows

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lexical, wordhash
-from .store import discard, durable
+from .store import discard, durable, joined
 
 #: Bounds of what is learned from: labelled rows, and features.
 SAMPLE_ROWS = 30_000
@@ -228,13 +228,16 @@ class Model:
         return out
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int] | None, most: int) -> DataFrame:
-    """(text, kind, half) of about `most` labelled documents; ids of the bounded sample are what is broadcast."""
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int] | None, most: int | None) -> DataFrame:
+    """(text, kind, half) of about `most` labelled documents; ids of the bounded sample are what is broadcast. If it is None, of all, stored."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     if fold is not None:
         known = known.where(F.crc32(F.col("doc_id").cast("string")) % fold[0] != fold[1])
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("kind"))
-    return docs.select("doc_id", "text").join(F.broadcast(lexical.sample_by_hash(known, most, "doc_id", label)), "doc_id").select("text", "kind", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int").alias("half"))
+    half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int").alias("half")
+    if most is None:
+        return joined(docs, known, "text", "kind", half)
+    return docs.select("doc_id", "text").join(F.broadcast(lexical.sample_by_hash(known, most, "doc_id", label)), "doc_id").select("text", "kind", half)
 
 
 def _shown(shared):
