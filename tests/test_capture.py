@@ -503,3 +503,31 @@ def _by(of):
         if v is not None:
             out[v].append(k)
     return out
+
+
+@pytest.mark.parametrize("whole", [0, 1 << 17])
+def test_thin_tip_of_a_part(spark, monkeypatch, whole):
+    """Few points on a line at a plate's tip tell no plane and still belong to the plate, however clouds are dealt; a pole on it does not."""
+    from prismark.operators import clouds
+
+    monkeypatch.setattr(clouds, "WHOLE", whole)
+    plate = [(21.0 + 1.5 * i, 1.5 * j, 4.0) for i in range(20) for j in range(10)]
+    tip = [(12.0, 1.0, 4.0), (8.0, 1.2, 4.0)]
+    pole = [(90.0, 5.0, 4.0 + k) for k in range(40)]
+    rows = [(c, k, *x) for c in (1, 2) for k, x in enumerate([*plate, *tip, *pole])] + [(None, 0, 1.0, 1.0, 1.0)]
+    got = {(r["cloud_id"], r["id"]): r["part"] for r in clouds.segment_cloud(spark.createDataFrame(rows, "cloud_id long, id int, x double, y double, z double").repartition(3), 10.0).collect()}
+    assert len(got) == len(rows) and got[None, 0] is None
+    for c in (1, 2):
+        assert {got[c, k] for k in range(202)} == {f"{c}:1:0:0"} and {got[c, k] for k in range(202, 242)} == {None}
+
+
+def test_parts_dealt_by_cells_as_whole(spark, monkeypatch):
+    from prismark.operators import clouds
+
+    rng = np.random.default_rng(5)
+    turn = np.array(yaw(33)).reshape(3, 3)
+    p = np.concatenate([np.column_stack([rng.uniform(0, 60, (150, 2)), np.full(150, 100.0 * k)])[:, np.roll(range(3), k)] @ turn + [0, 0, 300 * c] for c in range(3) for k in range(3)])
+    d = spark.createDataFrame([(k // 450, k, *map(float, x)) for k, x in enumerate(p)], "cloud_id long, id int, x double, y double, z double")
+    whole = clouds.segment_cloud(d, 15.0).collect()
+    monkeypatch.setattr(clouds, "WHOLE", 0)
+    assert sorted(whole) == sorted(clouds.segment_cloud(d, 15.0).collect()) and len({r["part"] for r in whole}) >= 9
