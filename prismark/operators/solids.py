@@ -1,8 +1,8 @@
 """Spheres, cones and boxes found in clouds with outliers.
 
-A cloud's points are dealt into parts of about `PART`, a row each, so a cloud may have any number of them. Hypotheses come from minimal sets out of a bounded
-number of its points, one of the least hash in each of `SAMPLE` slots; all points judge them, and all inliers refine the best one by Gauss-Newton
-steps, whose normal equations are summed over the parts.
+Hypotheses come from minimal sets out of `SAMPLE` of a cloud's points; all points judge them, and all inliers refine the best ones by Gauss-Newton steps
+until these vanish. A cloud of up to `PART` points is one task's work: more hypotheses are drawn until two of them have led to the best support. The points of a
+larger one are dealt into parts of about `PART`, a row each, so a cloud may have any number of them, and normal equations are summed over the parts.
 """
 
 from __future__ import annotations
@@ -10,19 +10,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import durable
+from ..storage import discard, durable
 from .adjustment import _vector, rotation_of
 
 PART, SAMPLE, NEIGHBOURS = 4_096, 384, 10
+#: How often hypotheses are drawn at most, how many of a kind are refined, and the least step, of the parameters' size.
+BATCHES, REFINED, SETTLED = 16, 3, 1e-10
 
 
 def _normals(p: np.ndarray) -> np.ndarray:
     """Unit normals of sampled points by the least principal axis of their neighbours."""
-    d = ((p[:, None] - p[None]) ** 2).sum(2)
-    near = p[np.argsort(d, 1, kind="stable")[:, :NEIGHBOURS]]
+    q = p - p.mean(0)
+    square = (q * q).sum(1)
+    d = square[:, None] + square - 2 * np.einsum("ik,jk->ij", q, q)  # not @, whose threads would only wait for each other
+    near = p[np.argpartition(d, NEIGHBOURS - 1, 1)[:, :NEIGHBOURS] if len(p) > NEIGHBOURS else np.argsort(d, 1)]
     near = near - near.mean(1, keepdims=True)
     return np.linalg.eigh(np.einsum("nki,nkj->nij", near, near))[1][:, :, 0]
 
@@ -48,6 +52,11 @@ class Sphere:
     def distance(h: np.ndarray, p: np.ndarray) -> np.ndarray:
         return np.linalg.norm(p - h[:, None, :3], axis=2) - h[:, 3:4]
 
+    @staticmethod
+    def slopes(h: np.ndarray, p: np.ndarray) -> np.ndarray:
+        v = p - h[:3]
+        return np.column_stack([-v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12), np.full(len(p), -1.0)])
+
     @staticmethod
     def tidy(h: np.ndarray) -> np.ndarray:
         return np.concatenate([h[:3], np.abs(h[3:])])
@@ -84,6 +93,16 @@ class Cone:
         out = np.linalg.norm(v - along[..., None] * axis[:, None], axis=2)
         return out * np.cos(h[:, 6:7]) - along * np.sin(h[:, 6:7])
 
+    @staticmethod
+    def slopes(h: np.ndarray, p: np.ndarray) -> np.ndarray:
+        size = max(np.linalg.norm(h[3:6]), 1e-12)
+        v, axis, c, s = p - h[:3], h[3:6] / size, np.cos(h[6]), np.sin(h[6])
+        along = v @ axis
+        across = v - along[:, None] * axis
+        out = np.linalg.norm(across, axis=1)
+        e = across / np.maximum(out, 1e-12)[:, None]
+        return np.column_stack([s * axis - c * e, -(along * c + out * s)[:, None] * e / size, -out * s - along * c])
+
     @staticmethod
     def tidy(h: np.ndarray) -> np.ndarray:
         return np.concatenate([h[:3], h[3:6] / max(np.linalg.norm(h[3:6]), 1e-12), h[6:]])
@@ -100,30 +119,43 @@ class Box:
 
     @staticmethod
     def propose(p: np.ndarray, normals: np.ndarray, rng, sets: int, tolerance: float) -> np.ndarray:
-        out = []
-        for i, j in _sets(rng, len(p), 2, 2 * sets):
-            a, b = normals[i], normals[j]
-            b = b - a * (a @ b)
-            if np.linalg.norm(b) < 0.9:  # not square to each other
-                continue
-            b = b / np.linalg.norm(b)
-            r = np.stack([a, b, np.cross(a, b)], 1)
-            ends = np.zeros((2, 3))
-            for k in range(3):  # the outer faces: planes on which many points with that normal lie
-                x = np.sort((p @ r[:, k])[np.abs(normals @ r[:, k]) > 0.95])
-                n = np.searchsorted(x, x + 2 * tolerance, "right") - np.searchsorted(x, x - 2 * tolerance)
-                face = x[n >= 0.25 * n.max()] if len(x) else np.zeros(1)
-                ends[:, k] = face[0], face[-1]
-            out.append(np.concatenate([r @ (ends.sum(0) / 2), _vector(r[None])[0], (ends[1] - ends[0]) / 2]))
-            if len(out) == sets // 2:
-                break
-        return np.array(out).reshape(-1, 9)
+        i, j = _sets(rng, len(p), 2, 2 * sets).T
+        a, b = normals[i], normals[j]
+        b = b - a * (a * b).sum(1, keepdims=True)
+        square = np.flatnonzero(np.linalg.norm(b, axis=1) >= 0.9)[: sets // 2]  # to each other
+        a, b = a[square], b[square] / np.linalg.norm(b[square], axis=1, keepdims=True)
+        r = np.stack([a, b, np.cross(a, b)], 2)
+        axes = r.transpose(0, 2, 1).reshape(-1, 3)
+        # the outer faces: planes on which many points with that normal lie
+        on = np.abs(np.einsum("ak,nk->an", axes, normals)) > 0.95
+        x = np.sort(np.where(on, np.einsum("ak,nk->an", axes, p), np.inf), 1)
+        row, k = np.nonzero(np.isfinite(x))
+        low, high = (x[row, k].min(), x[row, k].max()) if len(row) else (0.0, 0.0)
+        y = x[row, k] - low + row * (high - low + 8 * tolerance)
+        n = np.zeros(x.shape, int)
+        n[row, k] = np.searchsorted(y, y + 2 * tolerance, "right") - np.searchsorted(y, y - 2 * tolerance)
+        face = (n >= 0.25 * n.max(1, keepdims=True, initial=0)) & (n > 0)
+        at, first, last = np.arange(len(x)), face.argmax(1), x.shape[1] - 1 - face[:, ::-1].argmax(1)
+        ends = np.stack([np.where(face.any(1), np.where(np.isfinite(x[at, e]), x[at, e], 0.0), 0.0).reshape(-1, 3) for e in (first, last)])
+        return np.concatenate([np.einsum("hij,hj->hi", r, ends.sum(0) / 2), _vector(r), (ends[1] - ends[0]) / 2], 1)
 
     @staticmethod
     def distance(h: np.ndarray, p: np.ndarray) -> np.ndarray:
         q = np.abs(np.einsum("hji,hnj->hni", rotation_of(h[:, 3:6]), p - h[:, None, :3])) - np.abs(h[:, None, 6:])
         return np.linalg.norm(np.maximum(q, 0), axis=2) + np.minimum(q.max(2), 0)
 
+    @staticmethod
+    def slopes(h: np.ndarray, p: np.ndarray) -> np.ndarray:
+        r = rotation_of(h[None, 3:6])[0]
+        q = (p - h[:3]) @ r
+        s = np.abs(q) - np.abs(h[6:])
+        out, top = np.maximum(s, 0), s.max(1, keepdims=True)
+        far = np.linalg.norm(out, axis=1, keepdims=True)
+        g = np.where(top > 0, out / np.maximum(far, 1e-300), s == top)
+        step = 1e-6 * np.maximum(1.0, np.abs(h[3:6]))
+        turned = Box.distance(np.tile(h, (6, 1)) + np.pad(np.concatenate([np.diag(step), -np.diag(step)]), ((0, 0), (3, 3))), p)
+        return np.column_stack([-(g * np.sign(q)) @ r.T, ((turned[:3] - turned[3:]) / (2 * step[:, None])).T, -g * np.sign(h[6:])])
+
     @staticmethod
     def tidy(h: np.ndarray) -> np.ndarray:
         return np.concatenate([h[:6], np.abs(h[6:])])
@@ -141,17 +173,90 @@ def _cloud(part) -> np.ndarray:
     return np.stack([np.asarray(part.x, float), np.asarray(part.y, float), np.asarray(part.z, float)], 1)
 
 
+def _support(solid, h: np.ndarray, p: np.ndarray, tolerance: float) -> np.ndarray:
+    return np.concatenate([(np.abs(solid.distance(h[a : a + 16], p)) <= tolerance).sum(1) for a in range(0, len(h), 16)])
+
+
+def _step(solid, h: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
+    """A hypothesis after a step by normal equations, and how large the step was."""
+    step = np.linalg.lstsq(a, b, rcond=1e-12)[0]
+    return solid.tidy(h - step), float(np.abs(step).max() / max(1.0, np.abs(h).max()))
+
+
+def _refined(solid, h: np.ndarray, p: np.ndarray, tolerance: float, rounds: int) -> tuple[int, float, np.ndarray]:
+    """(inliers, minus the sum of their squares, hypothesis) of the best of the steps from a hypothesis."""
+    best, size, since = (-1, 0.0, h), np.inf, 0
+    for k in range(4 * rounds + 1):
+        e = solid.distance(h[None], p)[0]
+        near = np.abs(e) <= tolerance
+        n = int(near.sum())
+        now = (n, -float((e[near] ** 2).sum()), h)
+        since = 0 if now[:2] > best[:2] else since + 1
+        best = best if since else now
+        if not n or k == 4 * rounds or size <= SETTLED or since == rounds:
+            break
+        j = solid.slopes(h, p[near])
+        h, size = _step(solid, h, np.einsum("ni,nj->ij", j, j), np.einsum("ni,n->i", j, e[near]))
+        if not np.isfinite(h).all():
+            break
+    return best
+
+
+def _fitted(p: np.ndarray, tolerance: float, kinds: tuple[str, ...], hypotheses: int, rounds: int) -> tuple[int, float, str, np.ndarray] | None:
+    """(inliers, sum of their squares, kind, hypothesis) of a whole cloud, whatever the order of its points."""
+    p = p[np.lexsort(p.T)]
+    drawn = p[np.random.default_rng(0).permutation(len(p))[:SAMPLE]]
+    normals, rng, best, reached = _normals(drawn), np.random.default_rng(0), None, []
+    for _ in range(BATCHES):
+        led = {}
+        for k, kind in enumerate(kinds):
+            solid = KINDS[kind]
+            h = solid.propose(drawn, normals, rng, hypotheses, tolerance) if len(p) >= solid.least else np.zeros((0, solid.width))
+            h = h[np.isfinite(h).all(1)]
+            if len(h):
+                led[k] = h[np.argsort(-_support(solid, h, p, tolerance), kind="stable")[:REFINED]]
+        for rank in range(REFINED):
+            for k in led if rank == 0 else [best[1]] if best and best[1] in led else []:
+                if rank < len(led[k]):
+                    n, off, h = _refined(KINDS[kinds[k]], led[k][rank], p, tolerance, rounds)
+                    reached.append(n)
+                    if best is None or (n, -k, off) > (best[0], -best[1], best[2]):
+                        best = n, k, off, h
+            if best and reached.count(best[0]) > 1:
+                break
+        if not led or reached.count(best[0]) > 1:
+            break
+    return best and (best[0], -best[2], kinds[best[1]], best[3])
+
+
+def _whole(tolerance: float, kinds: tuple[str, ...], hypotheses: int, rounds: int):
+    def run(table):
+        import pyarrow as pa
+
+        p = np.stack([table.column(c).to_numpy() for c in "xyz"], 1)
+        found = _fitted(p, tolerance, kinds, hypotheses, rounds)
+        n, off, kind, h = found or (0, 0.0, "", np.zeros(0))
+        out = {"kind": [kind], "h": pa.array([h.tolist()], pa.list_(pa.float64())), "inliers": [n], "squares": [off], "n": [len(p)]}
+        return pa.table({"cloud_id": table.column("cloud_id")[:1]} | out).slice(0, 1 if found else 0)
+
+    return run
+
+
 def _proposed(kinds: tuple[str, ...], sets: int, tolerance: float):
+    """The hypotheses of each kind that most drawn points lie on, of four times as many."""
+
     def run(key: tuple, frame):
         import pandas as pd
 
         p = frame.sort_values(["slot"])[["x", "y", "z"]].to_numpy(float)
-        rows, normals = [], _normals(p)
+        rows, normals, rng = [], _normals(p), np.random.default_rng(0)
         for kind in kinds:
-            if len(p) >= KINDS[kind].least:
-                h = KINDS[kind].propose(p, normals, np.random.default_rng(0), sets, tolerance)
+            solid = KINDS[kind]
+            if len(p) >= solid.least:
+                h = np.concatenate([solid.propose(p, normals, rng, sets, tolerance) for _ in range(4)])
                 h = h[np.isfinite(h).all(1)]
                 if len(h):
+                    h = h[np.argsort(-_support(solid, h, p, tolerance), kind="stable")[:sets]]
                     rows.append((key[0], kind, h.ravel().tolist()))
         return pd.DataFrame(rows, columns=["cloud_id", "kind", "h"])
 
@@ -165,9 +270,8 @@ def _judged(tolerance: float):
         for frame in frames:
             rows = []
             for part in frame.itertuples():
-                p, solid = _cloud(part), KINDS[part.kind]
-                h = np.asarray(part.h, float).reshape(-1, solid.width)
-                n = np.concatenate([(np.abs(solid.distance(h[a : a + 16], p)) <= tolerance).sum(1) for a in range(0, len(h), 16)])
+                solid = KINDS[part.kind]
+                n = _support(solid, np.asarray(part.h, float).reshape(-1, solid.width), _cloud(part), tolerance)
                 rows += [(part.cloud_id, part.kind, i, int(c)) for i, c in enumerate(n)]
             yield pd.DataFrame(rows, columns=["cloud_id", "kind", "i", "inliers"])
 
@@ -179,7 +283,7 @@ _CELLS = np.triu_indices(9)
 
 
 def _summed(tolerance: float):
-    """Normal equations of the inliers of each part, with slopes by differences; unused parameters stay zero."""
+    """Normal equations of the inliers of each part; unused parameters stay zero."""
 
     def run(frames: Iterator) -> Iterator:
         import pandas as pd
@@ -192,13 +296,10 @@ def _summed(tolerance: float):
                 e = solid.distance(h[None], p)[0]
                 near = np.abs(e) <= tolerance
                 e, p, w = e[near], p[near], solid.width
-                step = 1e-6 * np.maximum(1.0, np.abs(h))
-                both = np.concatenate([h + np.diag(step), h - np.diag(step)])
-                d = solid.distance(both, p)
                 j = np.zeros((len(p), 9))
-                j[:, :w] = ((d[:w] - d[w:]) / (2 * step[:, None])).T
-                rows.append((part.cloud_id, part.kind, *(j.T @ j)[_CELLS], *(j.T @ e), int(near.sum()), float((e * e).sum())))
-            yield pd.DataFrame(rows, columns=["cloud_id", "kind", *_SUMS, "inliers", "squares"])
+                j[:, :w] = solid.slopes(h, p)
+                rows.append((part.cloud_id, part.kind, part.i, *(j.T @ j)[_CELLS], *(j.T @ e), int(near.sum()), float((e * e).sum())))
+            yield pd.DataFrame(rows, columns=["cloud_id", "kind", "i", *_SUMS, "inliers", "squares"])
 
     return run
 
@@ -210,9 +311,8 @@ def _stepped(frames: Iterator) -> Iterator:
             solid, h = KINDS[row.kind], np.asarray(row.h, float)
             a, w = np.zeros((9, 9)), solid.width
             a[_CELLS] = a.T[_CELLS] = sums[: len(_CELLS[0])]
-            step = np.linalg.lstsq(a[:w, :w], sums[len(_CELLS[0]) :][:w], rcond=1e-12)[0] if row.inliers else np.zeros(w)
-            out.append(solid.tidy(h - step).tolist())
-        yield frame.assign(h=out)[["cloud_id", "kind", "h"]]
+            out.append((_step(solid, h, a[:w, :w], sums[len(_CELLS[0]) :][:w])[0] if row.inliers else h).tolist())
+        yield frame.assign(h=out)[["cloud_id", "kind", "i", "h"]]
 
 
 def _told(frames: Iterator) -> Iterator:
@@ -236,24 +336,36 @@ def fit_solids(points: DataFrame, tolerance: float, kinds: tuple[str, ...] = ("s
     share times exp(-residual / tolerance), our choice. Rows with nulls are left out, repeated points count each, and clouds that give no hypothesis (under 4 or 10 points, or all in one place) have no row.
     """
     id_kind = points.schema["cloud_id"].dataType.simpleString()
-    rows = points.select("cloud_id", *[F.col(c).cast("double").alias(c) for c in "xyz"]).dropna().withColumn("hash", F.xxhash64("x", "y", "z"))
+    rows = points.select("cloud_id", *[F.col(c).cast("double").alias(c) for c in "xyz"]).dropna()
     sizes = rows.groupBy("cloud_id").agg(F.count("*").alias("n"))
-    dealt = rows.join(sizes, "cloud_id").withColumn("part", F.abs(F.xxhash64("hash", F.lit("part")) % F.ceil(F.col("n") / PART)))
+    large = durable(sizes.where(F.col("n") > PART), "large")
+    some = bool(large.limit(1).count())
+    rest = rows.join(large.select("cloud_id"), "cloud_id", "left_anti") if some else rows
+    found = rest.groupBy("cloud_id").applyInArrow(_whole(tolerance, tuple(kinds), hypotheses, rounds), f"cloud_id {id_kind}, kind string, h array<double>, inliers long, squares double, n long")
+    if some:
+        found = found.unionByName(_dealt(rows.join(large, "cloud_id"), id_kind, tolerance, tuple(kinds), hypotheses, rounds).join(large, "cloud_id"))
+    return found.withColumn("tolerance", F.lit(float(tolerance))).mapInPandas(_told, f"cloud_id {id_kind}, kind string, cx double, cy double, cz double, shape array<double>, size1 double, size2 double, size3 double, n long, inliers long, residual double, confidence double")
+
+
+def _dealt(rows: DataFrame, id_kind: str, tolerance: float, kinds: tuple[str, ...], hypotheses: int, rounds: int) -> DataFrame:
+    """(cloud_id, kind, h, inliers, squares) of clouds (cloud_id, x, y, z, n) whose points are dealt into parts; `REFINED` hypotheses of a kind take 2 * rounds steps."""
+    rows = rows.withColumn("hash", F.xxhash64("x", "y", "z"))
+    dealt = rows.withColumn("part", F.abs(F.xxhash64("hash", F.lit("part")) % F.ceil(F.col("n") / PART)))
     parts = durable(dealt.groupBy("cloud_id", "part").agg(F.collect_list(F.struct("x", "y", "z")).alias("p")).select("cloud_id", *[F.col(f"p.{c}").alias(c) for c in "xyz"]), "clouds")
     drawn = rows.groupBy("cloud_id", F.pmod("hash", F.lit(SAMPLE)).alias("slot")).agg(F.min(F.struct("hash", "x", "y", "z")).alias("m")).select("cloud_id", "slot", "m.x", "m.y", "m.z")
-    guesses = durable(drawn.groupBy("cloud_id").applyInPandas(_proposed(tuple(kinds), hypotheses, tolerance), f"cloud_id {id_kind}, kind string, h array<double>"), "guesses")
+    guesses = durable(drawn.groupBy("cloud_id").applyInPandas(_proposed(kinds, hypotheses, tolerance), f"cloud_id {id_kind}, kind string, h array<double>"), "guesses")
     votes = parts.join(guesses, "cloud_id").mapInPandas(_judged(tolerance), f"cloud_id {id_kind}, kind string, i int, inliers long").groupBy("cloud_id", "kind", "i").agg(F.sum("inliers").alias("inliers"))
-    best = votes.groupBy("cloud_id", "kind").agg(F.max(F.struct("inliers", (-F.col("i")).alias("i"))).alias("b")).select("cloud_id", "kind", (-F.col("b.i")).alias("i"))
+    best = votes.withColumn("rank", F.row_number().over(Window.partitionBy("cloud_id", "kind").orderBy(F.desc("inliers"), "i"))).where(F.col("rank") <= REFINED).select("cloud_id", "kind", "i")
     width = F.element_at(F.create_map(*[F.lit(x) for k, s in KINDS.items() for x in (k, s.width)]), F.col("kind"))
-    fit = durable(guesses.join(best, ["cloud_id", "kind"]).select("cloud_id", "kind", F.slice("h", F.col("i") * width + 1, width).alias("h")), "solids")
-    columns = f"cloud_id {id_kind}, kind string, " + ", ".join(f"{c} double" for c in _SUMS) + ", inliers long, squares double"
+    fit = durable(guesses.join(best, ["cloud_id", "kind"]).select("cloud_id", "kind", "i", F.slice("h", F.col("i") * width + 1, width).alias("h")), "solids")
+    columns = f"cloud_id {id_kind}, kind string, i int, " + ", ".join(f"{c} double" for c in _SUMS) + ", inliers long, squares double"
 
     def sums(fit: DataFrame) -> DataFrame:
-        return parts.join(fit, "cloud_id").mapInPandas(_summed(tolerance), columns).groupBy("cloud_id", "kind").agg(*[F.sum(c).alias(c) for c in (*_SUMS, "inliers", "squares")])
+        return parts.join(fit, "cloud_id").mapInPandas(_summed(tolerance), columns).groupBy("cloud_id", "kind", "i").agg(*[F.sum(c).alias(c) for c in (*_SUMS, "inliers", "squares")])
 
-    for _ in range(rounds):
-        fit = durable(sums(fit).join(fit, ["cloud_id", "kind"]).mapInPandas(_stepped, f"cloud_id {id_kind}, kind string, h array<double>"), "solids")
+    for _ in range(2 * rounds):
+        before, fit = fit, durable(sums(fit).join(fit, ["cloud_id", "kind", "i"]).mapInPandas(_stepped, f"cloud_id {id_kind}, kind string, i int, h array<double>"), "solids")
+        discard(before)
     order = F.element_at(F.create_map(*[F.lit(x) for k, name in enumerate(kinds) for x in (name, -k)]), F.col("kind"))
-    final = sums(fit).join(fit, ["cloud_id", "kind"]).groupBy("cloud_id").agg(F.max(F.struct("inliers", order.alias("order"), (-F.col("squares")).alias("off"), "kind", "h")).alias("b"))
-    told = final.join(sizes, "cloud_id").select("cloud_id", "b.kind", "b.h", "b.inliers", (-F.col("b.off")).alias("squares"), "n", F.lit(float(tolerance)).alias("tolerance"))
-    return told.mapInPandas(_told, f"cloud_id {id_kind}, kind string, cx double, cy double, cz double, shape array<double>, size1 double, size2 double, size3 double, n long, inliers long, residual double, confidence double")
+    final = sums(fit).join(fit, ["cloud_id", "kind", "i"]).groupBy("cloud_id").agg(F.max(F.struct("inliers", order.alias("order"), (-F.col("squares")).alias("off"), "kind", "h")).alias("b"))
+    return final.select("cloud_id", "b.kind", "b.h", "b.inliers", (-F.col("b.off")).alias("squares"))

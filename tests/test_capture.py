@@ -531,3 +531,29 @@ def test_parts_dealt_by_cells_as_whole(spark, monkeypatch):
     whole = clouds.segment_cloud(d, 15.0).collect()
     monkeypatch.setattr(clouds, "WHOLE", 0)
     assert sorted(whole) == sorted(clouds.segment_cloud(d, 15.0).collect()) and len({r["part"] for r in whole}) >= 9
+
+
+def test_boxes_with_outliers_are_all_found():
+    """Every one of 60 boxes of 600 points, one in eight far off, is found exactly; by one draw of hypotheses some are not."""
+    from prismark.operators import solids
+
+    rng, turn = np.random.default_rng(8), np.array(yaw(37)).reshape(3, 3)
+    for k in range(60):
+        half = (20.0 + k % 25) * np.array([2.0, 1.5, 1.0])
+        face, p = rng.integers(0, 6, 600), rng.uniform(-1, 1, (600, 3))
+        p[np.arange(600), face // 2] = np.where(face % 2, 1.0, -1.0)
+        far = (rng.random(600) < 0.125)[:, None] * rng.uniform(400, 700, (600, 1)) * [1, rng.random(), -1]
+        n, off, kind, h = solids._fitted((p * half) @ turn.T + [10.0, 0, 0] + far, 0.5, tuple(solids.KINDS), 64, 6)
+        assert (kind, n) == ("box", (far[:, 0] == 0).sum()) and off < 1e-12
+        assert solids.Box.sizes(h) == pytest.approx(sorted(2 * half, reverse=True), abs=1e-6) and h[:3] == pytest.approx([10, 0, 0], abs=1e-6)
+
+
+def test_solids_dealt_or_whole(spark, monkeypatch):
+    from prismark.operators import solids
+
+    d = spark.createDataFrame([(c, *map(float, p)) for c, cloud in enumerate(planted_clouds(4)) for p in cloud], "cloud_id long, x double, y double, z double")
+    both = []
+    for part in (300, 4096):
+        monkeypatch.setattr(solids, "PART", part)
+        both.append(sorted(solids.fit_solids(d, tolerance=0.3).select("cloud_id", "kind", "n", "inliers", F.round("size1", 3)).collect()))
+    assert both[0] == both[1] and len(both[0]) == 3
