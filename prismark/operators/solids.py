@@ -204,6 +204,8 @@ def _refined(solid, h: np.ndarray, p: np.ndarray, tolerance: float, rounds: int)
 
 def _fitted(p: np.ndarray, tolerance: float, kinds: tuple[str, ...], hypotheses: int, rounds: int) -> tuple[int, float, str, np.ndarray] | None:
     """(inliers, sum of their squares, kind, hypothesis) of a whole cloud, whatever the order of its points."""
+    if not len(p):
+        return None
     p = p[np.lexsort(p.T)]
     drawn = p[np.random.default_rng(0).permutation(len(p))[:SAMPLE]]
     normals, rng, best, reached = _normals(drawn), np.random.default_rng(0), None, []
@@ -234,6 +236,7 @@ def _whole(tolerance: float, kinds: tuple[str, ...], hypotheses: int, rounds: in
         import pyarrow as pa
 
         p = np.stack([table.column(c).to_numpy() for c in "xyz"], 1)
+        p = p[~np.isnan(p).any(1)]
         found = _fitted(p, tolerance, kinds, hypotheses, rounds)
         n, off, kind, h = found or (0, 0.0, "", np.zeros(0))
         out = {"kind": [kind], "h": pa.array([h.tolist()], pa.list_(pa.float64())), "inliers": [n], "squares": [off], "n": [len(p)]}
@@ -336,14 +339,15 @@ def fit_solids(points: DataFrame, tolerance: float, kinds: tuple[str, ...] = ("s
     share times exp(-residual / tolerance), our choice. Rows with nulls are left out, repeated points count each, and clouds that give no hypothesis (under 4 or 10 points, or all in one place) have no row.
     """
     id_kind = points.schema["cloud_id"].dataType.simpleString()
-    rows = points.select("cloud_id", *[F.col(c).cast("double").alias(c) for c in "xyz"]).dropna()
-    sizes = rows.groupBy("cloud_id").agg(F.count("*").alias("n"))
-    large = durable(sizes.where(F.col("n") > PART), "large")
+    rows = points.select("cloud_id", *[F.col(c).cast("double").alias(c) for c in "xyz"]).where("cloud_id is not null")  # places are looked at in the tasks: a filter would compute them once more
+    large = durable(rows.groupBy("cloud_id").agg(F.count("*").alias("rows")).where(F.col("rows") > PART).select("cloud_id"), "large")
     some = bool(large.limit(1).count())
-    rest = rows.join(large.select("cloud_id"), "cloud_id", "left_anti") if some else rows
+    rest = rows.join(large, "cloud_id", "left_anti") if some else rows
     found = rest.groupBy("cloud_id").applyInArrow(_whole(tolerance, tuple(kinds), hypotheses, rounds), f"cloud_id {id_kind}, kind string, h array<double>, inliers long, squares double, n long")
     if some:
-        found = found.unionByName(_dealt(rows.join(large, "cloud_id"), id_kind, tolerance, tuple(kinds), hypotheses, rounds).join(large, "cloud_id"))
+        rows = rows.join(large, "cloud_id", "left_semi").dropna()
+        sizes = rows.groupBy("cloud_id").agg(F.count("*").alias("n"))
+        found = found.unionByName(_dealt(rows.join(sizes, "cloud_id"), id_kind, tolerance, tuple(kinds), hypotheses, rounds).join(sizes, "cloud_id"))
     return found.withColumn("tolerance", F.lit(float(tolerance))).mapInPandas(_told, f"cloud_id {id_kind}, kind string, cx double, cy double, cz double, shape array<double>, size1 double, size2 double, size3 double, n long, inliers long, residual double, confidence double")
 
 
