@@ -16,6 +16,8 @@ from ..storage import durable
 
 #: Matches of a part, about.
 PART = 4_096
+#: How often hypotheses are drawn at most, the chance to miss at which drawing ends, and how many of each draw are fitted to their inliers.
+BATCHES, MISS, FITTED = 64, 1e-9, 4
 _SQUARE = [f"a{i}{j}" for i in range(9) for j in range(i, 9)]
 _UPPER = np.triu_indices(9)
 
@@ -53,7 +55,9 @@ def _places(part) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([part.x1, part.y1, one], 1), np.stack([part.x2, part.y2, one], 1)
 
 
-def _drawn(hypotheses: int):
+def _drawn(hypotheses: int, most: float):
+    """The best hypotheses by a pair's drawn matches, of as many sets as make a set without wrong matches all but sure."""
+
     def run(key: tuple, frame):
         import pandas as pd
 
@@ -61,9 +65,28 @@ def _drawn(hypotheses: int):
         if len(f) < 8:
             return pd.DataFrame({"pair_id": [], "e": []})
         rng = np.random.default_rng(0)  # which matches are drawn is told by their hashes
-        rows = np.argsort(rng.random((hypotheses, len(f))), axis=1)[:, :8]
-        a = _terms(*(f[c].to_numpy(float) for c in ("x1", "y1", "x2", "y2")))[rows]
-        return pd.DataFrame({"pair_id": [key[0]], "e": [essential_of(np.einsum("hki,hkj->hij", a, a)).ravel().tolist()]})
+        x1, y1, x2, y2 = (f[c].to_numpy(float) for c in ("x1", "y1", "x2", "y2"))
+        terms, one = _terms(x1, y1, x2, y2), np.ones(len(f))
+        a, b = np.stack([x1, y1, one], 1), np.stack([x2, y2, one], 1)
+        best, votes = np.zeros((0, 3, 3)), np.zeros(0, int)
+        for k in range(BATCHES):
+            rows = np.argsort(rng.random((hypotheses, len(f))), axis=1)[:, :8]
+            s = terms[rows]
+            e = essential_of(np.einsum("hki,hkj->hij", s, s))
+            near = sampson(e, a, b) <= most
+            lead = np.argsort(-near.sum(1), kind="stable")[:FITTED]
+            for _ in range(3):  # the first ones fitted to their inliers
+                w = near[lead].astype(float)
+                fit = essential_of(np.einsum("hn,ni,nj->hij", w, terms, terms, optimize=True))
+                now = sampson(fit, a, b) <= most
+                better = now.sum(1) >= np.maximum(near[lead].sum(1), 8)
+                e[lead[better]], near[lead[better]] = fit[better], now[better]
+            best, votes = np.concatenate([best, e]), np.concatenate([votes, near.sum(1)])
+            order = np.argsort(-votes, kind="stable")[:hypotheses]
+            best, votes = best[order], votes[order]
+            if (k + 1) * hypotheses * np.log1p(-min((votes[0] / len(f)) ** 8, 1 - 1e-9)) <= np.log(MISS):
+                break
+        return pd.DataFrame({"pair_id": [key[0]], "e": [best.ravel().tolist()]})
 
     return run
 
@@ -144,8 +167,9 @@ def _chosen(frames: Iterator) -> Iterator:
 def relative_poses(matches: DataFrame, k: tuple[float, float, float, float], most_pixels: float = 1.0, hypotheses: int = 64, sample: int = 256, refinements: int = 2) -> DataFrame:
     """(pair_id, n, inliers, votes, essential, rotation, shift) of matches (pair_id, u1, v1, u2, v2), with x2 ~ R x1 + t for camera coordinates and a unit shift.
 
-    Of each pair `hypotheses` sets of eight matches, drawn from up to `sample` matches (the least hash of each of so many slots), give an essential matrix each; the one with most inliers of all
-    the pair's matches (Sampson distance up to `most_pixels`), the first of equal ones, is fitted anew to its inliers. The pose of the four for which most inliers lie before both cameras is
+    Of each pair sets of eight matches, drawn from up to `sample` matches (the least hash of each of so many slots), give an essential matrix each; `hypotheses` of them are drawn at a time, until
+    by the best one's share of inliers a set without a wrong match was all but surely among them, and so many are kept. The one with most inliers of all the pair's matches (Sampson distance up
+    to `most_pixels`), the first of equal ones, is fitted anew to its inliers; of the fits the one with most inliers holds, the last of equal ones. The pose of the four for which most inliers lie before both cameras is
     returned. Pairs with less than eight matches are left out, as are matches with nulls; repeated matches count each. Matches of points in one plane, or without a shift, do not tell a pose.
     """
     fx, fy, cx, cy = k
@@ -158,15 +182,21 @@ def relative_poses(matches: DataFrame, k: tuple[float, float, float, float], mos
     few = packed.where("n >= 8").select("pair_id", F.explode("least").alias("m"))
     ranked = few.groupBy("pair_id", F.pmod("m.h", F.lit(sample)).alias("slot")).agg(F.min("m").alias("m"))
     kind = matches.schema["pair_id"].dataType.simpleString()
-    guesses = durable(ranked.select("pair_id", "m.*").groupBy("pair_id").applyInPandas(_drawn(hypotheses), f"pair_id {kind}, e array<double>"), "guesses")
-    parts = packed.select("pair_id", "x1", "y1", "x2", "y2")
     most = most_pixels / max(fx, fy)
+    guesses = durable(ranked.select("pair_id", "m.*").groupBy("pair_id").applyInPandas(_drawn(hypotheses, most), f"pair_id {kind}, e array<double>"), "guesses")
+    parts = packed.select("pair_id", "x1", "y1", "x2", "y2")
     counted = parts.join(guesses, "pair_id").mapInPandas(_votes(most), f"pair_id {kind}, h int, inliers long").groupBy("pair_id", "h").agg(F.sum("inliers").alias("inliers"))
     best = counted.groupBy("pair_id").agg(F.max(F.struct("inliers", (-F.col("h")).alias("h"))).alias("b")).select("pair_id", (-F.col("b.h")).alias("h"))
     fit = durable(guesses.join(best, "pair_id").select("pair_id", F.slice("e", F.col("h") * 9 + 1, 9).alias("e")), "essential")
-    for _ in range(refinements):
+    fits = fit.withColumn("k", F.lit(0))
+    for k in range(refinements):
         sums = parts.join(fit, "pair_id").mapInPandas(_squares(most), f"pair_id {kind}, " + ", ".join(f"{c} double" for c in _SQUARE)).groupBy("pair_id").agg(*[F.sum(c).alias(c) for c in _SQUARE])
         fit = durable(sums.mapInPandas(_refined, f"pair_id {kind}, e array<double>"), "essential")
+        fits = fits.unionByName(fit.withColumn("k", F.lit(k + 1)))
+    all_fits = fits.groupBy("pair_id").agg(F.sort_array(F.collect_list(F.struct("k", "e"))).alias("f")).select("pair_id", F.flatten("f.e").alias("e"))
+    counted = parts.join(all_fits, "pair_id").mapInPandas(_votes(most), f"pair_id {kind}, h int, inliers long").groupBy("pair_id", "h").agg(F.sum("inliers").alias("inliers"))
+    best = counted.groupBy("pair_id").agg(F.max(F.struct("inliers", "h")).alias("b")).select("pair_id", F.col("b.h").alias("h"))
+    fit = durable(all_fits.join(best, "pair_id").select("pair_id", F.slice("e", F.col("h") * 9 + 1, 9).alias("e")), "essential")
     votes = parts.join(fit, "pair_id").mapInPandas(_ahead(most), f"pair_id {kind}, pose int, votes long, inliers long").groupBy("pair_id", "pose").agg(F.sum("votes").alias("votes"), F.sum("inliers").alias("inliers"))
     won = votes.groupBy("pair_id").agg(F.max(F.struct("votes", (-F.col("pose")).alias("p"), "inliers")).alias("w")).select("pair_id", "w.votes", "w.inliers", (-F.col("w.p")).alias("pose"))
     out = won.join(fit, "pair_id").join(sizes, "pair_id").withColumn("essential", F.col("e"))

@@ -557,3 +557,14 @@ def test_solids_dealt_or_whole(spark, monkeypatch):
         monkeypatch.setattr(solids, "PART", part)
         both.append(sorted(solids.fit_solids(d, tolerance=0.3).select("cloud_id", "kind", "n", "inliers", F.round("size1", 3)).collect()))
     assert both[0] == both[1] and len(both[0]) == 3
+
+
+def test_relative_poses_with_many_wrong_matches(spark):
+    """Of 40 pairs with up to half of their matches wrong every one is found (a wrong match may lie on its line by chance); of one draw of 64 sets most hold a wrong match."""
+    from prismark.operators import epipolar
+
+    pairs = {s: two_views(s, 300, 0.27 if s % 4 else 0.5) for s in range(100, 140)}
+    rows = [(s, *m) for s, (matches, _, _) in pairs.items() for m in matches]
+    got = {x["pair_id"]: x for x in epipolar.relative_poses(spark.createDataFrame(rows, "pair_id int, u1 double, v1 double, u2 double, v2 double"), K, most_pixels=0.5).collect()}
+    for s, (_, r, t) in pairs.items():
+        assert np.allclose(np.array(got[s]["rotation"]).reshape(3, 3), r, atol=3e-3) and np.allclose(got[s]["shift"], t, atol=3e-2), s
