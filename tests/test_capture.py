@@ -568,3 +568,32 @@ def test_relative_poses_with_many_wrong_matches(spark):
     got = {x["pair_id"]: x for x in epipolar.relative_poses(spark.createDataFrame(rows, "pair_id int, u1 double, v1 double, u2 double, v2 double"), K, most_pixels=0.5).collect()}
     for s, (_, r, t) in pairs.items():
         assert np.allclose(np.array(got[s]["rotation"]).reshape(3, 3), r, atol=3e-3) and np.allclose(got[s]["shift"], t, atol=3e-2), s
+
+
+def test_rays_of_one_far_camera_round_as_in_sql():
+    """Two rays of one camera meet in its centre; whether that lies before the camera is rounding, which must be that of the SQL's sums and minors."""
+    from prismark.streaming import reconstruct
+
+    rng, n = np.random.default_rng(6), 3000
+    track, u, w = np.repeat(np.arange(n), 2), 600.0 + rng.integers(1, 51, 2 * n), 400.0 + 10.0 * rng.integers(1, 8, 2 * n)
+    s = np.repeat(rng.integers(1, 60_000, n), 2)
+    origin = np.stack([10.0 * s, 5.0 * (s % 9), np.full(2 * n, -5.0)], 1)
+    found, _, error = reconstruct.triangulate(track, n, u, w, origin, np.tile(np.eye(3).ravel(), (2 * n, 1)).reshape(-1, 3, 3), (900.0, 800.0, 640.0, 480.0))
+    ahead = 0
+    for k in range(n):
+        m, b = [0.0] * 6, [0.0] * 3
+        for i in (2 * k, 2 * k + 1):
+            p, q = (float(u[i]) - 640.0) / 900.0, (float(w[i]) - 480.0) / 800.0
+            dx, dy, dz = (c / math.sqrt(p * p + q * q + 1) for c in (p, q, 1))
+            ox, oy, oz = map(float, origin[i])
+            m = [x + y for x, y in zip(m, (1 - dx * dx, -dx * dy, -dx * dz, 1 - dy * dy, -dy * dz, 1 - dz * dz))]
+            b = [x + y for x, y in zip(b, [o - d * (dx * ox + dy * oy + dz * oz) for o, d in ((ox, dx), (oy, dy), (oz, dz))])]
+        m00, m01, m02, m11, m12, m22 = m
+        det = m00 * (m11 * m22 - m12 * m12) - m01 * (m01 * m22 - m12 * m02) + m02 * (m01 * m12 - m11 * m02)
+        if det == 0:
+            assert np.isnan(found[k, 2])
+            continue
+        z = (m00 * (m11 * b[2] - b[1] * m12) - m01 * (m01 * b[2] - b[1] * m02) + b[0] * (m01 * m12 - m11 * m02)) / det
+        assert found[k, 2] == z and np.isfinite(error[k]) == (z + 5.0 > 1e-9)
+        ahead += z + 5.0 > 1e-9
+    assert ahead > 0
