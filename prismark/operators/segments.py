@@ -6,6 +6,9 @@ import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from ..storage import durable
 
 
 def runs(cells: DataFrame, least_span: int = 3, keys: tuple[str, ...] = ("view_id", "r"), at: str = "c") -> DataFrame:
@@ -59,19 +62,71 @@ def corners(pixels: DataFrame, threshold: float, k: float = 0.04) -> DataFrame:
     return m.join(best, ["view_id", "r", "c"]).where((F.col("x.r") == -F.col("r")) & (F.col("x.c") == -F.col("c"))).drop("x")
 
 
+#: Runs of a view that one task takes whole, and runs of many views that it takes together, about.
+WHOLE, TOGETHER = 1 << 17, 1 << 15
+
+
 def edge_components(cells: DataFrame, rounds: int = 64) -> DataFrame:
     """(view_id, r, c, component): 8-connected components of edge cells, by least cell; connectivity is our choice.
 
-    Runs within rows are found first, so that the iteration is over runs, not cells.
+    Runs within rows are found first, so that the iteration is over runs, not cells. Views of up to `WHOLE` runs are dealt to groups of views, each one task's
+    work; the runs of larger ones are linked by joins, in rounds.
     """
-    spans = runs(cells, 0).withColumn("node", F.xxhash64("view_id", "r", "x1"))
-    a, b = spans.alias("a"), spans.alias("b")
-    touch = a.join(b, (F.col("a.view_id") == F.col("b.view_id")) & (F.col("a.r") + 1 == F.col("b.r")) & (F.col("a.x1") <= F.col("b.x2") + 1) & (F.col("b.x1") <= F.col("a.x2") + 1))
+    spans = durable(runs(cells, 0).withColumn("node", F.xxhash64("view_id", "r", "x1")), "runs")
+    large = durable(spans.groupBy("view_id").agg(F.count("*").alias("n")).where((F.col("n") > WHOLE) & F.col("view_id").isNotNull()).select("view_id"), "large")
+    some = bool(large.limit(1).count())
+    rest = spans.join(large, "view_id", "left_anti") if some else spans
+    group = F.pmod(F.xxhash64("view_id", F.lit("group")), F.lit(spans.count() // TOGETHER + 1))
+    labelled = rest.withColumn("group", group).groupBy("group").applyInArrow(_labelled, StructType([*spans.schema.fields, StructField("component", LongType())]))
+    if some:
+        labelled = labelled.unionByName(_linked(spans.join(large, "view_id", "left_semi"), rounds).select(*labelled.columns))
+    return labelled.select("view_id", "r", F.explode(F.sequence("x1", "x2")).alias("c"), "component")
+
+
+def _labelled(table):
+    """Runs of some whole views with the least node that each run reaches; runs without a view or row touch none."""
+    import numpy as np
+    import pyarrow as pa
+
+    table = table.drop_columns(["group"])
+    whole = lambda c: c.fill_null(0).cast(pa.int64()).to_numpy()
+    r, x1, x2, node = (whole(table.column(c)) for c in ("r", "x1", "x2", "node"))
+    view = table.column("view_id").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy().astype(np.int64)
+    view = np.where(table.column("r").is_null().to_numpy(), -1, view)
+    order = np.lexsort((x1, r, view))
+    v, r, a1, a2 = view[order], r[order], x1[order], x2[order]
+    new = np.append(True, (np.diff(v) != 0) | (np.diff(r) != 0))
+    row = np.cumsum(new) - 1
+    head = np.flatnonzero(new)
+    follows = np.append((np.diff(v[head]) == 0) & (np.diff(r[head]) == 1), False) & (v[head] >= 0)
+    low, width = a1.min(), a2.max() - a1.min() + 4
+    own = np.flatnonzero(follows[row])
+    at = (row[own] + 1) * width - low
+    first, last = np.searchsorted(row * width + a2 - low, at + a1[own] - 1, "left"), np.searchsorted(row * width + a1 - low, at + a2[own] + 1, "right")
+    n = np.maximum(last - first, 0)
+    a = np.repeat(own, n)
+    b = np.repeat(first, n) + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+    a, b = order[a], order[b]
+    by = np.argsort(node, kind="stable")
+    label = np.empty(len(node), np.int64)
+    label[by] = np.arange(len(node))
+    while True:
+        before = label.copy()
+        np.minimum.at(label, a, before[b])
+        np.minimum.at(label, b, before[a])
+        label = np.minimum(label, label[by[label]])
+        if (label == before).all():
+            return table.append_column("component", pa.array(node[by[label]]))
+
+
+def _linked(spans: DataFrame, rounds: int) -> DataFrame:
+    """Runs with the least node that each reaches, however many runs a view has."""
     from .graphs import connected
 
+    a, b = spans.alias("a"), spans.alias("b")
+    touch = a.join(b, (F.col("a.view_id") == F.col("b.view_id")) & (F.col("a.r") + 1 == F.col("b.r")) & (F.col("a.x1") <= F.col("b.x2") + 1) & (F.col("b.x1") <= F.col("a.x2") + 1))
     labels = connected(touch.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")), rounds)
-    labelled = spans.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    return labelled.select("view_id", "r", F.explode(F.sequence("x1", "x2")).alias("c"), "component")
+    return spans.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def ellipses(cells: DataFrame, keys: tuple[str, ...] = ("view_id", "component"), x: str = "c", y: str = "r", least: int = 3) -> DataFrame:

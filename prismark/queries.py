@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import imaging as im
@@ -447,8 +447,8 @@ def edge_components(spark: SparkSession, folder: str) -> DataFrame:
     """Connected components of edge cells (A13), told by their first cell: orders are rows, eight a view, line numbers columns."""
     cells = table(spark, folder, "lineitem").select(F.floor(F.col("l_orderkey") / 8).alias("view_id"), F.col("l_orderkey").alias("r"), F.col("l_linenumber").alias("c"))
     found = segments.edge_components(cells)
-    first = found.groupBy("view_id", "component").agg(F.min(F.struct("r", "c")).alias("f"))
-    return found.join(first, ["view_id", "component"]).select("view_id", "r", "c", F.col("f.r").alias("first_r"), F.col("f.c").alias("first_c"))
+    first = F.min(F.struct("r", "c")).over(Window.partitionBy("view_id", "component"))
+    return found.withColumn("f", first).select("view_id", "r", "c", F.col("f.r").alias("first_r"), F.col("f.c").alias("first_c"))
 
 
 from . import capture_queries, document_queries, scene_queries  # noqa: E402, F401  they register themselves

@@ -597,3 +597,29 @@ def test_rays_of_one_far_camera_round_as_in_sql():
         assert found[k, 2] == z and np.isfinite(error[k]) == (z + 5.0 > 1e-9)
         ahead += z + 5.0 > 1e-9
     assert ahead > 0
+
+
+@pytest.mark.parametrize("whole, together", [(1 << 17, 1 << 15), (1 << 17, 10), (60, 10), (0, 10)])
+def test_components_of_views_taken_whole_or_linked(spark, monkeypatch, whole, together):
+    from prismark.operators import segments
+
+    monkeypatch.setattr(segments, "WHOLE", whole)
+    monkeypatch.setattr(segments, "TOGETHER", together)
+    rng = np.random.default_rng(3)
+    cells = {(view, int(r), int(c)) for view in range(6) for r, c in rng.integers(-3, 12 + view, (40 + 30 * view, 2))}
+    rows = [*cells, *list(cells)[:20], (None, 0, 0), (None, 1, 0)]
+    got = [tuple(x) for x in segments.edge_components(spark.createDataFrame(rows, "view_id long, r int, c int").repartition(3)).collect()]
+    want, left = set(), set(cells)
+    while left:
+        part, stack = set(), [left.pop()]
+        while stack:
+            v, r, c = stack.pop()
+            part.add((v, r, c))
+            near = {(v, r + i, c + j) for i in (-1, 0, 1) for j in (-1, 0, 1)} & left
+            left -= near
+            stack += near
+        want.add(frozenset(part))
+    of = defaultdict(set)
+    for v, r, c, component in got:
+        of[v, component].add((v, r, c))
+    assert {frozenset(x) for (v, _), x in of.items() if v is not None} == want and len(got) == len(cells) + 2
