@@ -623,3 +623,21 @@ def test_components_of_views_taken_whole_or_linked(spark, monkeypatch, whole, to
     for v, r, c, component in got:
         of[v, component].add((v, r, c))
     assert {frozenset(x) for (v, _), x in of.items() if v is not None} == want and len(got) == len(cells) + 2
+
+
+def test_state_is_not_kept_in_memory_between_queries(spark, monkeypatch):
+    """A stream fed by batches keeps no versions of its state in memory and has partitions by its rows; the session's settings come back."""
+    from prismark.streaming import reconstruct
+
+    monkeypatch.setattr(reconstruct, "PARTITION", 20)
+    seen, name = [], ("spark.sql.streaming.maxBatchesToRetainInMemory", "spark.sql.shuffle.partitions")
+    before = [spark.conf.get(c) for c in name]
+    rows = [(s, s % 2, k) for k in range(2) for s in range(60)]
+    batches = [spark.createDataFrame([x for x in rows if x[2] == k], "session_id long, view_id long, k int") for k in range(2)]
+
+    def run(stream):
+        seen.append([spark.conf.get(c) for c in name])
+        return stream.select("session_id")
+
+    assert reconstruct.fed(batches, run, "session_id long").count() == 120
+    assert seen == [["0", "7"]] * 2 and [spark.conf.get(c) for c in name] == before
