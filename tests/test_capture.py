@@ -641,3 +641,18 @@ def test_state_is_not_kept_in_memory_between_queries(spark, monkeypatch):
 
     assert reconstruct.fed(batches, run, "session_id long").count() == 120
     assert seen == [["0", "7"]] * 2 and [spark.conf.get(c) for c in name] == before
+
+
+def test_adjustment_in_one_task_as_in_parts(spark, monkeypatch):
+    from prismark.operators import adjustment
+
+    obs, poses, points = frames(spark, {s: shaken(scene(s, 4, 25, 0.5), 5) for s in (1, 2)})
+    found = []
+    for part in (7, 2_048):
+        monkeypatch.setattr(adjustment, "PART", part)
+        cams, cloud, report = adjustment.adjust(obs, poses, points, K, rounds=6)
+        found.append([sorted(map(tuple, df.collect())) for df in (cams, cloud, report)])
+    for a, b in zip(*found):
+        assert len(a) == len(b) > 0
+        for x, y in zip(a, b):
+            assert np.allclose(np.hstack(x), np.hstack(y), rtol=1e-6, atol=1e-6)
